@@ -12,119 +12,297 @@ map-side combined aggregates over the still uncovered part of the graph.
 
 from __future__ import annotations
 
+import sys
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..workspace import save, save_measured, small, with_position
 
-from ..workspace import Workspace, with_position
+# Rounds per written step of the window form.
+STEP_ROUNDS = 3
+# Most rows one window may hold: nodes with more neighbours use the join form.
+HUB_ROWS = 1_000_000
+# Most links (about 100 MB with indexes) one task may finish on its own.
+GROUP_LINKS = 2_000_000
 
-PICK_SCHEMA = "id long, gain long, pick_rank long"
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def node_order(nodes: DataFrame, firsts: DataFrame | None, workspace: Workspace) -> DataFrame:
-    """Tie-break position ``ord`` of every node.
+def node_order(
+    nodes: DataFrame, firsts: DataFrame | None = None, rows: int | None = None
+) -> DataFrame:
+    """Tie-break position ``ord`` of every node (other columns stay).
 
     A node enters the graph when it is first met: at its own turn, or earlier as
     a neighbour of a node with a lower id, closest neighbours first.
     """
     if firsts is None:
-        keyed = nodes.select("id")
-        return with_position(keyed, ["id"], "ord", workspace)
-    keyed = nodes.select("id").join(firsts, "id", "left").select(
-        "id",
+        return with_position(nodes, ["id"], "ord", rows)
+    keyed = nodes.join(firsts, "id", "left").select(
+        *nodes.columns,
         F.coalesce("first_a", "id").alias("_turn"),
         F.col("first_a").isNotNull().cast("int").alias("_met"),
         F.coalesce(-F.col("first_sim"), F.lit(0.0)).alias("_far"),
     )
-    order = ["_turn", "_met", "_far", "id"]
-    return with_position(keyed, order, "ord", workspace).select("id", "ord")
+    placed = with_position(keyed, ["_turn", "_met", "_far", "id"], "ord", rows)
+    return placed.drop("_turn", "_met", "_far")
 
 
-def max_cover(
+class Cover:
+    """Finished rounds of a cover; the picks are only written when asked for."""
+
+    def __init__(self, order: DataFrame, n: int, k: int):
+        self.order, self.n, self.k = order, n, k
+        self.picked: list[DataFrame] = []   # (u, p): pick and its priority, per step
+        self.chosen = 0     # picks that cover at least one neighbour
+        self.gained = 0     # nodes those picks cover
+        self.exhausted = True
+
+    def add(self, picked: DataFrame, chosen: int, gained: int | None) -> None:
+        self.picked.append(picked.select("u", "p"))
+        self.chosen += chosen
+        self.gained += gained or 0
+
+    def settled(self, best_left: int) -> bool:
+        """Are the first k picks certain, given the best priority still around?"""
+        if self.chosen < self.k:
+            return False
+        # Gains only fall, so later picks cannot beat what is left now.
+        return self._picked().filter(F.col("p") > best_left).count() >= self.k
+
+    def _picked(self) -> DataFrame:
+        empty = self.order.select(F.col("ord").alias("u"), F.col("ord").alias("p")).limit(0)
+        return reduce(DataFrame.unionByName, self.picked) if self.picked else empty
+
+    def _all(self, edges: DataFrame) -> DataFrame:
+        chosen = self._picked().select(F.expr(f"p div {self.n}").alias("gain"), F.col("u").alias("ord"))
+        if not self.exhausted or self.chosen >= self.k:
+            return chosen
+        # Whatever no pick covers stands alone and covers itself.
+        taken = small(self.order.join(chosen.select("ord"), "ord", "left_semi").select("id"),
+                      self.chosen)
+        reached = (
+            taken.unionByName(edges.join(taken.withColumnRenamed("id", "a"), "a", "left_semi")
+                              .select(F.col("b").alias("id")))
+            .unionByName(edges.join(taken.withColumnRenamed("id", "b"), "b", "left_semi")
+                         .select(F.col("a").alias("id")))
+        )
+        alone = self.order.join(reached, "id", "left_anti")
+        return chosen.unionByName(alone.select(F.lit(1).cast("long").alias("gain"), "ord"))
+
+    def totals(self) -> dict:
+        """Number of picks kept and nodes they cover."""
+        if self.exhausted and self.chosen <= self.k:
+            alone = min(self.k - self.chosen, self.n - self.gained)
+            return {"picks": self.chosen + alone, "covered": self.gained + alone}
+        best = self._ranked(None).agg(F.count("*").alias("picks"), F.sum("gain").alias("covered"))
+        return best.first().asDict()
+
+    def _ranked(self, edges: DataFrame | None) -> DataFrame:
+        order = [F.col("gain").desc(), F.col("ord")]
+        return with_position(self._all(edges), order, "pick_rank", self.n).filter(
+            F.col("pick_rank") < self.k
+        )
+
+    def picks(self, edges: DataFrame) -> DataFrame:
+        """``(id, gain, pick_rank)``, ranks from 1."""
+        return (
+            self.order.join(small(self._ranked(edges), self.k), "ord")
+            .select("id", "gain", (F.col("pick_rank") + 1).alias("pick_rank"))
+        )
+
+
+def run_cover(
     edges: DataFrame, nodes: DataFrame, k: int, order: DataFrame | None = None,
-    workspace: Workspace | None = None,
-) -> tuple[DataFrame, dict]:
-    """Picks ``(id, gain, pick_rank)`` and ``{"picks", "covered", "nodes"}``.
+    n: int | None = None, max_degree: int | None = None, largest_group: int | None = None,
+) -> Cover:
+    """Rounds of the cover over undirected ``(a, b)`` edges; self-loops are implied.
 
-    ``edges`` is undirected ``(a, b)``; self-loops are implied.  Fewer than ``k``
-    picks come back when everything is covered early.
+    ``order`` holds ``id`` and ``ord``.  If it also holds a column ``grp`` that no
+    edge crosses, groups are independent of each other; given ``largest_group``,
+    the number of nodes in the biggest, groups whose links are sure to fit into
+    one task are finished there, all groups side by side.
     """
-    work = workspace or Workspace(edges.sparkSession)
-    if order is None:
-        order = node_order(nodes, None, work)
-    order, seen = work.save_measured(order.select("id", "ord"), "order", rows=F.count("*"))
-    n = seen["rows"]
-    near = order.select(F.col("id").alias("a"), F.col("ord").alias("oa"))
-    far = order.select(F.col("id").alias("b"), F.col("ord").alias("ob"))
-    ordered = edges.select("a", "b").join(near, "a").join(far, "b").select("oa", "ob")
-    there = ordered.select(F.col("oa").alias("u"), F.col("ob").alias("v"))
-    back = ordered.select(F.col("ob").alias("u"), F.col("oa").alias("v"))
-    links, seen = work.save_measured(there.unionByName(back), "links", rows=F.count("*"))
-    left = seen["rows"]
-
+    n = nodes.count() if n is None else n
+    order = node_order(nodes, None, n) if order is None else order
     # One whole number holds a priority: higher gain first, then lower order.
     if (n + 1) * n >= 2**63:
         raise OverflowError("too many nodes for a 64-bit priority")
-    rounds: list[DataFrame] = []
-    chosen = 0
-    while left:
-        score = links.groupBy("u").agg(
-            ((F.count("*") + 1) * F.lit(n) + F.lit(n - 1) - F.col("u")).alias("p")
+    near = small(order.withColumnsRenamed({"id": "a", "ord": "oa"}), n)
+    far = small(order.select(F.col("id").alias("b"), F.col("ord").alias("ob")), n)
+    ordered = edges.select("a", "b").join(near, "a").join(far, "b")
+    cover = Cover(order, n, k)
+
+    if largest_group is not None and "grp" in order.columns:
+        widest = min(largest_group - 1, max_degree or largest_group)
+        if largest_group * widest <= 2 * GROUP_LINKS:
+            found, seen = save_measured(
+                ordered.select("grp", "oa", "ob").groupBy("grp")
+                .applyInArrow(_group_task(n, k), "u long, p long"),
+                chosen=F.count("*"), gained=F.sum(F.expr(f"p div {n}")),
+            )
+            cover.add(found, seen["chosen"], seen["gained"])
+            cover.exhausted = True
+            return cover
+
+    both = F.explode(F.array(F.struct(F.col("oa").alias("u"), F.col("ob").alias("v")),
+                             F.struct(F.col("ob").alias("u"), F.col("oa").alias("v"))))
+    links, seen = save_measured(ordered.select(both.alias("_l")).select("_l.*"), rows=F.count("*"))
+    size = seen["rows"]
+    if not size:
+        return cover
+    if max_degree is None:
+        max_degree = links.groupBy("u").count().agg(F.max("count")).first()[0]
+    if max_degree <= HUB_ROWS:
+        _window_rounds(links, cover)
+    else:
+        _join_rounds(links, size, cover)
+    return cover
+
+
+def _group_task(n: int, k: int):
+    """Cover of one bounded group: repeated best pick, gains kept up to date."""
+
+    def pick(links: pa.Table) -> pa.Table:
+        left, right = links.column("oa").to_numpy(), links.column("ob").to_numpy()
+        names, flat = np.unique(np.concatenate([left, right, right, left]), return_inverse=True)
+        half = len(flat) // 2
+        tail, head = flat[:half], flat[half:]
+        by_tail = np.argsort(tail, kind="stable")
+        head = head[by_tail]
+        start = np.searchsorted(tail[by_tail], np.arange(len(names) + 1))
+
+        def around(node):
+            return head[start[node] : start[node + 1]]
+
+        rank = n - 1 - names
+        value = (np.diff(start) + 1) * n + rank
+        picks: list[int] = []
+        values: list[int] = []
+        while len(picks) < k:
+            best = int(value.argmax())
+            if value[best] < 2 * n:  # only lone nodes are left
+                break
+            picks.append(int(names[best]))
+            values.append(int(value[best]))
+            fresh = [x for x in (best, *around(best).tolist()) if value[x] >= 0]
+            for node in fresh:
+                value[node] = -1
+            for node in fresh:
+                near = around(node)
+                value[near[value[near] >= 0]] -= n
+        return pa.table({"u": pa.array(picks, pa.int64()), "p": pa.array(values, pa.int64())})
+
+    return pick
+
+
+def _priority(gain, node, n: int):
+    return gain * F.lit(n) + F.lit(n - 1) - node
+
+
+def _window_rounds(links: DataFrame, cover: Cover) -> None:
+    """Rounds as windows over the link table, for graphs without huge hubs.
+
+    Each link is there in both directions, so a node's neighbours meet both in
+    the window of ``u`` and in the window of ``v``; values travel one hop per
+    change of window and nothing is joined.  A round costs four shuffles of the
+    remaining links, and several rounds run as one job.
+    """
+    n = cover.n
+    live = F.col("live")
+    at_u, at_v = Window.partitionBy("u"), Window.partitionBy("v")
+
+    def top(col, spot):
+        return F.max(F.when(live, F.col(col))).over(spot)
+
+    links = links.select("u", "v", F.lit(True).alias("live"))
+    while True:
+        step = links.withColumn("p", F.lit(None).cast("long")).withColumn("lead", F.lit(False))
+        for _ in range(STEP_ROUNDS):
+            count_u, count_v = (F.count(F.when(live, 1)).over(s) + 1 for s in (at_u, at_v))
+            step = (
+                step.withColumn("p", F.when(live, _priority(count_u, F.col("u"), n)).otherwise(F.col("p")))
+                .withColumn("q", _priority(count_v, F.col("v"), n))
+                .withColumn("q1", F.greatest("q", top("p", at_v)))
+                .withColumn("p1", F.greatest("p", top("q", at_u)))
+                .withColumn("win", F.greatest("p1", top("q1", at_u)) == F.col("p"))
+                .withColumn("win_v", F.greatest("q1", top("p1", at_v)) == F.col("q"))
+                .withColumn("hit_v", F.col("win_v") | top("win", at_v))
+                .withColumn("hit_u", F.col("win") | top("win_v", at_u))
+                .withColumn("first", F.min(F.when(live, F.col("v"))).over(at_u))
+                .withColumn(
+                    "lead", F.when(live, F.col("win") & (F.col("v") == F.col("first")))
+                    .otherwise(F.col("lead")),
+                )
+                .withColumn("live", live & ~F.col("hit_u") & ~F.col("hit_v"))
+                .filter("live or lead")
+                .select("u", "v", "p", "live", "lead")
+            )
+        lead = F.col("lead")
+        step, seen = save_measured(
+            step,
+            chosen=F.count(F.when(lead, 1)),
+            gained=F.sum(F.when(lead, F.expr(f"p div {n}"))),
+            left=F.count(F.when(live, 1)),
+            best=F.max(F.when(live, F.col("p"))),
         )
-        best1 = (
-            links.join(score, "u").groupBy(F.col("v").alias("u")).agg(F.max("p").alias("near1"))
-            .join(score, "u").select("u", "p", F.greatest("p", "near1").alias("m1"))
+        cover.add(step.filter("lead"), seen["chosen"], seen["gained"])
+        if seen["left"] == 0:
+            return
+        if cover.settled(seen["best"]):
+            cover.exhausted = False
+            return
+        links = step.filter("live").select("u", "v", "live")
+
+
+def _join_rounds(links: DataFrame, size: int, cover: Cover) -> None:
+    """Rounds as map-side combined aggregates and joins: safe for any hub."""
+    n = cover.n
+    while size:
+        limit = min(n, size)
+        score = small(
+            links.groupBy("u").agg(_priority(F.count("*") + 1, F.col("u"), n).alias("p")), limit
         )
-        best2 = (
-            links.join(best1.select("u", "m1"), "u")
-            .groupBy(F.col("v").alias("u")).agg(F.max("m1").alias("near2"))
-            .join(best1, "u").select("u", "p", "m1", (F.col("near2") <= F.col("p")).alias("picked"))
+        one = small(
+            links.join(score, "u").groupBy(F.col("v").alias("u")).agg(F.max("p").alias("_p"))
+            .join(score, "u").select("u", "p", F.greatest("p", "_p").alias("m1")),
+            limit,
         )
-        state, seen = work.save_measured(
-            best2, "round", top=F.max("p"), picked=F.sum(F.col("picked").cast("long"))
+        two = save(
+            links.join(one, "u").groupBy(F.col("v").alias("u")).agg(F.max("m1").alias("_m"))
+            .join(one, "u").select("u", "p", "m1", (F.col("_m") <= F.col("p")).alias("picked"))
         )
-        if chosen >= k:
-            # Later picks cannot beat the best priority that is left.
-            sure = sum(
-                (r.filter(F.col("picked") & (F.col("p") > seen["top"])).count() for r in rounds), 0
-            )
-            if sure >= k:
-                break
-        rounds.append(state)
-        chosen += seen["picked"]
-        taken = state.filter("picked").select(F.col("p").alias("m1"))
-        covered = state.join(taken, "m1", "left_semi").select("u")
-        links, seen = work.save_measured(
+        # The best priority a covered node sees next to it belongs to a pick.
+        picked = two.filter("picked")
+        covered = two.join(picked.select(F.col("p").alias("m1")), "m1", "left_semi").select("u")
+        seen = picked.agg(
+            F.count("*").alias("chosen"), F.sum(F.expr(f"p div {n}")).alias("gained")
+        ).first()
+        cover.add(picked, seen["chosen"], seen["gained"])
+        best = two.agg(F.max("p")).first()[0]
+        links, seen = save_measured(
             links.join(covered, "u", "left_anti").join(
                 covered.select(F.col("u").alias("v")), "v", "left_anti"
             ),
-            "links", rows=F.count("*"),
+            rows=F.count("*"),
         )
-        left = seen["rows"]
+        size = seen["rows"]
+        if size and cover.settled(best):
+            cover.exhausted = False
+            return
 
-    picks = None
-    for state in rounds:
-        part = state.filter("picked").select(
-            F.expr(f"p div {n}").alias("gain"), (F.lit(n - 1) - F.col("p") % n).alias("ord")
-        )
-        picks = part if picks is None else picks.unionByName(part)
-    if picks is None:
-        picks = order.select(F.lit(1).cast("long").alias("gain"), "ord")
-    elif left == 0 and chosen < k:
-        # Whatever no pick covers stands alone and covers itself.
-        hit = None
-        for state in rounds:
-            taken = state.filter("picked").select(F.col("p").alias("m1"))
-            part = state.join(taken, "m1", "left_semi").select(F.col("u").alias("ord"))
-            hit = part if hit is None else hit.unionByName(part)
-        alone = order.join(hit, "ord", "left_anti")
-        picks = picks.unionByName(alone.select(F.lit(1).cast("long").alias("gain"), "ord"))
-    ranked = with_position(picks, [F.col("gain").desc(), F.col("ord")], "pick_rank", work)
-    kept = ranked.filter(F.col("pick_rank") < k).join(order, "ord")
-    kept, seen = work.save_measured(
-        kept.select("id", "gain", (F.col("pick_rank") + 1).alias("pick_rank")),
-        "picks", rows=F.count("*"), covered=F.sum("gain"),
-    )
-    return kept, {"picks": seen["rows"], "covered": seen["covered"] or 0, "nodes": n}
+
+def max_cover(
+    edges: DataFrame, nodes: DataFrame, k: int, order: DataFrame | None = None
+) -> DataFrame:
+    """Picks ``(id, gain, pick_rank)``; fewer than ``k`` if all is covered early."""
+    return run_cover(edges, nodes, k, order).picks(edges)
 
 
 def duplicate_cover(df: DataFrame, key_cols: list[str], k: int, id_col: str = "row_id") -> DataFrame:
@@ -136,9 +314,8 @@ def duplicate_cover(df: DataFrame, key_cols: list[str], k: int, id_col: str = "r
     groups = df.groupBy(*key_cols).agg(
         F.count("*").alias("gain"), F.min(id_col).cast("long").alias("id")
     )
-    work = Workspace(df.sparkSession)
     ranked = with_position(
-        groups.select("id", "gain"), [F.col("gain").desc(), F.col("id")], "pick_rank", work
+        groups.select("id", "gain"), [F.col("gain").desc(), F.col("id")], "pick_rank"
     )
     return ranked.filter(F.col("pick_rank") < k).select(
         "id", "gain", (F.col("pick_rank") + 1).alias("pick_rank")

@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..workspace import Workspace
-from .cover import duplicate_cover, max_cover, node_order
+from ..workspace import save, save_measured, small
+from .cover import duplicate_cover, node_order, run_cover
 from .degree import cap_degree
 from .similarity import EDGE, FIRST, first_seen, similar_pairs
 
@@ -34,22 +34,21 @@ class SimilarityGraph:
 
     def __init__(self, vectors, floor, max_degree, label_col, id_col, vec_col, digits,
                  block_rows, pivots):
-        self.floor = floor
-        self.work = Workspace(vectors.sparkSession)
-        found = self.work.save(
+        self.floor, self.cap = floor, max_degree
+        found = save(
             similar_pairs(
                 vectors, floor, id_col=id_col, vec_col=vec_col, label_col=label_col,
                 max_degree=max_degree, digits=digits, with_first=True,
                 block_rows=block_rows, pivots=pivots,
-            ),
-            "pairs",
+            )
         )
-        self.edges = cap_degree(found.filter(F.col("kind") == EDGE), max_degree, self.work)
+        self.edges = cap_degree(found.filter(F.col("kind") == EDGE), max_degree)
         self.firsts = found.filter(F.col("kind") == FIRST)
 
-    def cover(self, nodes: DataFrame, theta: float, k: int):
-        order = node_order(nodes, first_seen(self.firsts, theta), self.work)
-        return max_cover(self.edges.filter(F.col("sim") >= theta), nodes, k, order, self.work)
+    def cover(self, nodes: DataFrame, n: int, largest: int | None, theta: float, k: int):
+        order = save(node_order(nodes, first_seen(self.firsts, theta), n))
+        edges = self.edges.filter(F.col("sim") >= theta)
+        return run_cover(edges, nodes, k, order, n, self.cap, largest), edges
 
 
 def unit_key(vec_col: str):
@@ -72,14 +71,18 @@ def coverage_search(
     The last probe's picks are returned.  At least one probe is always made.
     """
     nodes = vectors.select(F.col(id_col).cast("long").alias("id"))
-    n = nodes.count()
-    if n == 0 or k <= 0:
+    largest = None
+    if label_col:
+        nodes = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("grp"))
+        n, largest = nodes.groupBy("grp").count().agg(F.sum("count"), F.max("count")).first()
+    else:
+        n = nodes.count()
+    if not n or k <= 0:
         raise ValueError("coverage search needs rows and a positive k")
     if coverage < k / n:
-        work = Workspace(vectors.sparkSession)
         keyed = vectors.select(F.col(id_col).alias("row_id"), unit_key(vec_col).alias("_dir"))
-        picks, seen = work.save_measured(
-            duplicate_cover(keyed, ["_dir"], k), "picks", rows=F.count("*"), covered=F.sum("gain")
+        picks, seen = save_measured(
+            duplicate_cover(keyed, ["_dir"], k), rows=F.count("*"), covered=F.sum("gain")
         )
         share = (seen["covered"] or 0) / n
         return CoverageResult(picks, 1.0, share, seen["rows"], [(1.0, share)])
@@ -98,7 +101,8 @@ def coverage_search(
             graph = SimilarityGraph(
                 vectors, floor, cap, label_col, id_col, vec_col, digits, block_rows, cells
             )
-        picks, seen = graph.cover(nodes, theta, k)
+        cover, edges = graph.cover(nodes, n, largest, theta, k)
+        seen = cover.totals()
         reached = seen["covered"] / n
         probes.append((theta, reached))
         if reached < coverage:
@@ -108,7 +112,7 @@ def coverage_search(
         else:
             low, judged = probe, reached
         if abs(judged - coverage) <= slack or high - low <= 1:
-            return CoverageResult(picks, theta, judged, seen["picks"], probes)
+            return CoverageResult(cover.picks(edges), theta, judged, seen["picks"], probes)
         probe = (high + low) / 2
 
 
@@ -126,7 +130,7 @@ def sample_acs(
     if embeddings is not None:
         names = [id_col] + ([label_col] if label_col else [])
         source = df.select(*names).join(embeddings.select(id_col, vec_col), id_col)
-        source = Workspace(df.sparkSession).save(source, "vectors")
+        source = save(source)
     n = source.count()
     if k > n:
         return df
@@ -135,4 +139,4 @@ def sample_acs(
         source, k, coverage, label_col=label_col, sim_lb=sim_lb, max_degree=cap,
         id_col=id_col, vec_col=vec_col, **search,
     )
-    return df.join(found.picks.select(F.col("id").alias(id_col)), id_col, "left_semi")
+    return df.join(small(found.picks.select(F.col("id").alias(id_col)), k), id_col, "left_semi")

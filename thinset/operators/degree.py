@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..workspace import Workspace
+from ..workspace import save, save_measured
 from .similarity import both_ways
 
 
@@ -41,7 +41,7 @@ def cap_degree_mutual(edges: DataFrame, max_degree: int) -> DataFrame:
     )
 
 
-def cap_degree(edges: DataFrame, max_degree: int, workspace: Workspace | None = None) -> DataFrame:
+def cap_degree(edges: DataFrame, max_degree: int) -> DataFrame:
     """Degree cap in which nodes drop their weakest surplus edges in id order.
 
     A node with a lower id drops first, so a later node may keep an edge it
@@ -53,42 +53,30 @@ def cap_degree(edges: DataFrame, max_degree: int, workspace: Workspace | None =
     Only rows of nodes above the cap take part, and only their decisions travel.
     """
     cap = int(max_degree)
-    work = workspace or Workspace(edges.sparkSession)
-    # Sure losses first (see similarity.py): leaves at most n * cap edges.
-    strongest = Window.partitionBy("a").orderBy(F.col("sim").desc(), "b")
-    edges = work.save(
-        edges.select("a", "b", "sim")
-        .withColumn("_place", F.row_number().over(strongest))
-        .filter(F.col("_place") <= cap)
-        .drop("_place"),
-        "edges",
-    )
-    busy = node_degrees(edges).filter(F.col("degree") > cap).select("id")
-    busy, seen = work.save_measured(busy, "busy", rows=F.count("*"))
-    if seen["rows"] == 0:
+    edges = edges.select("a", "b", "sim")
+    if node_degrees(edges).filter(F.col("degree") > cap).isEmpty():
         return edges
-
-    held = both_ways(edges).join(busy.withColumnRenamed("id", "a"), "a", "left_semi")
-    held = work.save(held, "held")
+    # Sure losses first (see similarity.py): leaves at most n * cap edges.
     rest = Window.partitionBy("a").orderBy(F.col("sim").desc(), "b")
-
-    def decide(gone: DataFrame | None) -> DataFrame:
-        """Drops made by every busy node when ``gone`` rows were taken from it."""
-        left = held if gone is None else held.join(gone, ["a", "b"], "left_anti")
-        return left.withColumn("_place", F.row_number().over(rest)).filter(F.col("_place") > cap)
+    place = F.row_number().over(rest)
+    edges = save(edges.withColumn("_place", place).filter(F.col("_place") <= cap).drop("_place"))
+    busy = node_degrees(edges).filter(F.col("degree") > cap)
+    held = save(both_ways(edges).join(busy.select(F.col("id").alias("a")), "a", "left_semi"))
 
     gone, before = None, None
     while True:
-        dropped = decide(gone).select("a", "b")
-        dropped, seen = work.save_measured(
-            dropped, "dropped", rows=F.count("*"),
+        left = held if gone is None else held.join(gone, ["a", "b"], "left_anti")
+        # Ranking stops at the cap, so a hub is cut down before it is shuffled.
+        kept = left.withColumn("_place", place).filter(F.col("_place") <= cap)
+        dropped, seen = save_measured(
+            left.join(kept, ["a", "b"], "left_anti").select("a", "b"),
+            rows=F.count("*"),
             # order-free fingerprint of the set of drops
             mark=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")),
         )
-        now = (seen["rows"], seen["mark"])
-        if now == before:
+        if seen == before:
             break
-        before = now
+        before = seen
         gone = dropped.filter("a < b").select(F.col("b").alias("a"), F.col("a").alias("b"))
     lost = dropped.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return work.save(edges.join(lost, ["a", "b"], "left_anti"), "capped")
+    return save(edges.join(lost, ["a", "b"], "left_anti"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..workspace import Workspace
+from ..workspace import save, save_measured, small
 
 EXACT = "decimal(38,0)"
 
@@ -78,31 +78,31 @@ def _mark_lowest(
 ) -> DataFrame:
     """Add boolean column ``mark``: true on the rows whose lots win.
 
-    The counters and the cut-offs are written before they are used: the planner
-    then knows how small they are and joins the wide rows by broadcast, and falls
-    back to a shuffled join by itself should there be very many strata.
+    The counters and the cut-offs are written and counted before they are used:
+    the wide rows meet them in a broadcast join while there are few strata, and
+    in a shuffled join should there be very many.
     """
-    work = Workspace(df.sparkSession)
     keys = [f"_s{i}" for i in range(len(strata))]
     drawn = _drawn(df, seed, id_col, strata)
-    counted = work.save(
-        drawn.groupBy(*keys, "_bucket").agg(F.count("*").alias("_c")), "lot-counts"
-    )
+    counted = save(drawn.groupBy(*keys, "_bucket").agg(F.count("*").alias("_c")))
     running = Window.partitionBy(*keys).orderBy("_bucket")
     totals = counted.withColumn("_upto", F.sum("_c").over(running))
     if keys:
         sizes = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-        quotas = work.save(stratum_quotas(sizes, k, keys), "quotas")
+        quotas, seen = save_measured(stratum_quotas(sizes, k, keys), rows=F.count("*"))
+        strata_count = seen["rows"]
+        quotas = small(quotas, strata_count)
         totals = totals.alias("t").join(quotas.alias("q"), _same(totals, quotas, keys)).select(
             "t.*", "q._quota"
         )
     else:
+        strata_count = 1
         totals = totals.withColumn("_quota", F.lit(k).cast("long"))
-    split_bucket = work.save(
+    split_bucket = small(
         totals.filter(
             (F.col("_upto") - F.col("_c") < F.col("_quota")) & (F.col("_upto") >= F.col("_quota"))
         ).select(*keys, "_bucket", (F.col("_quota") - F.col("_upto") + F.col("_c")).alias("_room")),
-        "split-buckets",
+        strata_count,  # one bucket per stratum at most
     )
     near = drawn.alias("d").join(
         split_bucket.alias("b"), _same(drawn, split_bucket, [*keys, "_bucket"])
@@ -122,11 +122,10 @@ def _mark_lowest(
             (ticket == last["_cut_lot"]) & (F.col(id_col) <= F.lit(last["_cut_id"]))
         )
         return df.withColumn(mark, won)
-    limits = work.save(
+    limits = save(
         quotas.alias("q")
         .join(cut.alias("c"), _same(quotas, cut, keys), "left")
-        .select(*[F.col(f"q.{key}").alias(key) for key in keys], "_quota", "_cut_lot", "_cut_id"),
-        "cut-offs",
+        .select(*[F.col(f"q.{key}").alias(key) for key in keys], "_quota", "_cut_lot", "_cut_id")
     )
     keyed = df.select("*", *[col.alias(key) for col, key in zip(strata, keys)], ticket.alias("_lot"))
     below = (F.col("_lot") < F.col("_cut_lot")) | (
@@ -135,7 +134,7 @@ def _mark_lowest(
     won = (F.col("_quota") > 0) & (F.col("_cut_lot").isNull() | below)
     return (
         keyed.alias("r")
-        .join(limits.alias("l"), _same(keyed, limits, keys))
+        .join(small(limits, strata_count).alias("l"), _same(keyed, limits, keys))
         .select(*[F.col(f"r.{name}") for name in df.columns], won.alias(mark))
     )
 
@@ -155,8 +154,8 @@ def sample_stratified(
 
 def sample_groups(df: DataFrame, k: int, group_col: str, seed=42) -> DataFrame:
     """All rows of ``k`` randomly chosen groups (for example sentences of tokens)."""
-    groups = df.select(group_col).distinct()
-    return df.join(sample_random(groups, k, seed, group_col), group_col, "left_semi")
+    groups = save(df.select(group_col).distinct())
+    return df.join(small(sample_random(groups, k, seed, group_col), k), group_col, "left_semi")
 
 
 def sample_score(
@@ -170,7 +169,7 @@ def sample_score(
     if df.limit(k).count() < k:
         return df
     best = ranking.filter(F.col("rank") < k).select(F.col("row_id").alias(id_col))
-    return df.join(best, id_col, "left_semi")
+    return df.join(small(best, k), id_col, "left_semi")
 
 
 def sample_selection(df: DataFrame, selection: DataFrame, id_col: str = "row_id") -> DataFrame:

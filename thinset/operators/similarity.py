@@ -20,14 +20,16 @@ the floor's angle (triangle inequality on angles) never meet.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..workspace import Workspace
+from ..workspace import save_measured, small
 from .sampling import lot
 
 EDGE, FIRST = 0, 1
@@ -35,6 +37,9 @@ SLICE = 512
 MAX_PIVOTS = 64
 PAIR_SCHEMA = "kind int, a long, b long, sim double"
 
+# Task functions travel by value: executors need numpy and Arrow, not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def unit_rows(column) -> np.ndarray:
     """Arrow list column -> matrix of unit vectors in double; zero stays zero."""
@@ -149,7 +154,6 @@ def similar_pairs(
     ``label_col`` restricts pairs to equal labels (a null label matches nothing).
     ``digits`` rounds similarities before the comparison.
     """
-    spark = vectors.sparkSession
     if not isinstance(vectors.schema[id_col].dataType, (T.LongType, T.IntegerType)):
         raise TypeError(f"{id_col} has to be a whole number")
     label = F.col(label_col) if label_col else F.lit(0)
@@ -158,32 +162,41 @@ def similar_pairs(
     ).filter(F.col("grp").isNotNull())
     rows, apart = _placed(rows, floor, pivots)
 
-    cells = rows.groupBy("grp", "cell").agg(
-        F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"),
-        F.max("angle").alias("reach"),
+    cells, seen = save_measured(
+        rows.groupBy("grp", "cell").agg(
+            F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"),
+            F.max("angle").alias("reach"),
+        ),
+        rows=F.count("*"),
     )
-    work = Workspace(spark)
-    cells = work.save(cells, "cells")
-    mine = cells.select("grp", "cell", "blocks", "reach")
-    other = cells.select("grp", F.col("cell").alias("cell2"), F.col("blocks").alias("blocks2"),
-                         F.col("reach").alias("reach2"))
-    # At most MAX_PIVOTS cells per label, so this is a bounded fan-out per label.
-    routes = mine.join(other, "grp")
+    routes, routed = cells.select(
+        "grp", "cell", "blocks", F.col("cell").alias("cell2"), F.col("blocks").alias("blocks2")
+    ), seen["rows"]
     if apart:
+        # At most MAX_PIVOTS cells per label meet, a bounded fan-out.
+        other = cells.select(
+            "grp", F.col("cell").alias("cell2"), F.col("blocks").alias("blocks2"),
+            F.col("reach").alias("reach2"),
+        )
         widest = math.acos(max(-1.0, min(1.0, floor))) + 1e-6
         gap = F.create_map(*[
             item for (c, d), angle in apart.items()
             for item in (F.lit(c * MAX_PIVOTS + d), F.lit(angle))
         ])[F.col("cell") * MAX_PIVOTS + F.col("cell2")]
-        routes = routes.filter(
-            (F.col("cell") == F.col("cell2"))
-            | (gap - F.col("reach") - F.col("reach2") <= F.lit(widest))
+        routes, seen = save_measured(
+            cells.join(other, "grp")
+            .filter(
+                (F.col("cell") == F.col("cell2"))
+                | (gap - F.col("reach") - F.col("reach2") <= F.lit(widest))
+            )
+            .select("grp", "cell", "blocks", "cell2", "blocks2"),
+            rows=F.count("*"),
         )
-    routes = work.save(routes.select("grp", "cell", "blocks", "cell2", "blocks2"), "routes")
+        routed = seen["rows"]
 
     sent = (
         rows.select("grp", "cell", "id", "vec")
-        .join(routes, ["grp", "cell"])
+        .join(small(routes, routed), ["grp", "cell"])
         .withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
         .withColumn("k2", F.explode(F.sequence(F.lit(0), F.col("blocks2") - 1)))
     )

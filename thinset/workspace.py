@@ -1,9 +1,10 @@
-"""Tables written on the way, so that long iterations keep a short lineage.
+"""Durable intermediate results for iterative operators.
 
-Every intermediate result that an iterative operator builds on is written as
-Parquet below the folder the session names in ``spark.checkpoint.dir``.  The
-files outlive any executor, so a lost executor costs one task and never the
-whole chain of rounds, and the planner sees true sizes when it reads them back.
+Every result an iteration builds on is checkpointed to the folder the session
+names in ``spark.checkpoint.dir``.  The lineage stays one step long and the
+files outlive any executor, so a lost executor costs a task, not the rounds
+before it.  Set ``spark.cleaner.referenceTracking.cleanCheckpoints`` to have
+Spark remove the files once nothing refers to them.
 """
 
 from __future__ import annotations
@@ -15,65 +16,71 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# A table of at most this many narrow rows may be broadcast (a few MB).
+SMALL_ROWS = 200_000
+ROW_BITS = 33  # monotonically_increasing_id: partition number above, row below
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the session's, or a new one in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
+    """Folder all executors reach: the session's, or a new one in local mode."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="thinset-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            named = tempfile.mkdtemp(prefix="thinset-")
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
-class Workspace:
-    """One folder of written tables for one operator run."""
+def new_path(spark: SparkSession, name: str) -> str:
+    """Unused path below the shared folder, for tables written as files."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/thinset-{uuid.uuid4().hex}"
-        self._made = 0
+def save(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and continue from the written rows."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
-    def path(self, name: str) -> str:
-        self._made += 1
-        return f"{self.root}/{self._made:04d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return a reader of what was written."""
-        path = self.path(name)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+def save_measured(df: DataFrame, **measures) -> tuple[DataFrame, dict]:
+    """As :func:`save`, with aggregates taken in the same job (no extra scan)."""
+    seen = Observation()
+    shared_folder(df.sparkSession)
+    saved = df.observe(seen, *[col.alias(key) for key, col in measures.items()]).checkpoint()
+    return saved, seen.get
 
-    def save_measured(self, df: DataFrame, name: str, **measures) -> tuple[DataFrame, dict]:
-        """As :meth:`save`, with aggregates taken in the same job (no extra scan)."""
-        seen = Observation()
-        watched = df.observe(seen, *[col.alias(key) for key, col in measures.items()])
-        return self.save(watched, name), seen.get
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast ``df`` in the next join if its counted size allows it."""
+    return F.broadcast(df) if rows <= SMALL_ROWS else df
 
-def with_position(df: DataFrame, order: list, name: str, workspace: Workspace) -> DataFrame:
+
+def with_position(df: DataFrame, order: list, name: str, rows: int | None = None) -> DataFrame:
     """Number the rows 0, 1, 2, ... by ``order`` without one global window.
 
-    Rows are range-partitioned by the sort key and written once; a row's number
-    is its place inside its own range plus the sizes of the ranges before it.
-    Only the table of range sizes (one row per partition) meets in one task.
-    ``order`` has to be a total order over columns of ``df``.
+    A distributed sort is written once with each row's place inside its range;
+    the number is that place plus the sizes of the ranges before.  Only the table
+    of range sizes (one row per partition) meets in one task.  ``order`` has to
+    be a total order.  A table counted as small (``rows``) is simply ranked.
     """
-    ranged = workspace.save(
-        df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges"
-    )
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    if rows is not None and rows <= SMALL_ROWS:
+        place = F.row_number().over(Window.orderBy(*order)) - 1
+        return df.withColumn(name, place.cast("long"))
+    placed = save(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", ROW_BITS).alias("_part")
+    sizes = placed.groupBy(part).agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
-        "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
+        "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
     )
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    place = F.col("_at").bitwiseAND((1 << ROW_BITS) - 1)
+    # ``starts`` has one row per partition of the sort.
     return (
-        ranged.withColumn("_place", place)
-        .join(starts, "_range")
-        .withColumn(name, (F.col("_start") + F.col("_place")).cast("long"))
-        .drop("_range", "_place", "_start")
+        placed.withColumn("_part", part)
+        .join(F.broadcast(starts), "_part")
+        .withColumn(name, (F.col("_start") + place).cast("long"))
+        .drop("_part", "_at", "_start")
     )
