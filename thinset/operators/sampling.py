@@ -166,7 +166,7 @@ def sample_score(
     A ranking shorter than ``k`` yields fewer rows, but asking for more rows than
     the table has returns the table, as for every sampler.
     """
-    if df.limit(k).count() < k:
+    if k > df.count():
         return df
     best = ranking.filter(F.col("rank") < k).select(F.col("row_id").alias(id_col))
     return df.join(small(best, k), id_col, "left_semi")

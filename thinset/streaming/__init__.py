@@ -1,0 +1 @@
+"""Empty on purpose: none of the operators works on a stream."""
