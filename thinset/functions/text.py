@@ -19,8 +19,8 @@ def _col(value) -> Column:
 
 def fields(text) -> Column:
     """White-space separated pieces of a stripped text; none for a blank one."""
-    clean = F.regexp_replace(_col(text), r"^\s+|\s+$", "")
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, r"\s+"))
+    clean = F.regexp_replace(_col(text), r"(?U)^\s+|\s+$", "")
+    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, r"(?U)\s+"))
 
 
 def join_tokens(tokens) -> Column:
