@@ -24,8 +24,6 @@ from pyspark.sql.window import Window
 
 from ..workspace import save, save_measured, small, with_position
 
-# Rounds per written step of the window form.
-STEP_ROUNDS = 3
 # Most rows one window may hold: nodes with more neighbours use the join form.
 HUB_ROWS = 1_000_000
 # Most links (about 100 MB with indexes) one task may finish on its own.
@@ -125,9 +123,9 @@ def run_cover(
     """Rounds of the cover over undirected ``(a, b)`` edges; self-loops are implied.
 
     ``order`` holds ``id`` and ``ord``.  If it also holds a column ``grp`` that no
-    edge crosses, groups are independent of each other; given ``largest_group``,
-    the number of nodes in the biggest, groups whose links are sure to fit into
-    one task are finished there, all groups side by side.
+    edge crosses, groups are independent of each other: if even the biggest
+    (``largest_group`` nodes) is sure to fit into one task, each group is finished
+    in a task of its own, side by side.
     """
     n = nodes.count() if n is None else n
     order = node_order(nodes, None, n) if order is None else order
@@ -139,7 +137,9 @@ def run_cover(
     ordered = edges.select("a", "b").join(near, "a").join(far, "b")
     cover = Cover(order, n, k)
 
-    if largest_group is not None and "grp" in order.columns:
+    if "grp" in order.columns:
+        if largest_group is None:
+            largest_group = order.groupBy("grp").count().agg(F.max("count")).first()[0]
         widest = min(largest_group - 1, max_degree or largest_group)
         if largest_group * widest <= 2 * GROUP_LINKS:
             found, seen = save_measured(
@@ -211,40 +211,40 @@ def _window_rounds(links: DataFrame, cover: Cover) -> None:
 
     Each link is there in both directions, so a node's neighbours meet both in
     the window of ``u`` and in the window of ``v``; values travel one hop per
-    change of window and nothing is joined.  A round costs four shuffles of the
-    remaining links, and several rounds run as one job.
+    change of window and nothing is joined.  A round is one job with four
+    shuffles of the links that remain.
     """
     n = cover.n
-    live = F.col("live")
     at_u, at_v = Window.partitionBy("u"), Window.partitionBy("v")
 
     def top(col, spot):
-        return F.max(F.when(live, F.col(col))).over(spot)
+        return F.max(col).over(spot)
+
+    def score(node, spot):
+        return _priority(F.count("*").over(spot) + 1, F.col(node), n)
 
-    links = links.select("u", "v", F.lit(True).alias("live"))
     while True:
-        step = links.withColumn("p", F.lit(None).cast("long")).withColumn("lead", F.lit(False))
-        for _ in range(STEP_ROUNDS):
-            count_u, count_v = (F.count(F.when(live, 1)).over(s) + 1 for s in (at_u, at_v))
-            step = (
-                step.withColumn("p", F.when(live, _priority(count_u, F.col("u"), n)).otherwise(F.col("p")))
-                .withColumn("q", _priority(count_v, F.col("v"), n))
-                .withColumn("q1", F.greatest("q", top("p", at_v)))
-                .withColumn("p1", F.greatest("p", top("q", at_u)))
-                .withColumn("win", F.greatest("p1", top("q1", at_u)) == F.col("p"))
-                .withColumn("win_v", F.greatest("q1", top("p1", at_v)) == F.col("q"))
-                .withColumn("hit_v", F.col("win_v") | top("win", at_v))
-                .withColumn("hit_u", F.col("win") | top("win_v", at_u))
-                .withColumn("first", F.min(F.when(live, F.col("v"))).over(at_u))
-                .withColumn(
-                    "lead", F.when(live, F.col("win") & (F.col("v") == F.col("first")))
-                    .otherwise(F.col("lead")),
-                )
-                .withColumn("live", live & ~F.col("hit_u") & ~F.col("hit_v"))
-                .filter("live or lead")
-                .select("u", "v", "p", "live", "lead")
-            )
-        lead = F.col("lead")
+        # Priorities: own (p), far end's (q), best next to either end (p1, q1).
+        step = links.select("*", score("u", at_u).alias("p"))
+        own = score("v", at_v)
+        step = step.select("*", own.alias("q"), F.greatest(own, top("p", at_v)).alias("q1"))
+        around = F.greatest("p", top("q", at_u))
+        step = step.select(
+            "*", around.alias("p1"),
+            (F.greatest(around, top("q1", at_u)) == F.col("p")).alias("win"),
+        )
+        won = F.greatest("q1", top("p1", at_v)) == F.col("q")
+        step = step.select(
+            "u", "v", "p", "win", won.alias("win_v"),
+            (won | top("win", at_v)).alias("hit_v"),
+        )
+        hit = F.col("win") | top("win_v", at_u)
+        # A winner leaves one row behind (lead); links of covered nodes go.
+        step = step.select(
+            "u", "v", "p", (~hit & ~F.col("hit_v")).alias("live"),
+            (F.col("win") & (F.col("v") == F.min("v").over(at_u))).alias("lead"),
+        ).filter("live or lead")
+        lead, live = F.col("lead"), F.col("live")
         step, seen = save_measured(
             step,
             chosen=F.count(F.when(lead, 1)),
@@ -258,7 +258,7 @@ def _window_rounds(links: DataFrame, cover: Cover) -> None:
         if cover.settled(seen["best"]):
             cover.exhausted = False
             return
-        links = step.filter("live").select("u", "v", "live")
+        links = step.filter("live").select("u", "v")
 
 
 def _join_rounds(links: DataFrame, size: int, cover: Cover) -> None:

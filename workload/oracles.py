@@ -212,6 +212,12 @@ ORACLES = {
     "max_cover": f"WITH RECURSIVE {edges(0.25)}, c AS (SELECT * FROM e), {KEYS}, {greedy(25)} {PICKS}",
     "max_cover_unlabelled": f"""WITH RECURSIVE {edges(0.25, False)}, c AS (SELECT * FROM e), {KEYS},
       {greedy(25)} {PICKS}""",
+    # The search ends at these thresholds with these caps; the search path itself is
+    # tested against a sequential model in tests/.
+    "acs_sample": f"""WITH RECURSIVE {edges(0.125)}, {sequential_cap(45)}, {KEYS}, {greedy(50)}
+      SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT v FROM g)""",
+    "acs_picks": f"""WITH RECURSIVE {edges(0.3125, False)}, {sequential_cap(10)}, {KEYS}, {greedy(50)}
+      {PICKS}""",
     "duplicate_cover": """SELECT min(doc_id) AS id, count(*) AS gain,
         row_number() OVER (ORDER BY count(*) DESC, min(doc_id)) AS pick_rank
       FROM documents GROUP BY text ORDER BY pick_rank LIMIT 50""",

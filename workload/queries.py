@@ -11,7 +11,7 @@ from thinset.operators import cover, degree, metrics, prompts, sampling, similar
 from thinset.operators.coverage import coverage_search, sample_acs
 from thinset.plans import experiment, model
 from thinset.sources import catalogues, files, tables, vocabulary
-from thinset.workspace import new_path, with_position
+from thinset.workspace import new_path, save, with_position
 
 SEED = 42
 
@@ -218,13 +218,16 @@ def insertion_order(spark, folder):
 
 
 def _cover(spark, folder, theta, k, label_col):
-    pairs = similarity.similar_pairs(
-        table(spark, folder, "embeddings"), theta, label_col=label_col, with_first=True, **VECTORS
-    ).persist()
+    vectors = table(spark, folder, "embeddings")
+    pairs = save(similarity.similar_pairs(
+        vectors, theta, label_col=label_col, with_first=True, **VECTORS
+    ))
     firsts = similarity.first_seen(pairs.filter(F.col("kind") == similarity.FIRST), theta)
     nodes = vector_ids(spark, folder)
+    if label_col:
+        nodes = vectors.select(F.col("vec_id").alias("id"), F.col(label_col).alias("grp"))
     edges = pairs.filter(F.col("kind") == similarity.EDGE)
-    return cover.max_cover(edges, nodes, k, cover.node_order(nodes, firsts))
+    return cover.max_cover(edges, nodes, k, save(cover.node_order(nodes, firsts)))
 
 
 def max_cover(spark, folder):
