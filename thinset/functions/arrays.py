@@ -11,6 +11,11 @@ def _doubles(values) -> Column:
     return F.transform(col, lambda x: x.cast("double"))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, not once per use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(values) -> Column:
     return F.aggregate(_doubles(values), F.lit(0.0), lambda acc, x: acc + x)
 
@@ -20,13 +25,15 @@ def dot(left, right) -> Column:
 
 
 def norm(values) -> Column:
-    return F.sqrt(dot(values, values))
+    return F.sqrt(F.aggregate(_doubles(values), F.lit(0.0), lambda acc, x: acc + x * x))
 
 
 def cosine(left, right) -> Column:
     """Cosine similarity; 0 if a vector is zero."""
-    size = norm(left) * norm(right)
-    return F.when(size == 0, F.lit(0.0)).otherwise(dot(left, right) / size)
+    return let(
+        F.struct(dot(left, right).alias("d"), (norm(left) * norm(right)).alias("n")),
+        lambda v: F.when(v["n"] == 0, F.lit(0.0)).otherwise(v["d"] / v["n"]),
+    )
 
 
 def argmax(values) -> Column:
@@ -36,9 +43,15 @@ def argmax(values) -> Column:
 
 
 def softmax(values) -> Column:
-    col = F.col(values) if isinstance(values, str) else values
-    shifted = F.transform(_doubles(col), lambda x: F.exp(x - F.array_max(col).cast("double")))
-    return F.transform(shifted, lambda x: x / total(shifted))
+    doubles = _doubles(values)
+    powers = let(
+        F.struct(doubles.alias("x"), F.array_max(doubles).alias("top")),
+        lambda v: F.transform(v["x"], lambda x: F.exp(x - v["top"])),
+    )
+    return let(
+        let(powers, lambda e: F.struct(e.alias("e"), total(e).alias("sum"))),
+        lambda v: F.transform(v["e"], lambda x: x / v["sum"]),
+    )
 
 
 def sigmoid(values) -> Column:

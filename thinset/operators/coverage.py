@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, norm
 from ..workspace import save, save_measured, small
 from .cover import duplicate_cover, node_order, run_cover
 from .degree import cap_degree
@@ -53,10 +54,14 @@ class SimilarityGraph:
 
 def unit_key(vec_col: str):
     """Direction of a vector, rounded so that copies compare equal."""
-    vec = F.transform(vec_col, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x * x))
-    safe = F.when(norm == 0, F.lit(1.0)).otherwise(norm)
-    return F.transform(vec, lambda x: F.round(x / safe, 9) + F.lit(0.0))
+    return let(
+        F.struct(F.col(vec_col).alias("x"), norm(vec_col).alias("n")),
+        lambda v: F.transform(
+            v["x"],
+            lambda x: F.round(x.cast("double") / F.when(v["n"] == 0, 1.0).otherwise(v["n"]), 9)
+            + F.lit(0.0),
+        ),
+    )
 
 
 def coverage_search(

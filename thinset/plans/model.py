@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean_text
-from ..workspace import new_path
+from ..workspace import new_path, spread
 from ..operators.metrics import (
     accuracy, binary_f1, classification_report, entity_scores, evaluate,
 )
@@ -45,6 +45,7 @@ def embed(
     ``embedder`` is a factory: it returns a function from an array of texts to a
     matrix.  Without one, hashed TF-IDF vectors of unit length are used.
     """
+    df = spread(df)
     if embedder is not None:
         vectors = predict_batch_udf(
             embedder, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size
@@ -81,7 +82,8 @@ def train_classifier(
         IndexToString(inputCol="_prediction", outputCol="prediction", labels=names.labels),
     ]
     # The label index is needed for fitting only, so the model can score unlabelled text.
-    fitted = Pipeline(stages=stages).fit(names.transform(train.select(text_col, label_col)))
+    rows = spread(train.select(text_col, label_col))
+    fitted = Pipeline(stages=stages).fit(names.transform(rows))
     # A stored and reloaded regression leaves its training summary behind, which
     # holds on to the training data and cannot be sent to executors.
     kept = new_path(train.sparkSession, "model")
@@ -102,7 +104,7 @@ def predict(
     if isinstance(model, str):
         model = PipelineModel.load(model)
     trained_on = model.stages[0].getInputCol()
-    texts = clean_text(df, text_col)
+    texts = clean_text(spread(df), text_col)
     scored = texts if text_col == trained_on else texts.withColumn(trained_on, F.col(text_col))
     return model.transform(scored).select(
         *[F.col(c) for c in df.columns], F.col("prediction").alias(output_col)
@@ -118,7 +120,7 @@ def predict_with(
     label = predict_batch_udf(
         make_model, return_type=return_type or T.LongType(), batch_size=batch_size
     )
-    return clean_text(df, text_col).withColumn(output_col, label(F.col(text_col)))
+    return clean_text(spread(df), text_col).withColumn(output_col, label(F.col(text_col)))
 
 
 def evaluate_classifier(

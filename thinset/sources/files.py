@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import fields, linearize, span_text
-from ..workspace import save, with_position
+from ..workspace import small, with_position
 from .vocabulary import RELATION_IDS, index_labels, vocabulary
 
 # A row's place in its files: stable, and known without a pass over the data.
@@ -31,9 +31,25 @@ def _with_file_place(df: DataFrame) -> DataFrame:
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """Dense ``row_id`` in file order."""
-    placed = with_position(df, FILE_ORDER, "row_id").drop(*FILE_ORDER)
-    return placed.select("row_id", *[c for c in placed.columns if c != "row_id"])
+    """Dense ``row_id`` in file order, without moving the rows.
+
+    Rows are counted per piece of a file first; a row's number is its place in
+    its piece plus the rows of the pieces before.  Both scans belong to one query
+    and cut the files alike.
+    """
+    pieces = df.groupBy("_file", "_block").agg(
+        F.count("*").alias("_rows"), F.min("_line").alias("_from")
+    )
+    earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.select(
+        "_file", "_block",
+        (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_from")).alias("_shift"),
+    )
+    # Bound on the number of pieces: every file and every cut starts one.
+    bound = len(df.inputFiles()) + df.rdd.getNumPartitions()
+    numbered = df.join(small(starts, bound), ["_file", "_block"])
+    row_id = (F.col("_line") + F.col("_shift")).alias("row_id")
+    return numbered.select(row_id, *[c for c in df.columns if c not in FILE_ORDER])
 
 
 def require_columns(df: DataFrame, names: list[str], what: str) -> None:
@@ -69,9 +85,9 @@ def read_labelled_csv(
     kept = _with_file_place(frame).select(
         F.col(text_col).alias("sentence"), F.col(label_col).alias("label"), *FILE_ORDER
     )
-    if limit is not None:
-        kept = kept.orderBy(*FILE_ORDER).limit(limit)
     rows = _numbered(kept)
+    if limit is not None:
+        rows = rows.filter(F.col("row_id") < limit)
     # Whole-number labels become integers, anything else stays text.
     text = rows.filter(~F.col("label").rlike(r"^\s*[+-]?\d{1,9}\s*$")).isEmpty()
     return rows.withColumn("label", F.trim("label").cast("int")) if text else rows
@@ -161,7 +177,7 @@ def _bio_lines(spark: SparkSession, path: str, strict: bool) -> DataFrame:
     lines = _with_file_place(spark.read.text(path)).select(
         *FILE_ORDER, fields("value").alias("parts")
     )
-    lines = save(lines.withColumn("_blank", (F.size("parts") == 0).cast("long")))
+    lines = lines.withColumn("_blank", (F.size("parts") == 0).cast("long"))
     blocks = lines.groupBy("_file", "_block").agg(F.sum("_blank").alias("_blanks"))
     order = Window.orderBy("_file", "_block")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -172,6 +188,7 @@ def _bio_lines(spark: SparkSession, path: str, strict: bool) -> DataFrame:
                     + F.sum("_turn").over(order))
         .select("_file", "_block", "_start")
     )
+    bound = len(lines.inputFiles()) + lines.rdd.getNumPartitions()
     inside = Window.partitionBy("_file", "_block").orderBy("_line")
     bad = F.raise_error(F.concat(F.lit("expected a token and a tag: "), F.array_join("parts", " ")))
     parts = F.col("parts")
@@ -179,7 +196,7 @@ def _bio_lines(spark: SparkSession, path: str, strict: bool) -> DataFrame:
         parts = F.when(F.size("parts") == 2, parts).otherwise(bad.cast("array<string>"))
     return (
         lines.withColumn("_before", F.sum("_blank").over(inside))
-        .join(starts, ["_file", "_block"])
+        .join(small(starts, bound), ["_file", "_block"])
         .filter("_blank = 0")
         .select(
             *FILE_ORDER, (F.col("_start") + F.col("_before")).alias("sentence_id"),
@@ -212,8 +229,9 @@ def load_bio_sentences(spark: SparkSession, path: str, strict: bool = True) -> D
     rows = joined.select(
         "sentence_id", F.array_join(F.col("_t.sentence"), " ").alias("sentence")
     )
-    numbered = with_position(rows, ["sentence_id"], "row_id")
-    return numbered.select("row_id", "sentence", F.lit(None).cast("string").alias("label"))
+    # Only the ids are sorted; the sentences lie by id already.
+    dense = with_position(tokens.select("sentence_id").distinct(), ["sentence_id"], "row_id")
+    return rows.join(dense, "sentence_id").select("row_id", "sentence", F.lit(None).cast("string").alias("label"))
 
 
 def load_crossner(

@@ -58,6 +58,15 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL_ROWS else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows over all cores if the input has fewer pieces than there are cores.
+
+    For work that costs far more than moving its rows; big inputs stay put.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_position(df: DataFrame, order: list, name: str, rows: int | None = None) -> DataFrame:
     """Number the rows 0, 1, 2, ... by ``order`` without one global window.
 
