@@ -12,7 +12,9 @@ from ..functions.arrays import let, norm
 from ..workspace import save, save_measured, small
 from .cover import duplicate_cover, node_order, run_cover
 from .degree import cap_degree
-from .similarity import EDGE, FIRST, first_seen, similar_pairs
+from .similarity import EDGE, FIRST, MAX_PIVOTS, first_seen, similar_pairs
+
+ROWS_PER_PIVOT = 20_000
 
 
 @dataclass
@@ -68,7 +70,7 @@ def coverage_search(
     vectors: DataFrame, k: int, coverage: float = 0.9, *, label_col: str | None = None,
     sim_lb: int = 707, max_degree: int | None = None, id_col: str = "row_id",
     vec_col: str = "embedding", epsilon: float | None = None, digits: int | None = None,
-    block_rows: int = 4096, pivots: int | None = None,
+    block_rows: int | None = None, pivots: int | None = None,
 ) -> CoverageResult:
     """Bisect the threshold (in thousandths) until the cover of ``k`` picks comes
     within ``epsilon`` (default 50/n) of ``coverage``.
@@ -94,7 +96,7 @@ def coverage_search(
 
     slack = 50 / n if epsilon is None else epsilon
     cap = int(max_degree) if max_degree else int(2 * n * coverage / k)
-    cells = min(64, n // (4 * block_rows)) if pivots is None else pivots
+    cells = min(MAX_PIVOTS, n // ROWS_PER_PIVOT) if pivots is None else pivots
     low, high, probe = sim_lb, 1000, (1000 + sim_lb) / 2
     graph, probes = None, []
     while True:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import linearize_tagged, mark_entities, relation_sentence
 
@@ -71,15 +72,17 @@ def exemplar(style: str, sentence="sentence", head="head", tail="tail", relation
 
 
 def few_shot_block(
-    examples: DataFrame, group_cols: list[str], order_col: str, style: str = "plain"
+    examples: DataFrame, group_cols: list[str], order_col: str, style: str = "plain",
+    shots: int = 64,
 ) -> DataFrame:
     """Labelling prompt head per group: task, relation names, exemplars in order.
 
-    A block holds the handful of exemplars of one prompt, so groups are as small
-    as a prompt; rows are reduced to the finished text before they are grouped.
+    A prompt shows the first ``shots`` exemplars of its group.  They are chosen
+    before the shuffle as well as after it, so a big group is never gathered.
     """
-    ready = examples.select(*group_cols, order_col, F.col("name").alias("_name"),
-                            exemplar(style).alias("_text"))
+    turn = F.row_number().over(Window.partitionBy(*group_cols).orderBy(order_col))
+    ready = examples.withColumn("_turn", turn).filter(F.col("_turn") <= shots).select(
+        *group_cols, order_col, F.col("name").alias("_name"), exemplar(style).alias("_text"))
     listed = F.sort_array(F.collect_list(F.struct(order_col, "_name", "_text")))
     return ready.groupBy(*group_cols).agg(listed.alias("_all")).select(
         *group_cols,

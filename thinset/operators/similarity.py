@@ -33,8 +33,12 @@ from ..workspace import save_measured, small
 from .sampling import lot
 
 EDGE, FIRST = 0, 1
-SLICE = 512
 MAX_PIVOTS = 64
+# Memory of one block of unit vectors, fewest rows worth a block, and cells of
+# the product a task looks at in one go.
+BLOCK_BYTES = 64 << 20
+SMALL_BLOCK = 1024
+SLICE_CELLS = 1 << 21
 PAIR_SCHEMA = "kind int, a long, b long, sim double"
 
 # Task functions travel by value: executors need numpy and Arrow, not this package.
@@ -92,8 +96,9 @@ def _block_task(floor: float, cap: int | None, digits: int | None, with_first: b
             r, c = np.nonzero(_strongest(sim, hit, cap))
             found.append((np.full(len(r), EDGE), low[r], high[c], sim[r, c]))
 
-        for start in range(0, len(left_at), SLICE):
-            part = left_at[start : start + SLICE]
+        height = max(1, SLICE_CELLS // max(1, len(right_at)))
+        for start in range(0, len(left_at), height):
+            part = left_at[start : start + height]
             sim = rows[part] @ rows[right_at].T
             if digits is not None:
                 sim = np.round(sim, digits)
@@ -144,10 +149,25 @@ def _placed(rows: DataFrame, floor: float, pivots: int) -> tuple[DataFrame, dict
     return rows.withColumn("_near", nearest("vec")).select("*", "_near.*").drop("_near"), table
 
 
+def _block_count(vectors: DataFrame, vec_col: str, block_rows: int | None):
+    """Blocks per cell: as few as memory allows, since every row is sent once per
+    block it meets, but enough to give all cores a pair of blocks."""
+    rows = F.count("*")
+    if block_rows:
+        return F.ceil(rows / F.lit(block_rows)).cast("int")
+    first = vectors.select(F.size(vec_col)).first()
+    most = max(SMALL_BLOCK, BLOCK_BYTES // (8 * max(1, first[0] if first else 1)))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    wanted = math.ceil(math.sqrt(2 * cores))
+    return F.greatest(
+        F.ceil(rows / F.lit(most)), F.least(F.lit(wanted), F.ceil(rows / F.lit(SMALL_BLOCK)))
+    ).cast("int")
+
+
 def similar_pairs(
     vectors: DataFrame, floor: float, *, id_col: str = "row_id", vec_col: str = "embedding",
     label_col: str | None = None, max_degree: int | None = None, digits: int | None = None,
-    with_first: bool = False, block_rows: int = 4096, pivots: int = 0,
+    with_first: bool = False, block_rows: int | None = None, pivots: int = 0,
 ) -> DataFrame:
     """``(kind, a, b, sim)`` with ``a < b`` for pairs with cosine >= ``floor``.
 
@@ -164,7 +184,7 @@ def similar_pairs(
 
     cells, seen = save_measured(
         rows.groupBy("grp", "cell").agg(
-            F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"),
+            _block_count(vectors, vec_col, block_rows).alias("blocks"),
             F.max("angle").alias("reach"),
         ),
         rows=F.count("*"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.sampling import holdout_split
-from ..workspace import save
+from ..workspace import save, spread
 from .downsample import downsample
 from .model import evaluate_classifier, train_classifier
 
@@ -44,7 +44,7 @@ def run_experiment(
         )
     subset = downsample(train, method, k, seed, label_col, id_col, **extras)
     # Fitting passes over the subset several times; the source is read once.
-    subset = save(subset.select(text_col, label_col))
+    subset = spread(save(subset.select(text_col, label_col)))
     model = trainer(subset, text_col=text_col, label_col=label_col, epochs=epochs)
     if test is None:
         return model, None

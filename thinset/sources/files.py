@@ -61,12 +61,13 @@ def require_columns(df: DataFrame, names: list[str], what: str) -> None:
 def read_labelled_csv(
     spark: SparkSession, path: str, text_col: str, label_col: str, sep: str = ",",
     encoding: str = "utf-8", limit: int | None = None, quoted: bool = True,
-    multiline: bool = False,
+    multiline: bool = False, label_type: str | None = None,
 ) -> DataFrame:
     """Text and label columns of delimited files with a header line.
 
     Only the two columns are parsed.  Quoted fields may hold line breaks if
-    ``multiline`` is set, at the price of files that cannot be split.
+    ``multiline`` is set, at the price of files that cannot be split.  Without a
+    ``label_type`` the labels are looked through: whole numbers become ``int``.
     """
     options = {"header": True, "sep": sep, "encoding": encoding, "escape": '"',
                "multiLine": multiline}
@@ -88,9 +89,12 @@ def read_labelled_csv(
     rows = _numbered(kept)
     if limit is not None:
         rows = rows.filter(F.col("row_id") < limit)
-    # Whole-number labels become integers, anything else stays text.
-    text = rows.filter(~F.col("label").rlike(r"^\s*[+-]?\d{1,9}\s*$")).isEmpty()
-    return rows.withColumn("label", F.trim("label").cast("int")) if text else rows
+    if label_type is None:
+        odd = rows.filter(~F.col("label").rlike(r"^\s*[+-]?\d{1,9}\s*$"))
+        label_type = "int" if odd.select("label").isEmpty() else "string"
+    if label_type == "string":
+        return rows
+    return rows.withColumn("label", F.trim("label").cast(label_type))
 
 
 def load_sst2(spark: SparkSession, folder: str, test_folder: str | None = None):
@@ -112,6 +116,7 @@ def load_custom_csv(spark: SparkSession, config: dict):
         return read_labelled_csv(
             spark, path, config["text_col"], config["label_col"], config.get("separator", ","),
             config.get("encoding", "utf-8"), limit, multiline=config.get("multiline", True),
+            label_type=config.get("label_type"),
         )
 
     train = split(config["train_path"], config.get("nrows_train"))

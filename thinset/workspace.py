@@ -61,7 +61,8 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows over all cores if the input has fewer pieces than there are cores.
 
-    For work that costs far more than moving its rows; big inputs stay put.
+    For work that costs far more than moving its rows; big inputs stay put.  Meant
+    for plain scans and saved tables, whose number of pieces is known for free.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

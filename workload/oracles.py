@@ -150,7 +150,8 @@ RELATIONS = """rel AS (SELECT c_custkey, n_name AS name, 'customer in ' || n_nam
 PAIR = "'Head Entity: ' || c_name || '; Tail Entity: ' || name"
 
 EXAMPLES = """ex AS (SELECT o_custkey, o_orderkey, 'order of ' || o_orderpriority AS sentence,
-    o_orderpriority AS tail, o_orderstatus AS name FROM orders)"""
+    o_orderpriority AS tail, o_orderstatus AS name,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS turn FROM orders)"""
 
 ORACLES = {
     "random_sample": lowest_lots("documents", "doc_id", 100, "doc_id, lang, n_chars"),
@@ -255,9 +256,9 @@ ORACLES = {
         "'Sentence:'")} AS prompt FROM rel""",
     "few_shot_prompts": f"""WITH {EXAMPLES},
       t AS (SELECT *, replace(replace(sentence, 'order', '[order HEAD ENTITY]'), tail,
-              '[' || tail || ' TAIL ENTITY]') || ' Relation: ' || name AS line FROM ex),
+              '[' || tail || ' TAIL ENTITY]') || ' Relation: ' || name AS line FROM ex WHERE turn <= 64),
       firsts AS (SELECT o_custkey, string_agg(name, '; ' ORDER BY f) AS names FROM (
-        SELECT o_custkey, name, min(o_orderkey) AS f FROM ex GROUP BY 1, 2) GROUP BY 1)
+        SELECT o_custkey, name, min(o_orderkey) AS f FROM t GROUP BY 1, 2) GROUP BY 1)
       SELECT o_custkey, {lines(
         "'Identify the relation between the head entity and the tail entity in the given sentence.'",
         "'Relation: ' || any_value(names)", "'#####'",

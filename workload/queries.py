@@ -11,7 +11,7 @@ from thinset.operators import cover, degree, metrics, prompts, sampling, similar
 from thinset.operators.coverage import coverage_search, sample_acs
 from thinset.plans import experiment, model
 from thinset.sources import catalogues, files, tables, vocabulary
-from thinset.workspace import new_path, save, with_position
+from thinset.workspace import new_path, save, spread, with_position
 
 SEED = 42
 
@@ -416,7 +416,7 @@ def batch_predictions(spark, folder):
     def make_model():
         return lambda texts: np.array([len(str(t)) % 2 for t in texts], dtype=np.int64)
 
-    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "text"))
     path = new_path(spark, "out") + "/" + tables.predictions_path("in/documents.csv", "").strip("/")
     tables.write_predictions(model.predict_with(make_model, docs).drop("text"), path)
     return spark.read.option("header", True).schema(
@@ -483,7 +483,7 @@ def embedded_texts(spark, folder):
             return np.array([[len(str(t)), str(t).count("e")] for t in texts], dtype=np.float32)
         return run
 
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     vectors = model.embed(docs, "text", embedder)
     return vectors.select(
         "doc_id", F.get("embedding", F.lit(0)).cast("double").alias("length"),
@@ -492,7 +492,7 @@ def embedded_texts(spark, folder):
 
 
 def embedded_tfidf(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     vectors = model.embed(docs, "text")
     return vectors.select(
         "doc_id", F.size("embedding").alias("dims"), F.round(arrays.norm("embedding"), 4).alias("norm")
