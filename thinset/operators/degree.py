@@ -51,6 +51,7 @@ def cap_degree(edges: DataFrame, max_degree: int) -> DataFrame:
     only, so the fixpoint is unique and is the sequential outcome.
 
     Only rows of nodes above the cap take part, and only their decisions travel.
+    The edges are read more than once: pass a saved table, not a computation.
     """
     cap = int(max_degree)
     edges = edges.select("a", "b", "sim")

@@ -239,9 +239,10 @@ def cosine_edges(vectors: DataFrame, floor: float, **options) -> DataFrame:
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    """Each undirected edge as two directed rows."""
-    back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")
-    return edges.select("a", "b", "sim").unionByName(back)
+    """Each undirected edge as two directed rows, from one pass over the edges."""
+    there = F.struct("a", "b", "sim")
+    back = F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "sim")
+    return edges.select(F.explode(F.array(there, back)).alias("_e")).select("_e.*")
 
 
 def first_seen(firsts: DataFrame, theta: float) -> DataFrame:

@@ -206,7 +206,7 @@ def mutual_cap(spark, folder):
 
 
 def sequential_cap(spark, folder):
-    return degree.cap_degree(label_edges_at(spark, folder, 0.05), 5)
+    return degree.cap_degree(save(label_edges_at(spark, folder, 0.05)), 5)
 
 
 def insertion_order(spark, folder):
