@@ -89,7 +89,7 @@ def test_node_order_is_first_meeting(spark, block_rows):
         assert sorted(r.ord for r in placed) == list(range(50))
 
 
-@pytest.mark.parametrize("form", ["window", "join", "group"])
+@pytest.mark.parametrize("form", ["window", "leaders", "join", "group"])
 @pytest.mark.parametrize("k", [1, 4, 1000])
 def test_cover_is_greedy(spark, monkeypatch, form, k):
     vectors, labels = clustered(60, 4)
@@ -97,6 +97,10 @@ def test_cover_is_greedy(spark, monkeypatch, form, k):
     want = seq.cover(links, order, k)
     if form == "join":
         monkeypatch.setattr(cover, "HUB_ROWS", 0)
+    if form == "window":
+        monkeypatch.setattr(cover, "FEW_PICKS", 0)
+    if form == "leaders":
+        monkeypatch.setattr(cover, "MIN_LEADERS", 5)
     df = frame(spark, vectors, labels)
     edges = spark.createDataFrame([(a, b) for a, b in pair_set(links)], "a long, b long")
     ords = spark.createDataFrame(

@@ -28,6 +28,12 @@ from ..workspace import save, save_measured, small, with_position
 HUB_ROWS = 1_000_000
 # Most links (about 100 MB with indexes) one task may finish on its own.
 GROUP_LINKS = 2_000_000
+# A window round with fewer picks than this is followed by steps of leading nodes:
+# a share of all nodes, but at least a few.
+FEW_PICKS = 256
+LEADER_STEPS = 8
+LEADER_SHARE = 16
+MIN_LEADERS = 32
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -160,7 +166,7 @@ def run_cover(
     if max_degree is None:
         max_degree = links.groupBy("u").count().agg(F.max("count")).first()[0]
     if max_degree <= HUB_ROWS:
-        _window_rounds(links, cover)
+        _window_rounds(links, cover, max(1, max_degree))
     else:
         _join_rounds(links, size, cover)
     return cover
@@ -206,7 +212,81 @@ def _priority(gain, node, n: int):
     return gain * F.lit(n) + F.lit(n - 1) - node
 
 
-def _window_rounds(links: DataFrame, cover: Cover) -> None:
+def _leader_task(n: int, k: int, bar: int):
+    """Picks among a bounded set of leading nodes while they beat the ``bar``.
+
+    Every other node's priority is at most the bar and can only fall, so up to
+    there these are the picks of the whole graph.
+    """
+
+    def pick(links: pa.Table) -> pa.Table:
+        tail, head = links.column("u").to_numpy(), links.column("v").to_numpy()
+        leaders = np.unique(tail)
+        nodes = np.unique(np.concatenate([tail, head]))
+        owner = np.searchsorted(leaders, np.concatenate([tail, leaders]))
+        member = np.searchsorted(nodes, np.concatenate([head, leaders]))
+
+        def grouped(keys, values, size):
+            order = np.argsort(keys, kind="stable")
+            start = np.searchsorted(keys[order], np.arange(size + 1))
+            return values[order], start
+
+        covers, cover_at = grouped(owner, member, len(leaders))
+        owners, owner_at = grouped(member, owner, len(nodes))
+        spot = np.searchsorted(nodes, leaders)
+        value = np.diff(cover_at) * n + (n - 1 - leaders)
+        open_ = np.ones(len(nodes), dtype=bool)
+        picks: list[int] = []
+        values: list[int] = []
+        while len(picks) < k:
+            best = int(np.where(open_[spot], value, -1).argmax())
+            if not open_[spot[best]] or value[best] <= bar or value[best] < 2 * n:
+                break
+            picks.append(int(leaders[best]))
+            values.append(int(value[best]))
+            near = covers[cover_at[best] : cover_at[best + 1]]
+            for node in near[open_[near]]:
+                open_[node] = False
+                value[owners[owner_at[node] : owner_at[node + 1]]] -= n
+        return pa.table({"u": pa.array(picks, pa.int64()), "p": pa.array(values, pa.int64())})
+
+    return pick
+
+
+def _leader_step(links: DataFrame, cover: Cover, max_degree: int) -> tuple[DataFrame, int, int]:
+    """One step for dense graphs, where few nodes are best in their surroundings.
+
+    A bounded number of leaders, with at most ``GROUP_LINKS`` links between them,
+    go to one task, which makes picks until it reaches the best node left outside.
+    Returns the links that remain, their number, and a bound on later priorities.
+    """
+    n = cover.n
+    wanted = max(1, min(GROUP_LINKS // max_degree, max(MIN_LEADERS, n // LEADER_SHARE)))
+    score = links.groupBy("u").agg(_priority(F.count("*") + 1, F.col("u"), n).alias("p"))
+    ahead = save(score.orderBy(F.col("p").desc()).limit(wanted + 1))
+    low = ahead.agg(F.count("*").alias("c"), F.min("p").alias("p")).first()
+    bar = low["p"] if low["c"] > wanted else -1
+    leaders = small(ahead.filter(F.col("p") > bar).select("u"), wanted)
+    found, seen = save_measured(
+        links.join(leaders, "u").withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(
+            _leader_task(n, cover.k, bar), "u long, p long"
+        ),
+        chosen=F.count("*"), gained=F.sum(F.expr(f"p div {n}")), last=F.min("p"),
+    )
+    cover.add(found, seen["chosen"], seen["gained"])
+    picked = small(found.select("u"), wanted)
+    reached = links.join(picked, "u", "left_semi").select(F.col("v").alias("u"))
+    covered = small(reached.unionByName(found.select("u")).distinct(), wanted * (max_degree + 1))
+    links, count = save_measured(
+        links.join(covered, "u", "left_anti").join(
+            covered.select(F.col("u").alias("v")), "v", "left_anti"
+        ),
+        rows=F.count("*"),
+    )
+    return links, count["rows"], seen["last"] - 1
+
+
+def _window_rounds(links: DataFrame, cover: Cover, max_degree: int) -> None:
     """Rounds as windows over the link table, for graphs without huge hubs.
 
     Each link is there in both directions, so a node's neighbours meet both in
@@ -259,6 +339,15 @@ def _window_rounds(links: DataFrame, cover: Cover) -> None:
             cover.exhausted = False
             return
         links = step.filter("live").select("u", "v")
+        if seen["chosen"] >= FEW_PICKS:
+            continue
+        for _ in range(LEADER_STEPS):
+            links, left, best = _leader_step(links, cover, max_degree)
+            if left == 0:
+                return
+            if cover.settled(best):
+                cover.exhausted = False
+                return
 
 
 def _join_rounds(links: DataFrame, size: int, cover: Cover) -> None:
