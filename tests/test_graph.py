@@ -98,9 +98,10 @@ def test_cover_is_greedy(spark, monkeypatch, form, k):
     if form == "join":
         monkeypatch.setattr(cover, "HUB_ROWS", 0)
     if form == "window":
-        monkeypatch.setattr(cover, "FEW_PICKS", 0)
+        monkeypatch.setattr(cover, "FEW_SHARE", 10**9)
     if form == "leaders":
         monkeypatch.setattr(cover, "MIN_LEADERS", 5)
+        monkeypatch.setattr(cover, "FEW_SHARE", 0)
     df = frame(spark, vectors, labels)
     edges = spark.createDataFrame([(a, b) for a, b in pair_set(links)], "a long, b long")
     ords = spark.createDataFrame(

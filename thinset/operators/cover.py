@@ -28,9 +28,9 @@ from ..workspace import save, save_measured, small, with_position
 HUB_ROWS = 1_000_000
 # Most links (about 100 MB with indexes) one task may finish on its own.
 GROUP_LINKS = 2_000_000
-# A window round with fewer picks than this is followed by steps of leading nodes:
-# a share of all nodes, but at least a few.
-FEW_PICKS = 256
+# Leading nodes are a share of all nodes, but at least a few; steps of leading nodes
+# follow a window round that picked less than a share of their number.
+FEW_SHARE = 16
 LEADER_STEPS = 8
 LEADER_SHARE = 16
 MIN_LEADERS = 32
@@ -253,6 +253,10 @@ def _leader_task(n: int, k: int, bar: int):
     return pick
 
 
+def _leader_count(n: int, max_degree: int) -> int:
+    return max(1, min(GROUP_LINKS // max_degree, max(MIN_LEADERS, n // LEADER_SHARE)))
+
+
 def _leader_step(links: DataFrame, cover: Cover, max_degree: int) -> tuple[DataFrame, int, int]:
     """One step for dense graphs, where few nodes are best in their surroundings.
 
@@ -260,8 +264,7 @@ def _leader_step(links: DataFrame, cover: Cover, max_degree: int) -> tuple[DataF
     go to one task, which makes picks until it reaches the best node left outside.
     Returns the links that remain, their number, and a bound on later priorities.
     """
-    n = cover.n
-    wanted = max(1, min(GROUP_LINKS // max_degree, max(MIN_LEADERS, n // LEADER_SHARE)))
+    n, wanted = cover.n, _leader_count(cover.n, max_degree)
     score = links.groupBy("u").agg(_priority(F.count("*") + 1, F.col("u"), n).alias("p"))
     ahead = save(score.orderBy(F.col("p").desc()).limit(wanted + 1))
     low = ahead.agg(F.count("*").alias("c"), F.min("p").alias("p")).first()
@@ -339,7 +342,7 @@ def _window_rounds(links: DataFrame, cover: Cover, max_degree: int) -> None:
             cover.exhausted = False
             return
         links = step.filter("live").select("u", "v")
-        if seen["chosen"] >= FEW_PICKS:
+        if seen["chosen"] * FEW_SHARE >= _leader_count(n, max_degree):
             continue
         for _ in range(LEADER_STEPS):
             links, left, best = _leader_step(links, cover, max_degree)
