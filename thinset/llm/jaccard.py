@@ -11,10 +11,13 @@ least estimated cost, from counts over all small sets.
 * The order puts frequent shingles last, so passages that many documents share leave
   the inverted lists.  Any order gives the same result; this one only needs a bounded
   list of frequent shingles.
-* A first pass verifies each set against the least holder of each of its four least
-  shingles and joins what links.  In the inverted lists only sets of *different*
+* A first pass verifies each set against the most central holder of each of its
+  least shingles and joins what links.  In the inverted lists only sets of *different*
   components can still add anything, so a list inside one component is dropped and no
   group of near copies is ever expanded into its pairs.
+* The first shingle a linked pair shares stands so early in both sets that the overlap
+  it needs is still ahead: before n/7 in the smaller, n/4 in the larger.  Lists are
+  joined on these two parts only, and with the exact place for the sizes of the pair.
 """
 
 from __future__ import annotations
@@ -37,7 +40,8 @@ from thinset.llm.words import mix, shingle_sets
 SIZE = 5            # words in a shingle
 PERCENT = 75        # least similarity, in hundredths
 MOST_LIGHT = 14     # largest set for which subsets are considered
-MINIMA = 4          # least shingles used in the first pass
+MINIMA = 8          # least shingles used in the first pass
+SHARED = 3          # of them that a pair of the first pass shares
 LOCAL = 3           # a shingle is a candidate for "frequent" from so many sets of a run
 RUN = 2_000_000     # shingles in such a run
 FREQUENT = 1 << 18  # most frequent shingles that the order knows of
@@ -135,7 +139,8 @@ def _prefixes(frequent: np.ndarray, size: int, percent: int, boundary: int):
                 at = np.minimum(at, max(0, len(known) - 1))
                 hit = known[at] == signed if len(known) else np.zeros(n, bool)
                 plain, take = signed[~hit], prefix(n, percent)
-                heavy = signed[hit][np.argsort(by_value[at[hit]])] if hit.any() else signed[:0]
+                ranks = np.sort(by_value[at[hit]]) if hit.any() else by_value[:0]
+                heavy = frequent[ranks]
                 keep.append(row)
                 ns.append(n)
                 sigs.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
@@ -230,9 +235,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.select("a", "b", "left", "right").mapInArrow(check, "a long, b long").distinct()
 
 
-def _sized(pairs: DataFrame, percent: int) -> DataFrame:
-    return pairs.where(f"a <> b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _overlap(a: str, b: str, percent: int) -> str:
+    """:func:`needed` as SQL."""
+    return f"(({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent})"
+
+
+def _sized(percent: int) -> str:
+    return f"a <> b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
 
 
 def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT,
@@ -272,10 +281,16 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     # First pass over all sets of the lists: each against the least holder of its minima.
     listed = nodes.where(F.col("n") * 100 >= percent * (boundary + 1))
     minima = listed.select("id", "n", F.explode(F.slice("least", 1, MINIMA)).alias("shingle"))
-    first = minima.groupBy("shingle").agg(F.min(F.struct("id", "n")).alias("f"), F.count("*").alias("c")).where("c > 1")
+    shared = minima.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
+    minima = stored(minima.join(shared, "shingle"), "minima")
+    # The set whose least shingles have the most holders is nearest to the others.
+    central = minima.groupBy("id").agg(F.sum("c").alias("weight"))
+    minima = minima.join(central, "id")
+    first = minima.groupBy("shingle").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"), "n")).alias("f"))
     near = minima.join(first, "shingle").select(
-        F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("f.id").alias("b"), F.col("f.n").alias("n_b"))
-    near = stored(_sized(near, percent), "near")
+        F.col("id").alias("a"), F.col("n").alias("n_a"), (-F.col("f.id")).alias("b"), F.col("f.n").alias("n_b"))
+    near = near.where(_sized(percent)).groupBy("a", "b").agg(F.count("*").alias("c")).where(f"c >= {SHARED}")
+    near = stored(near.select("a", "b"), "near")
     links = stored(light.union(same).union(_verified(near, texts, size, percent)), "first-links")
     parts = stored(components(links), "parts")
 
@@ -283,24 +298,29 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     prefixes, schema = _prefixes(_frequent(scanned), size, percent, boundary)
     lists = texts.where("id IS NOT NULL").mapInArrow(prefixes, schema)
     lists = lists.groupBy("sig").agg(
-        F.min("id").alias("id"), F.first("rare").alias("rare"), F.first("often").alias("often"))
-    rare = lists.select("id", F.explode("rare").alias("shingle"))
+        F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "rare", "often")])
+    rare = lists.select("id", "n", F.posexplode("rare").alias("at", "shingle"))
     rare = rare.withColumn("held", F.count("*").over(Window.partitionBy("shingle"))).where("held > 1").drop("held")
-    often = lists.select("id", F.explode("often").alias("shingle"))
-    postings = (rare.union(often).join(parts.withColumnRenamed("node", "id"), "id", "left")
-                .join(nodes.select("id", "n"), "id")
-                .select("shingle", "id", "n", F.coalesce("component", "id").alias("part")))
+    often = lists.select("id", "n", F.size("rare").alias("before"), F.posexplode("often").alias("at", "shingle"))
+    often = often.select("id", "n", (F.col("before") + F.col("at")).alias("at"), "shingle")
+    postings = rare.union(often).join(parts.withColumnRenamed("node", "id"), "id", "left").select(
+        "shingle", "id", "n", "at", F.coalesce("component", "id").alias("part"))
     postings = stored(postings, "postings")
     mixed = postings.groupBy("shingle").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y")
     open_ = stored(postings.join(mixed.select("shingle"), "shingle", "left_semi"), "open")
-    cells = open_.groupBy("shingle", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    x, y = cells.toDF("shingle", "part", "lo", "hi"), cells.toDF("shingle", "other", "lo2", "hi2")
+    early = open_.where(f"at <= n - {_overlap('n', 'n', percent)}")
+    extent = F.min("n").alias("lo"), F.max("n").alias("hi")
+    x = early.groupBy("shingle", "part").agg(*extent).toDF("shingle", "part", "lo", "hi")
+    y = open_.groupBy("shingle", "part").agg(*extent).toDF("shingle", "other", "lo2", "hi2")
     met = x.join(y, "shingle").where(
-        f"part < other AND 100 * hi2 >= {percent} * lo AND 100 * hi >= {percent} * lo2").select("shingle", "part", "other")
-    met = met.join(open_.toDF("shingle", "a", "n_a", "part"), ["shingle", "part"])
-    met = met.join(open_.toDF("shingle", "b", "n_b", "other"), ["shingle", "other"])
-    met = stored(_sized(met, percent), "met")
-    late = _verified(met, texts, size, percent)
+        f"part <> other AND lo <= hi2 AND 100 * hi >= {percent} * lo2").select("shingle", "part", "other")
+    met = met.join(early.toDF("shingle", "a", "n_a", "at_a", "part"), ["shingle", "part"])
+    right, overlap = open_.toDF("shingle", "b", "n_b", "at_b", "other"), _overlap("n_a", "n_b", percent)
+    fits = F.expr(f"(n_a < n_b OR n_a = n_b AND a < b) AND 100 * n_a >= {percent} * n_b "
+                  f"AND at_a <= n_a - {overlap} AND at_b <= n_b - {overlap}")
+    met = met.join(right, (met["shingle"] == right["shingle"]) & (met["other"] == right["other"]) & fits)
+    met = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
+    late = stored(_verified(met, texts, size, percent), "late-links")
 
     found = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
     sizes = sets.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"))
