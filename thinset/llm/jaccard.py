@@ -244,6 +244,18 @@ def _sized(percent: int) -> str:
     return f"a <> b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
 
 
+def _met(early: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components that share a shingle early enough in both sets."""
+    overlap = _overlap("n_a", "n_b", percent)
+    left = early.select("shingle", F.col("id").alias("a"), F.col("n").alias("n_a"),
+                        F.col("at").alias("at_a"), F.col("part").alias("part_a"))
+    right = postings.select(F.col("shingle").alias("_shingle"), F.col("id").alias("b"), F.col("n").alias("n_b"),
+                            F.col("at").alias("at_b"), F.col("part").alias("part_b"))
+    fits = F.expr(f"shingle = _shingle AND part_a <> part_b AND (n_a < n_b OR n_a = n_b AND a < b) "
+                  f"AND 100 * n_a >= {percent} * n_b AND at_a <= n_a - {overlap} AND at_b <= n_b - {overlap}")
+    return left.join(right, fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT,
                        boundary: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text, ...).
@@ -308,18 +320,14 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     postings = stored(postings, "postings")
     mixed = postings.groupBy("shingle").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y")
     open_ = stored(postings.join(mixed.select("shingle"), "shingle", "left_semi"), "open")
-    early = open_.where(f"at <= n - {_overlap('n', 'n', percent)}")
-    extent = F.min("n").alias("lo"), F.max("n").alias("hi")
-    x = early.groupBy("shingle", "part").agg(*extent).toDF("shingle", "part", "lo", "hi")
-    y = open_.groupBy("shingle", "part").agg(*extent).toDF("shingle", "other", "lo2", "hi2")
-    met = x.join(y, "shingle").where(
-        f"part <> other AND lo <= hi2 AND 100 * hi >= {percent} * lo2").select("shingle", "part", "other")
-    met = met.join(early.toDF("shingle", "a", "n_a", "at_a", "part"), ["shingle", "part"])
-    right, overlap = open_.toDF("shingle", "b", "n_b", "at_b", "other"), _overlap("n_a", "n_b", percent)
-    fits = F.expr(f"(n_a < n_b OR n_a = n_b AND a < b) AND 100 * n_a >= {percent} * n_b "
-                  f"AND at_a <= n_a - {overlap} AND at_b <= n_b - {overlap}")
-    met = met.join(right, (met["shingle"] == right["shingle"]) & (met["other"] == right["other"]) & fits)
-    met = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
+    # Every pair across components has a member outside the list's largest component, so
+    # a group of near copies meets its list's few strangers but never itself.
+    largest = open_.groupBy("shingle", "part").agg(F.count("*").alias("c")).groupBy("shingle").agg(
+        F.max(F.struct("c", "part"))["part"].alias("largest"))
+    sided = stored(open_.join(largest, "shingle").withColumn("inner", F.col("part") == F.col("largest")).drop("largest"), "sided")
+    early = sided.where(f"at <= n - {_overlap('n', 'n', percent)}")
+    met = _met(early.where("NOT inner"), sided, percent).union(_met(early.where("inner"), sided.where("NOT inner"), percent))
+    met = stored(met.distinct(), "met")
     late = stored(_verified(met, texts, size, percent), "late-links")
 
     found = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
