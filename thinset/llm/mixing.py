@@ -77,12 +77,14 @@ def targets(sizes: DataFrame, schedules: tuple[Schedule, ...] = SCHEDULES, repea
     return rows.select("source", "source_size", "turn", target.alias("target"))
 
 
-def _planned(docs: DataFrame, schedules: tuple[Schedule, ...], repeats: int) -> tuple[DataFrame, DataFrame]:
-    """Packed rows with size, place in their source and copies taken; the targets."""
-    rows = packed(docs).select(
-        "_row", F.col("_row").getField("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col("_row").getField("text").cast("string"), F.lit(WORD)), F.lit(0))
-        .cast("long").alias("size"),
+def _size(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _planned(rows: DataFrame, schedules: tuple[Schedule, ...], repeats: int) -> DataFrame:
+    """Rows (_row, size) with their place in their source and the copies taken."""
+    rows = rows.select(
+        "_row", "size", F.col("_row").getField("source").cast("string").alias("source"),
         F.md5(F.coalesce(F.col("_row").getField("doc_id").cast("string"), F.lit("")).cast("binary")).alias("lot"))
     # Null and any text are told apart by the first letter of the key.
     rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
@@ -120,7 +122,8 @@ def plan_mix(docs: DataFrame, schedules: tuple[Schedule, ...] = SCHEDULES, repea
     stand together, smaller first, and are read each.  A source without words has
     target 0 and is not taken.  Texts may have any length; an empty table gives no rows.
     """
-    rows = _planned(docs.select("doc_id", "text", "source"), schedules, repeats)
+    narrow = docs.select(F.struct("doc_id", "source").alias("_row"), _size(F.col("text")).alias("size"))
+    rows = _planned(narrow, schedules, repeats)
     copies = [F.when(F.col("copies") > c, _moments(rows, schedules, F.lit(c))) for c in range(repeats)]
     return rows.select(
         F.col("_row.doc_id").alias("doc_id"), "source", "size", "source_size", "target",
@@ -134,7 +137,8 @@ def mix_sources(docs: DataFrame, schedules: tuple[Schedule, ...] = SCHEDULES, re
     A document taken k times gives k rows, copies 0 to k-1.  Columns of ``docs`` named
     copy or moment are replaced.  See :func:`plan_mix` for nulls, ties and empty tables.
     """
-    rows = _planned(docs, schedules, repeats).where("copies > 0")
+    sized = packed(docs).withColumn("size", _size(F.col("_row").getField("text")))
+    rows = _planned(sized, schedules, repeats).where("copies > 0")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     rows = rows.withColumn("moment", _moments(rows, schedules, F.col("copy")))
     return unpacked(rows, docs.columns, "copy", "moment").orderBy(
