@@ -12,7 +12,6 @@ never count as edits.
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thinset.llm.tables import packed, unpacked
-from thinset.llm.words import ALNUM, bounds, grams, hashes, runs
+from thinset.llm.words import ALNUM, bounds, grams, hashes, runs, texts_of
 
 RATE = 0.2           # edits per word of an item
 PIECE = 4            # words in a piece, at least (an item of fewer words is one piece)
@@ -70,7 +69,7 @@ class Items:
         self.items: list[tuple[int, np.ndarray, int]] = []
         found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for item, text in rows:
-            for _, data, offsets in runs(pa.array([text.lower()])):
+            for _, data, offsets in runs(pa.array([text]), unicode=True):
                 starts, ends, _ = bounds(data, offsets, ALNUM)
                 words = hashes(data, starts, ends)
             if not len(words):
@@ -103,8 +102,8 @@ def _scan(items: Items):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column(2).to_pylist()
-            for row, data, offsets in runs(batch.column(1)):
+            found = batch.column(1).to_pylist()
+            for row, data, offsets in runs(texts_of(batch.column(0)), unicode=True):
                 starts, ends, before = bounds(data, offsets, ALNUM)
                 words = hashes(data, starts, ends)
                 where: dict[tuple[int, int], set[int]] = defaultdict(set)
@@ -163,12 +162,10 @@ def find_matches(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataF
     ``end`` by the item's length.
     """
     rows = packed(docs).withColumn("matches", F.array().cast(MATCH))
-    # Lower-casing all of Unicode is left to the JVM; only then bytes are compared.
-    text = F.lower(F.col("_row").getField("text").cast("string")).alias("text")
     kind = rows.schema["_row"].dataType.simpleString()
     for block in _blocks(items):
         scan = _scan(Items(block, rate))
-        rows = rows.select("_row", text, "matches").mapInArrow(scan, f"_row {kind}, matches {MATCH}")
+        rows = rows.mapInArrow(scan, f"_row {kind}, matches {MATCH}")
     return rows
 
 

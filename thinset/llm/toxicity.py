@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thinset.llm.tables import if_small, packed, unpacked
-from thinset.llm.words import runs
+from thinset.llm.words import runs, texts_of
 
 ORDER, SYMBOLS = 4, 32
 CELLS = SYMBOLS ** ORDER
@@ -194,10 +194,9 @@ def with_score(docs: DataFrame, model: Model) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(model.score(batch.column(1)))], ["_row", "score"])
+                [batch.column(0), pa.array(model.score(texts_of(batch.column(0))))], ["_row", "score"])
 
-    return rows.select("_row", F.col("_row").getField("text").cast("string").alias("text")).mapInArrow(
-        scan, f"_row {kind}, score double")
+    return rows.mapInArrow(scan, f"_row {kind}, score double")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -12,8 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-RUN_BYTES = 1 << 20
+RUN_BYTES, RUN_ROWS = 1 << 20, 256
 _U = np.uint64
 # Space characters: \x20 and \x09-\x0D.
 SPACES = np.zeros(256, bool)
@@ -55,22 +56,27 @@ def _power(base: int, n: int) -> np.ndarray:
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def runs(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, row offsets) of runs of rows; a null counts as empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
-    if not len(column):
-        return
-    _, at, body = column.buffers()
-    at = np.frombuffer(at, np.int64)[column.offset:column.offset + len(column) + 1]
-    body = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
-    row = 0
-    while row < len(column):
-        end = max(row + 1, int(np.searchsorted(at, at[row] + RUN_BYTES, "right")) - 1)
-        data = body[at[row]:at[end]]
-        yield row, LOWER[data] if lower else data, at[row:end + 1] - at[row]
-        row = end
+def runs(column: pa.Array, unicode: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, row offsets) of runs of rows; a null counts as empty.
+
+    A-Z are lower-cased, with ``unicode`` all letters.  Few rows at a time are copied.
+    """
+    for first in range(0, len(column), RUN_ROWS):
+        part = column.slice(first, RUN_ROWS).cast(pa.large_string()).fill_null("")
+        part = pc.utf8_lower(part) if unicode else part
+        _, at, body = part.buffers()
+        at = np.frombuffer(at, np.int64)[part.offset:part.offset + len(part) + 1]
+        body = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
+        row = 0
+        while row < len(part):
+            end = max(row + 1, int(np.searchsorted(at, at[row] + RUN_BYTES, "right")) - 1)
+            yield first + row, LOWER[body[at[row]:at[end]]], at[row:end + 1] - at[row]
+            row = end
+
+
+def texts_of(rows: pa.StructArray) -> pa.Array:
+    """The text column inside packed rows."""
+    return pc.struct_field(rows, [rows.type.get_field_index("text")])
 
 
 def bounds(data: np.ndarray, offsets: np.ndarray, member: np.ndarray):
