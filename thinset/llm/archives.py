@@ -100,7 +100,8 @@ def members(file, size: int) -> dict[str, tuple[int, int]]:
     tail_at = max(0, size - 22 - _FULL16)
     tail = read_at(file, tail_at, size - tail_at)
     end = tail.rfind(_END)
-    while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
+    # The comment may hold the signature too; the right one is followed by its whole comment.
+    while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
         end = tail.rfind(_END, 0, end)
     if end < 0:
         raise ValueError("no end of central directory: not a ZIP archive")
