@@ -3,7 +3,7 @@ import pytest
 import sequential as seq
 from pyspark.sql import functions as F
 
-from thinset.operators import cover, degree, similarity
+from thinset.operators import cover, coverage, degree, similarity
 from thinset.operators.coverage import coverage_search, sample_acs
 
 
@@ -184,3 +184,22 @@ def test_sample_acs_is_partition_independent(spark):
         for parts, size in ((1, 4096), (16, 20))
     ]
     assert results[0] == results[1] and 0 < len(results[0]) <= 20
+
+
+def test_pivots_keep_rounded_pairs(spark):
+    """Rounding may lift a pair to the floor; blocks that hold such pairs are not skipped."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(20, 8))
+    vectors = np.repeat(base, 4, axis=0) + rng.normal(scale=2e-4, size=(80, 8))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "row_id long, embedding array<double>")
+    plain = similarity.cosine_edges(frame, 1.0, digits=6, pivots=0, block_rows=16)
+    routed = similarity.cosine_edges(frame, 1.0, digits=6, pivots=60, block_rows=16)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, routed.collect())) != []
+
+
+def test_zero_vectors_are_no_copies(spark):
+    rows = [(i, [0.0, 0.0]) for i in range(3)] + [(3, [1.0, 2.0]), (4, [2.0, 4.0]), (5, [1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "row_id long, embedding array<double>")
+    way, own = coverage.unit_key("embedding", "row_id")
+    keys = frame.select("row_id", way.alias("w"), own.alias("o")).collect()
+    assert len({(tuple(r.w or ()), r.o) for r in keys}) == 5

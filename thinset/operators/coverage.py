@@ -54,8 +54,15 @@ class SimilarityGraph:
         return run_cover(edges, nodes, k, order, n, self.cap, largest), edges
 
 
-def unit_key(vec_col: str):
-    """Direction of a vector, rounded so that copies compare equal."""
+def unit_key(vec_col: str, id_col: str):
+    """Direction of a vector, rounded so that copies compare equal.
+
+    A zero vector is similar to nothing, not even another one: its key is its id.
+    """
+    return F.when(norm(vec_col) > 0, _direction(vec_col)), F.when(norm(vec_col) == 0, F.col(id_col))
+
+
+def _direction(vec_col: str):
     return let(
         F.struct(F.col(vec_col).alias("x"), norm(vec_col).alias("n")),
         lambda v: F.transform(
@@ -87,7 +94,8 @@ def coverage_search(
     if not n or k <= 0:
         raise ValueError("coverage search needs rows and a positive k")
     if coverage < k / n:
-        keyed = vectors.select(F.col(id_col).alias("row_id"), unit_key(vec_col).alias("_dir"))
+        keyed = vectors.select(F.col(id_col).alias("row_id"), F.struct(*[
+            part.alias(name) for name, part in zip(("way", "own"), unit_key(vec_col, id_col))]).alias("_dir"))
         picks, seen = save_measured(
             duplicate_cover(keyed, ["_dir"], k), rows=F.count("*"), covered=F.sum("gain")
         )

@@ -72,23 +72,26 @@ def exemplar(style: str, sentence="sentence", head="head", tail="tail", relation
 
 
 def few_shot_block(
-    examples: DataFrame, group_cols: list[str], order_col: str, style: str = "plain",
-    shots: int = 64,
+    examples: DataFrame, group_cols: list[str], order_col: str, style: str = "plain", *,
+    shots: int,
 ) -> DataFrame:
     """Labelling prompt head per group: task, relation names, exemplars in order.
 
-    A prompt shows the first ``shots`` exemplars of its group.  They are chosen
-    before the shuffle as well as after it, so a big group is never gathered.
+    A prompt shows the first ``shots`` exemplars of its group, but names all of the
+    group's relations, in order of their first exemplar.  Names are made distinct and
+    exemplars chosen before they are gathered, so a big group never is.
     """
+    names = examples.groupBy(*group_cols, "name").agg(F.min(order_col).alias("_first")).groupBy(*group_cols).agg(
+        F.sort_array(F.collect_list(F.struct("_first", "name"))).alias("_names"))
     turn = F.row_number().over(Window.partitionBy(*group_cols).orderBy(order_col))
     ready = examples.withColumn("_turn", turn).filter(F.col("_turn") <= shots).select(
-        *group_cols, order_col, F.col("name").alias("_name"), exemplar(style).alias("_text"))
-    listed = F.sort_array(F.collect_list(F.struct(order_col, "_name", "_text")))
-    return ready.groupBy(*group_cols).agg(listed.alias("_all")).select(
+        *group_cols, order_col, exemplar(style).alias("_text"))
+    listed = F.sort_array(F.collect_list(F.struct(order_col, "_text")))
+    return ready.groupBy(*group_cols).agg(listed.alias("_all")).join(names, group_cols).select(
         *group_cols,
         _lines(
             F.lit(LABEL_TASK),
-            _named("Relation: ", F.array_join(F.array_distinct(F.col("_all._name")), "; ")),
+            _named("Relation: ", F.array_join(F.col("_names.name"), "; ")),
             F.lit(SEPARATOR),
             F.array_join(F.col("_all._text"), "\n"),
         ).alias("prompt"),

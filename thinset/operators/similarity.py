@@ -198,7 +198,9 @@ def similar_pairs(
             "grp", F.col("cell").alias("cell2"), F.col("blocks").alias("blocks2"),
             F.col("reach").alias("reach2"),
         )
-        widest = math.acos(max(-1.0, min(1.0, floor))) + 1e-6
+        # Rounding lifts a similarity by half a unit of the last digit at most.
+        lowest = floor - (0.5 * 10.0 ** -digits if digits is not None else 0.0)
+        widest = math.acos(max(-1.0, min(1.0, lowest))) + 1e-6
         gap = F.create_map(*[
             item for (c, d), angle in apart.items()
             for item in (F.lit(c * MAX_PIVOTS + d), F.lit(angle))

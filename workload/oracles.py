@@ -234,9 +234,9 @@ ORACLES = {
       s AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 3 <> 0),
       t AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 50), {set_scores('s', 't')}""",
     "csv_source": f"SELECT md5(text) AS text_key, quality AS label FROM {RATED}",
-    "relation_source": f"""SELECT 'Head Entity : ' || ws[1] || ' , Tail Entity : ' || ws[2] || ' ' || ws[3]
+    "relation_source": f"""SELECT 'Head Entity : ' || ws[1] || ' , Tail Entity : ' || ws[least(2, len(ws))] || ' ' || ws[least(3, len(ws))]
         || ' , Context : ' || array_to_string(ws, ' ') AS sentence, (conv_id % 64)::INTEGER AS label
-      FROM (SELECT conv_id, {WORDS} AS ws FROM conversations) WHERE len(ws) >= 3""",
+      FROM (SELECT conv_id, {WORDS} AS ws FROM conversations) WHERE len(ws) > 0""",
     "bio_token_source": f"""WITH {TOKENS} SELECT dense_rank() OVER (ORDER BY sentence_id) - 1 AS sentence_id,
         token_pos, sentence, label FROM tok""",
     "bio_sentence_source": f"""WITH {TOKENS} SELECT row_number() OVER (ORDER BY sentence_id) - 1 AS row_id,
@@ -256,9 +256,9 @@ ORACLES = {
         "'Sentence:'")} AS prompt FROM rel""",
     "few_shot_prompts": f"""WITH {EXAMPLES},
       t AS (SELECT *, replace(replace(sentence, 'order', '[order HEAD ENTITY]'), tail,
-              '[' || tail || ' TAIL ENTITY]') || ' Relation: ' || name AS line FROM ex WHERE turn <= 64),
+              '[' || tail || ' TAIL ENTITY]') || ' Relation: ' || name AS line FROM ex WHERE turn <= 8),
       firsts AS (SELECT o_custkey, string_agg(name, '; ' ORDER BY f) AS names FROM (
-        SELECT o_custkey, name, min(o_orderkey) AS f FROM t GROUP BY 1, 2) GROUP BY 1)
+        SELECT o_custkey, name, min(o_orderkey) AS f FROM ex GROUP BY 1, 2) GROUP BY 1)
       SELECT o_custkey, {lines(
         "'Identify the relation between the head entity and the tail entity in the given sentence.'",
         "'Relation: ' || any_value(names)", "'#####'",

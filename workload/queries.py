@@ -351,10 +351,12 @@ def relation_source(spark, folder):
     words = text.fields("text")
 
     def mention(*at):
-        where = F.to_json(F.array(F.array(*[F.lit(i) for i in at])))
+        # In a turn of fewer words the last one stands for those that are missing.
+        last = F.size(words) - 1
+        where = F.to_json(F.array(F.array(*[F.least(F.lit(i), last) for i in at])))
         return F.concat(F.lit('["n","Q1",'), where, F.lit("]"))
 
-    rows = table(spark, folder, "conversations").filter(F.size(words) >= 3).select(
+    rows = table(spark, folder, "conversations").filter(F.size(words) > 0).select(
         F.get(ids, (F.col("conv_id") % 64).cast("int")).alias("rel"),
         F.to_json(F.struct(words.alias("tokens"))).alias("tokens"),
     )
@@ -458,7 +460,7 @@ def _order_examples(spark, folder):
 
 
 def few_shot_prompts(spark, folder):
-    return prompts.few_shot_block(_order_examples(spark, folder), ["o_custkey"], "o_orderkey", "marked")
+    return prompts.few_shot_block(_order_examples(spark, folder), ["o_custkey"], "o_orderkey", "marked", shots=8)
 
 
 def exemplars(spark, folder):
@@ -509,7 +511,7 @@ def train_and_report(spark, folder):
 def method_sweep(spark, folder):
     train, test = sampling.holdout_split(rated_text(spark, folder), 0.1, SEED)
     found = experiment.sweep(
-        train, test, ["random", "stratified"], experiment.size_grid(train.count(), 3)[:2],
+        train, test, ["random", "stratified"], experiment.size_grid(train.count(), 3),
         dataset="documents",
     )
     path = new_path(spark, "sweep")
