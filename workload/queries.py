@@ -352,13 +352,13 @@ def relation_source(spark, folder):
 
     def mention(*at):
         # In a turn of fewer words the last one stands for those that are missing.
-        last = F.size(words) - 1
+        last = F.col("n_words") - 1
         where = F.to_json(F.array(F.array(*[F.least(F.lit(i), last) for i in at])))
         return F.concat(F.lit('["n","Q1",'), where, F.lit("]"))
 
     rows = table(spark, folder, "conversations").filter(F.size(words) > 0).select(
         F.get(ids, (F.col("conv_id") % 64).cast("int")).alias("rel"),
-        F.to_json(F.struct(words.alias("tokens"))).alias("tokens"),
+        F.to_json(F.struct(words.alias("tokens"))).alias("tokens"), F.size(words).alias("n_words"),
     )
     sample = F.concat(
         F.expr("substring(tokens, 1, length(tokens) - 1)"),
