@@ -18,6 +18,8 @@ least estimated cost, from counts over all small sets.
 * The first shingle a linked pair shares stands so early in both sets that the overlap
   it needs is still ahead: before n/7 in the smaller, n/4 in the larger.  Lists are
   joined on these two parts only, and with the exact place for the sizes of the pair.
+* A posting carries the open shingles just before it in its set.  A pair that shares one
+  of them has been met there, so a pair is mostly met once and not once a shared shingle.
 """
 
 from __future__ import annotations
@@ -46,6 +48,7 @@ LOCAL = 3           # a shingle is a candidate for "frequent" from so many sets
 RUN = 1_000_000     # shingles in such a run
 FREQUENT = 1 << 18  # most frequent shingles that the order knows of
 VERIFY = 60.0       # cost of verifying a pair, in posting rows
+BEFORE = 24         # earlier shingles of its set that a posting carries
 
 
 def needed(a: int, b: int, percent: int = PERCENT) -> int:
@@ -245,14 +248,20 @@ def _sized(percent: int) -> str:
 
 
 def _met(early: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components that share a shingle early enough in both sets."""
+    """Pairs across components that share a shingle early enough in both sets.
+
+    Where both carry a shared shingle that stands before this one in both sets, the pair
+    is left to that one: it fulfils all conditions at least as well, and of all shared
+    shingles the first has none before it.
+    """
     overlap = _overlap("n_a", "n_b", percent)
     left = early.select("shingle", F.col("id").alias("a"), F.col("n").alias("n_a"),
-                        F.col("at").alias("at_a"), F.col("part").alias("part_a"))
+                        F.col("at").alias("at_a"), F.col("part").alias("part_a"), F.col("before").alias("before_a"))
     right = postings.select(F.col("shingle").alias("_shingle"), F.col("id").alias("b"), F.col("n").alias("n_b"),
-                            F.col("at").alias("at_b"), F.col("part").alias("part_b"))
+                            F.col("at").alias("at_b"), F.col("part").alias("part_b"), F.col("before").alias("before_b"))
     fits = F.expr(f"shingle = _shingle AND part_a <> part_b AND (n_a < n_b OR n_a = n_b AND a < b) "
-                  f"AND 100 * n_a >= {percent} * n_b AND at_a <= n_a - {overlap} AND at_b <= n_b - {overlap}")
+                  f"AND 100 * n_a >= {percent} * n_b AND at_a <= n_a - {overlap} AND at_b <= n_b - {overlap} "
+                  f"AND NOT arrays_overlap(before_a, before_b)")
     return left.join(right, fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -324,7 +333,10 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     # a group of near copies meets its list's few strangers but never itself.
     largest = open_.groupBy("shingle", "part").agg(F.count("*").alias("c")).groupBy("shingle").agg(
         F.max(F.struct("c", "part"))["part"].alias("largest"))
-    sided = stored(open_.join(largest, "shingle").withColumn("inner", F.col("part") == F.col("largest")).drop("largest"), "sided")
+    sided = open_.join(largest, "shingle").withColumn("inner", F.col("part") == F.col("largest")).drop("largest")
+    # Sets of one document and size share a window: their pairs have the same conditions.
+    earlier = Window.partitionBy("id", "n").orderBy("at", "shingle").rowsBetween(-BEFORE, -1)
+    sided = stored(sided.withColumn("before", F.collect_list("shingle").over(earlier)), "sided")
     early = sided.where(f"at <= n - {_overlap('n', 'n', percent)}")
     met = _met(early.where("NOT inner"), sided, percent).union(_met(early.where("inner"), sided.where("NOT inner"), percent))
     met = stored(met.distinct(), "met")
