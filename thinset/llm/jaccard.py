@@ -48,7 +48,7 @@ LOCAL = 3           # a shingle is a candidate for "frequent" from so many sets
 RUN = 1_000_000     # shingles in such a run
 FREQUENT = 1 << 18  # most frequent shingles that the order knows of
 VERIFY = 60.0       # cost of verifying a pair, in posting rows
-BEFORE = 24         # earlier shingles of its set that a posting carries
+BEFORE = 3          # earlier shingles of its set that a posting carries
 
 
 def needed(a: int, b: int, percent: int = PERCENT) -> int:
