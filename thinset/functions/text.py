@@ -61,15 +61,23 @@ def relation_sentence(head, tail, relation) -> Column:
 def mark_entities(sentence, head, tail) -> Column:
     """Put ``[h HEAD ENTITY]`` and ``[t TAIL ENTITY]`` around every mention.
 
-    Mentions are literal text.  The head is marked first; a blank mention marks
-    nothing.
+    Mentions are literal text.  The original text is cut at the mentions of the head
+    and those of the tail are marked in the pieces, so no mark is marked again.  A
+    blank mention marks nothing; a null in any argument gives null.
     """
-    marked = _col(sentence)
-    for mention, mark in ((_col(head), HEAD_MARK), (_col(tail), TAIL_MARK)):
-        marked = F.when(mention == "", marked).otherwise(
-            F.replace(marked, mention, F.concat(F.lit("["), mention, F.lit(mark)))
-        )
-    return marked
+    sentence, head, tail = _col(sentence), _col(head), _col(tail)
+
+    def marked(mention, mark):
+        return F.concat(F.lit("["), mention, F.lit(mark))
+
+    def with_tails(piece):
+        return F.when(tail == "", piece).otherwise(F.replace(piece, tail, marked(tail, TAIL_MARK)))
+
+    literal = F.concat(F.lit(r"\Q"), F.replace(head, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    pieces = F.transform(F.split(sentence, literal, -1), with_tails)
+    joined = F.call_function("array_join", pieces, marked(head, HEAD_MARK))
+    whole = F.when(head == "", with_tails(sentence)).otherwise(joined)
+    return F.when(sentence.isNotNull() & head.isNotNull() & tail.isNotNull(), whole)
 
 
 def clean_text(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -120,12 +120,11 @@ def coverage_search(
         seen = cover.totals()
         reached = seen["covered"] / n
         probes.append((theta, reached))
-        if reached < coverage:
-            high, judged = probe, reached
-        elif coverage == 1.0 and seen["picks"] < k:
-            low, judged = probe, 0.0  # fully covered with picks to spare: go stricter
-        else:
-            low, judged = probe, reached
+        enough = reached >= coverage
+        low, high = (probe, high) if enough else (low, probe)
+        # Full coverage with picks to spare never ends the search: it goes on stricter.
+        spare = enough and coverage == 1.0 and seen["picks"] < k
+        judged = 0.0 if spare else reached
         if abs(judged - coverage) <= slack or high - low <= 1:
             return CoverageResult(cover.picks(edges), theta, judged, seen["picks"], probes)
         probe = (high + low) / 2

@@ -67,7 +67,8 @@ def read_labelled_csv(
 
     Only the two columns are parsed.  Quoted fields may hold line breaks if
     ``multiline`` is set, at the price of files that cannot be split.  Without a
-    ``label_type`` the labels are looked through: whole numbers become ``int``.
+    ``label_type`` the labels are looked through: whole numbers become ``int`` (of up to
+    nine digits) or ``long``, decimal numbers ``double``, anything else stays a string.
     """
     options = {"header": True, "sep": sep, "encoding": encoding, "escape": '"',
                "multiLine": multiline}
@@ -90,13 +91,26 @@ def read_labelled_csv(
     if limit is not None:
         rows = rows.filter(F.col("row_id") < limit)
     if label_type is None:
-        odd = rows.filter(~F.col("label").rlike(r"^\s*[+-]?\d{1,9}\s*$"))
-        label_type = "int" if odd.select("label").isEmpty() else "string"
+        label_type = _label_type(kept if limit is None else rows)
     if label_type == "string":
         return rows
     return rows.withColumn("label", F.trim("label").cast(label_type))
 
 
+# The first pattern that all labels fit gives their type.
+LABEL_TYPES = {
+    "int": r"^\s*[+-]?\d{1,9}\s*$", "long": r"^\s*[+-]?\d{1,18}\s*$",
+    "double": r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$",
+}
+
+
+def _label_type(rows: DataFrame) -> str:
+    """Type of the labels, from one pass over their column."""
+    odd = [F.count_if(~F.col("label").rlike(fits)).alias(name) for name, fits in LABEL_TYPES.items()]
+    found = rows.agg(*odd).first()
+    return next((name for name in LABEL_TYPES if not found[name]), "string")
+
+
 def load_sst2(spark: SparkSession, folder: str, test_folder: str | None = None):
     """``train.tsv`` and ``test.tsv`` with columns ``sentence`` and ``label``."""
     def split(where, name):

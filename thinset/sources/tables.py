@@ -7,13 +7,6 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Names of the score rankings a data set may come with.
-SCORE_METHODS = (
-    "aum", "conf_agree", "confident_learning", "data_iq", "data_maps",
-    "el2n", "forgetting", "large_loss", "prototypicality", "vog",
-)
-
-
 def write_ranking(ranking: DataFrame, path: str) -> None:
     """Store ``(method, rank, row_id)``, one folder per method, ordered by rank."""
     (

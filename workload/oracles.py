@@ -184,8 +184,9 @@ ORACLES = {
         'the relation between ' || c_name || ' and ' || o_orderpriority || ' is ' || c_mktsegment
           AS stated
       FROM orders JOIN customer ON o_custkey = c_custkey""",
-    "marked_entities": f"""SELECT conv_id, turn, replace(replace(text, ws[1], '[' || ws[1] || ' HEAD ENTITY]'),
-        ws[-1], '[' || ws[-1] || ' TAIL ENTITY]') AS marked
+    "marked_entities": f"""SELECT conv_id, turn, CASE WHEN ws[1] = '' THEN text ELSE replace(array_to_string(list_transform(
+        string_split(text, ws[1]), lambda x: replace(x, ws[-1], '[' || ws[-1] || ' TAIL ENTITY]')),
+        chr(1)), chr(1), '[' || ws[1] || ' HEAD ENTITY]') END AS marked
       FROM (SELECT *, {WORDS} AS ws FROM conversations)""",
     "vocabulary_index": """SELECT p_partkey, p_brand AS label,
         (dense_rank() OVER (ORDER BY p_brand) - 1)::INTEGER AS label_idx FROM part""",
@@ -274,6 +275,44 @@ ORACLES = {
         "'Generate text with all the given entities in the AI domain.'",
         "'Entities: ' || string_agg(DISTINCT p_brand, ', ' ORDER BY p_brand)")} AS prompt
       FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey""",
+    "dispatcher_cases": f"""SELECT 'none' AS method, doc_id FROM documents
+      UNION ALL SELECT 'whole', doc_id FROM documents
+      UNION ALL SELECT 'random', doc_id FROM ({lowest_lots('documents', 'doc_id', 50, 'doc_id')})
+      UNION ALL SELECT 'longest', doc_id FROM (
+        SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50)""",
+    "acs_duplicates": """WITH v AS (SELECT vec_id, embedding FROM embeddings
+        UNION ALL SELECT vec_id + 1000000000, embedding FROM embeddings WHERE vec_id % 3 = 0),
+      g AS (SELECT min(vec_id) AS id, count(*) AS gain FROM v GROUP BY embedding
+        UNION ALL SELECT vec_id + 2000000000, 1 FROM embeddings WHERE vec_id % 7 = 0)
+      SELECT id, gain, row_number() OVER (ORDER BY gain DESC, id) AS pick_rank FROM g""",
+    "train_and_dev_source": f"""WITH {TOKENS} SELECT
+        row_number() OVER (ORDER BY sentence_id % 2, sentence_id) - 1 AS row_id,
+        array_to_string(ws, ' ') AS sentence FROM w""",
+    "sst2_source": """SELECT split, row_number() OVER (PARTITION BY split ORDER BY c_custkey) - 1 AS row_id,
+        c_name || ' ' || c_mktsegment AS sentence, c_nationkey::INTEGER AS label
+      FROM customer, (VALUES ('train'), ('test')) s(split)""",
+    "limited_source": """SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_id,
+        c_name || ' ' || c_mktsegment AS sentence, c_nationkey::INTEGER AS label
+      FROM customer ORDER BY c_custkey LIMIT 100""",
+    "stored_embeddings": """SELECT vec_id, len(embedding)::INTEGER AS dims,
+        round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 4) AS norm FROM embeddings""",
+    "entity_catalogue": """SELECT lower(r_name) AS entity, lower(r_name) || ': a nation of it' AS definition,
+        'see below' AS examples, 15 AS wanted, 'AI' AS domain,
+        row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey)::INTEGER AS place, n_name AS example
+      FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "relation_definitions": """SELECT p_partkey::VARCHAR AS name, 'made by ' || p_brand AS definition FROM part""",
+    "stored_model": "SELECT doc_id, true AS known FROM documents WHERE text IS NOT NULL",
+    "embedded_tfidf": r"""SELECT doc_id, 256 AS dims,
+        CASE WHEN regexp_matches(text, '\w') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents""",
+    "train_and_report": f"""WITH {stratified(RATED, 'doc_id', 'quality', 'ceil(count(*) / 10)::BIGINT')},
+      r AS (SELECT quality FROM ranked WHERE place <= q)
+      SELECT quality::VARCHAR AS class, count(*) AS support FROM r GROUP BY quality
+      UNION ALL SELECT name, (SELECT count(*) FROM r)
+      FROM (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) x(name)""",
+    "method_sweep": f"""WITH n AS (SELECT count(*) - ceil(count(*) / 10)::BIGINT AS n FROM {RATED}),
+      sizes AS (SELECT unnest([100, round_even((100 + n) / 2, 0), n]) AS k FROM n)
+      SELECT 'documents' AS dataset, method, k::INTEGER AS k, 0 AS repeat, 42 AS seed
+      FROM sizes, (VALUES ('random'), ('stratified')) m(method)""",
     "embedded_texts": """SELECT doc_id, length(text)::DOUBLE AS length,
         (length(text) - length(replace(text, 'e', '')))::DOUBLE AS e_count FROM documents""",
 }

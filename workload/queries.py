@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from thinset.functions import arrays, text
 from thinset.operators import cover, degree, metrics, prompts, sampling, similarity
 from thinset.operators.coverage import coverage_search, sample_acs
 from thinset.plans import experiment, model
+from thinset.plans.downsample import downsample, register_sampler
 from thinset.sources import catalogues, files, tables, vocabulary
 from thinset.workspace import new_path, save, spread, with_position
 
@@ -101,6 +105,23 @@ def shuffled_rows(spark, folder):
     return with_position(docs, [sampling.lot(SEED, "doc_id"), F.col("doc_id")], "place")
 
 
+def dispatcher_cases(spark, folder):
+    """The cases of the dispatcher: no sampling, k not below n, a registered sampler with an extra."""
+    docs = table(spark, folder, "documents").select("doc_id", "n_chars")
+
+    def longest(df, k, *, column, id_col, **_):
+        return df.orderBy(F.col(column).desc(), id_col).limit(k)
+
+    register_sampler("longest", longest)
+    cases = {
+        "none": downsample(docs, "None"), "whole": downsample(docs, "random", docs.count(), id_col="doc_id"),
+        "random": downsample(docs, "random", 50, SEED, id_col="doc_id"),
+        "longest": downsample(docs, "longest", 50, id_col="doc_id", column="n_chars"),
+    }
+    parts = [found.select(F.lit(name).alias("method"), "doc_id") for name, found in cases.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ---- counts, text, vocabulary ---------------------------------------------
 
 def label_distribution(spark, folder):
@@ -251,6 +272,18 @@ def acs_picks(spark, folder):
     return found.picks
 
 
+def acs_duplicates(spark, folder):
+    """The branch for samples larger than the wanted coverage: copies (of another
+    length) are picked once, zero vectors are copies of nothing."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    longer = rows.filter("vec_id % 3 = 0").select(
+        F.col("vec_id") + 1_000_000_000, F.transform("embedding", lambda x: x * F.lit(2).cast("float")))
+    zeros = rows.filter("vec_id % 7 = 0").select(
+        F.col("vec_id") + 2_000_000_000, F.transform("embedding", lambda x: F.lit(0).cast("float")))
+    vectors = save(rows.union(longer).union(zeros))
+    return coverage_search(vectors, vectors.count(), 0.5, id_col="vec_id").picks
+
+
 def duplicate_cover(spark, folder):
     docs = table(spark, folder, "documents")
     return cover.duplicate_cover(docs, ["text"], 50, "doc_id")
@@ -369,9 +402,9 @@ def relation_source(spark, folder):
     return files.load_fewrel(spark, path, lines=True).select("sentence", "label")
 
 
-def _write_bio(spark, folder):
-    path = new_path(spark, "bio")
-    lines = _tokens(spark, folder).groupBy("sentence_id").agg(
+def _write_bio(spark, folder, path=None, which="true"):
+    path = path or new_path(spark, "bio")
+    lines = _tokens(spark, folder).filter(which).groupBy("sentence_id").agg(
         F.sort_array(F.collect_list(F.struct(
             "token_pos", F.concat_ws(" ", "sentence", "label").alias("line")
         ))).alias("_l")
@@ -397,6 +430,75 @@ def bio_sentence_source(spark, folder):
     return files.load_bio_sentences(spark, _write_bio(spark, folder)).select("row_id", "sentence")
 
 
+def train_and_dev_source(spark, folder):
+    """Tagged turns as train, dev and test files; the dev part goes on after train."""
+    path = new_path(spark, "tagged")
+    for name, which in (("train", "sentence_id % 2 = 0"), ("dev", "sentence_id % 2 = 1"), ("test", "true")):
+        _write_bio(spark, folder, f"{path}/{name}.txt", which)
+    data = files.load_dataset(spark, "crossner", {"train_path": path})
+    return data.train.select("row_id", "sentence")
+
+
+def _write_segments(spark, folder, path):
+    """Customers as labelled TSV in order of their keys."""
+    table(spark, folder, "customer").orderBy("c_custkey").select(
+        F.concat_ws(" ", "c_name", "c_mktsegment").alias("sentence"), F.col("c_nationkey").alias("label")
+    ).write.options(header=True, sep="\t").csv(path)
+
+
+def sst2_source(spark, folder):
+    """Both splits of a folder of TSV files, through the router by name."""
+    path = new_path(spark, "splits")
+    for name in ("train.tsv", "test.tsv"):
+        _write_segments(spark, folder, f"{path}/{name}")
+    data = files.load_dataset(spark, "sst2", {"train_path": path})
+    parts = [part.select(F.lit(name).alias("split"), "row_id", "sentence", "label")
+             for name, part in (("train", data.train), ("test", data.test))]
+    return parts[0].unionByName(parts[1])
+
+
+def limited_source(spark, folder):
+    """The first 100 rows of delimited files in file order."""
+    path = new_path(spark, "tsv")
+    _write_segments(spark, folder, path)
+    return files.read_labelled_csv(spark, path, "sentence", "label", sep="\t", limit=100)
+
+
+def stored_embeddings(spark, folder):
+    path = new_path(spark, "vectors")
+    table(spark, folder, "embeddings").write.parquet(path)
+    vectors = tables.read_embeddings(spark, path, "vec_id")
+    return vectors.select("vec_id", F.size("embedding").alias("dims"),
+                          F.round(arrays.norm("embedding"), 4).alias("norm"))
+
+
+def entity_catalogue(spark, folder):
+    """One prompt file per region that lists its nations, read back as rows."""
+    rows = table(spark, folder, "nation").join(
+        table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    )
+    place = F.row_number().over(Window.partitionBy("r_regionkey").orderBy("n_nationkey"))
+    numbered = rows.select("r_regionkey", "r_name", place.alias("place"), "n_name")
+    entity = F.lower("r_name")
+    text_ = numbered.groupBy("r_regionkey", "r_name").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("place", "n_name"))),
+        lambda x: F.concat(x["place"].cast("string"), F.lit(". "), x["n_name"])), "\n").alias("items")
+    ).select("r_regionkey", F.concat(
+        entity, F.lit(": a nation of it\nExamples: see below\nGenerate 15 different "), entity,
+        F.lit(" entities in the AI domain.\n"), F.col("items")).alias("value"))
+    path = new_path(spark, "entities")
+    text_.repartition("r_regionkey").write.partitionBy("r_regionkey").text(path)
+    return catalogues.read_entity_catalogue(spark, path)
+
+
+def relation_definitions(spark, folder):
+    path = new_path(spark, "definitions")
+    table(spark, folder, "part").select(F.concat(
+        F.lit("Relation: "), "p_partkey", F.lit("\nRelation Definition: made by "), "p_brand").alias("value")
+    ).write.text(path)
+    return catalogues.read_relation_definitions(spark, path)
+
+
 def relation_catalogue(spark, folder):
     """One prompt file per supplier, read back as catalogue rows."""
     rows = table(spark, folder, "supplier").join(
@@ -502,10 +604,20 @@ def embedded_tfidf(spark, folder):
 
 
 def train_and_report(spark, folder):
+    """Classes and support of a whole run's report; the scores depend on the model."""
     _, report = experiment.run_experiment(
         rated_text(spark, folder), method="stratified", k=200, stratify=True
     )
-    return report
+    return report.select("class", "support")
+
+
+def stored_model(spark, folder):
+    """Every text labelled by a model that was trained, stored and loaded again."""
+    path = new_path(spark, "classifier")
+    model.train_classifier(rated_text(spark, folder), path=path)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = model.predict(path, docs)
+    return found.select("doc_id", F.col("predicted_label").isin("0", "1").alias("known"))
 
 
 def method_sweep(spark, folder):
@@ -516,7 +628,8 @@ def method_sweep(spark, folder):
     )
     path = new_path(spark, "sweep")
     tables.write_sweep(found, path)
-    return spark.read.schema(experiment.SWEEP_SCHEMA).parquet(path)
+    stored = spark.read.schema(experiment.SWEEP_SCHEMA).parquet(path)
+    return stored.select("dataset", "method", "k", "repeat", "seed")
 
 
 QUERIES = {
@@ -532,6 +645,7 @@ QUERIES = {
         tuple_scores, csv_source, relation_source, bio_token_source, bio_sentence_source,
         relation_catalogue, batch_predictions, pair_prompts, sentence_prompts, few_shot_prompts,
         exemplars, entity_set_prompts, embedded_texts, embedded_tfidf, train_and_report,
-        method_sweep,
+        method_sweep, dispatcher_cases, acs_duplicates, train_and_dev_source, sst2_source,
+        limited_source, stored_embeddings, entity_catalogue, relation_definitions, stored_model,
     )
 }
