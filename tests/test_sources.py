@@ -176,3 +176,15 @@ def test_prediction_files_and_models(spark, tmp_path):
     found = experiment.sweep(train, train, ["none", "random"], [20, 60], 2, "demo", skip_full=True)
     assert [(r.k, r.method, r.seed) for r in found.collect()] == [
         (20, "none", 42), (20, "none", 84), (20, "random", 42), (20, "random", 84)]
+
+
+def test_entity_and_diverse_prompts(spark, tmp_path):
+    text = ("City: The city entity.\nExamples: 1. Rome 2. Oslo\n"
+            "Generate 15 different City entities in the AI domain.\nCity:\n1. Rome\n2. Oslo")
+    (tmp_path / "prompt_city.txt").write_text(text)
+    listed = catalogues.read_entity_catalogue(spark, str(tmp_path / "prompt_city.txt"))
+    assert [tuple(r) for r in prompts.entity_list_prompts(listed).collect()] == [("City", text)]
+    row = spark.createDataFrame([("a", "b", "r")], "head string, tail string, name string")
+    assert row.select(prompts.diverse_sentence_prompt()).first()[0] == (
+        "Generate a sentence with the given entities and relation in a diverse style.\n"
+        "Head Entity: a; Tail Entity: b\nRelation: r\nSentence:")

@@ -11,6 +11,8 @@ from ..functions.text import linearize_tagged, mark_entities, relation_sentence
 # Fixed wording of the prompts.
 PAIRS_TASK = "Generate {count} different Head Entity and Tail Entity with the given Relation."
 SENTENCE_TASK = "Generate a sentence with the given entities and relation."
+DIVERSE_TASK = "Generate a sentence with the given entities and relation in a diverse style."
+LISTED_TASK = "Generate {count} different {entity} entities in the {domain} domain."
 ENTITIES_TASK = "Generate text with all the given entities in the {domain} domain."
 LABEL_TASK = "Identify the relation between the head entity and the tail entity in the given sentence."
 SEPARATOR = "#####"
@@ -48,6 +50,29 @@ def sentence_prompt(head: str = "head", tail: str = "tail") -> Column:
     )
 
 
+def diverse_sentence_prompt(head: str = "head", tail: str = "tail") -> Column:
+    """Ask for a sentence on a pair and the relation ``name``, without an example."""
+    return _lines(F.lit(DIVERSE_TASK), _pair(head, tail), _named("Relation: ", "name"), F.lit("Sentence:"))
+
+
+def entity_list_prompts(catalogue: DataFrame) -> DataFrame:
+    """Ask for more entities of each type of an entity catalogue (``entity, prompt``).
+
+    The examples of a type are numbered by ``place``; a type without any ends at its
+    heading.  The lists come from one small file a type.
+    """
+    item = F.when(F.col("example").isNotNull(), F.struct(
+        "place", F.concat(F.col("place").cast("string"), F.lit(". "), F.col("example")).alias("line")))
+    kinds = catalogue.groupBy("entity", "definition", "examples", "wanted", "domain").agg(
+        F.sort_array(F.collect_list(item)).alias("_items"))
+    task = F.lit(LISTED_TASK)
+    for slot, value in (("count", "wanted"), ("entity", "entity"), ("domain", "domain")):
+        task = F.replace(task, F.lit("{" + slot + "}"), F.col(value).cast("string"))
+    return kinds.select("entity", F.array_join(F.concat(
+        F.array("definition", F.concat(F.lit("Examples: "), "examples"), task,
+                F.concat("entity", F.lit(":"))), F.col("_items.line")), "\n").alias("prompt"))
+
+
 def entity_set_prompts(
     df: DataFrame, group_col: str, entity_col: str, domain: str = "AI"
 ) -> DataFrame:
