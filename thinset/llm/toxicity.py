@@ -1,38 +1,45 @@
-"""Class-conditional Kneser-Ney models over characters.
-
-Two interpolated models of four characters, one of the texts labelled toxic and one of
-the others, share all their lower orders: continuation counts (distinct left
-neighbours) pooled over both classes.  An expression that neither class has seen
-often therefore gets the same backoff probability from both and says nothing.  The
-score compares the two log-likelihoods after division by the root of the length, by
-which the noise of a sum grows, and is calibrated by a logistic curve.
-
-Text is read as a string over 32 symbols (letters a-z in either case, five classes of
-bytes above ASCII, one symbol for any run of other characters), so all counts are exact
-and the table of all four-symbol strings has 2**20 cells whatever the corpus size.
+"""Class-conditional Kneser-Ney models over characters and over words.
+
+Interpolated models of the texts labelled toxic and of the others, twice: of four
+characters, whose lower orders (continuation counts: distinct left neighbours) are pooled
+over both classes, and of word pairs, which back off to the word (continuation counts of
+the class) and then to the pooled words.  What neither class has seen gets the same
+probability from both and says nothing.  Both log-likelihood ratios, divided by the root
+of the length, by which the noise of a sum grows, go into one logistic curve.
+
+Text is read as code points in lower case; a word is a run of letters, marks and digits
+of any script, signs of scripts written without spaces are words of their own, and all
+between words is one separator.  All counts are shuffled aggregates whose size grows
+with the text.  The log ratio of a text is a sum over its distinct n-grams, each an entry
+of one stored table: entries that occur often (at most FREQUENT) are looked up where the
+text is read, all others by a join.  Entries are whole multiples of 1 / SCALE, so where
+they are added changes nothing.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thinset.llm.tables import if_small, packed, unpacked
-from thinset.llm.words import runs, texts_of
+from thinset.llm.tables import BROADCAST_ROWS, if_small, packed, stored, unpacked
+from thinset.llm.words import grams, hashes, mix, runs
 
-ORDER, SYMBOLS = 4, 32
-CELLS = SYMBOLS ** ORDER
 DISCOUNT = 0.75
+ORDER = 4                   # characters of an n-gram; words have no bound
+SCALE = 1 << 24
+FREQUENT = 1 << 20          # entries a task holds; the others are joined
 CALIBRATION_ROWS = 20_000   # labelled rows the logistic curve is fitted on, at most
 FOLDS = 5                   # remainder 0 is held out, remainder 4 calibrates, the rest count
 
-_SYMBOL = np.zeros(256, np.int64)
-_SYMBOL[97:123] = np.arange(1, 27)
-_SYMBOL[128:] = 27 + np.arange(128) % 5
+_START = np.uint64(0x5851F42D4C957F2D)   # the history of a first word
+_HISTORY = 0x14057B7EF767814F            # a history's key is its word's hash xor this
+_ENTRIES = "key long, value long, n long, chars boolean"
 
 
 def fold(doc_id):
@@ -40,94 +47,311 @@ def fold(doc_id):
     return F.coalesce(F.crc32(F.col(doc_id).cast("long").cast("string").cast("binary")) % FOLDS, F.lit(0))
 
 
-def _cells(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, cell of each four symbols, row offsets) of runs of texts."""
+@cache
+def _alphabet() -> tuple[np.ndarray, np.ndarray]:
+    """Kind (0 between words, 1 part of a word, 2 a word) and lower case of each code point."""
+    kind, lower = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    for point in range(0x110000):
+        char = chr(point)
+        if unicodedata.category(char)[0] in "LMN":
+            kind[point] = 1
+            small = char.lower()
+            if len(small) == 1:
+                lower[point] = ord(small)
+    # Thai to Myanmar, Khmer, kana, ideographs
+    for first, last in ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3041, 0x30FF),
+                        (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)):
+        kind[first:last + 1] *= 2
+    return kind, lower
+
+
+def _points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and the row offsets among them."""
+    lead = (data & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    rows = np.concatenate([[0], np.cumsum(lead)])[offsets]
+    body = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32)
+    a, b, c, d = (body[at + j] for j in range(4))
+    b, c, d = b & 63, c & 63, d & 63
+    points = np.select([a < 0x80, a < 0xE0, a < 0xF0],
+                       [a, (a & 31) << 6 | b, (a & 15) << 12 | b << 6 | c], (a & 7) << 18 | b << 12 | c << 6 | d)
+    return np.minimum(points, 0x10FFFF).astype(np.uint32), rows
+
+
+def _words(column: pa.Array) -> Iterator[tuple]:
+    """(first row, word hashes, their histories, word offsets, character n-grams, their offsets) of runs of texts."""
+    kinds, lower = _alphabet()
     for row, data, offsets in runs(column):
-        symbols = _SYMBOL[data]
-        first = np.zeros(len(data) + 1, bool)
-        first[offsets] = True
-        keep = symbols != 0
-        keep[1:] |= (symbols[:-1] != 0) | first[1:len(data)]
-        if len(data):
-            keep[0] = True
-        kept = np.concatenate([[0], np.cumsum(keep)])[offsets]
-        symbols = symbols[keep]
-        # Each text starts with ORDER - 1 separators of its own.
-        lengths = np.diff(kept)
-        at = np.concatenate([[0], np.cumsum(lengths + ORDER - 1)])
-        padded = np.zeros(at[-1], np.int64)
-        padded[np.arange(len(symbols)) + np.repeat((ORDER - 1) * np.arange(1, len(lengths) + 1), lengths)] = symbols
-        cell = np.zeros(max(0, len(padded) - ORDER + 1), np.int64)
-        for j in range(ORDER):
-            cell = cell * SYMBOLS + padded[j:len(padded) - ORDER + 1 + j]
-        inside = np.ones(len(cell), bool)
-        for j in range(1, ORDER):  # windows that reach into the next text
-            cut = at[1:-1] - j
-            inside[cut[(cut >= 0) & (cut < len(cell))]] = False
-        yield row, cell[inside], np.concatenate([[0], np.cumsum(lengths)])
+        points, at = _points(data, offsets)
+        kind = kinds[points]
+        points = lower[points]
+        before, after = np.zeros(len(kind), np.uint8), np.zeros(len(kind), np.uint8)
+        before[1:], after[:-1] = kind[:-1], kind[1:]
+        edge = at[(at > 0) & (at < len(kind))]
+        before[edge] = 0
+        after[edge - 1] = 0
+        starts = np.flatnonzero((kind == 2) | (kind == 1) & (before != 1))
+        ends = np.flatnonzero((kind == 2) | (kind == 1) & (after != 1)) + 1
+        word = hashes(points, starts, ends)
+        cut = np.searchsorted(starts, at)
+        history = np.full(len(word), _START)
+        history[1:] = word[:-1]
+        history[cut[:-1][cut[:-1] < len(word)]] = _START
+        yield row, word, history, cut, *_windows(np.where(kind > 0, points, 0), at)
+
+
+def _windows(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ORDER symbols up to each symbol, a row each, and the offsets of texts; a run of 0 is one separator."""
+    first = np.zeros(len(symbols) + 1, bool)
+    first[offsets] = True
+    keep = symbols != 0
+    keep[1:] |= (symbols[:-1] != 0) | first[1:len(symbols)]
+    keep[:1] = True
+    kept = np.concatenate([[0], np.cumsum(keep)])[offsets]
+    symbols, lengths = symbols[keep], np.diff(kept)
+    # Each text starts with ORDER - 1 separators of its own.
+    at = np.arange(len(symbols)) + np.repeat((ORDER - 1) * np.arange(1, len(lengths) + 1), lengths)
+    padded = np.zeros(len(symbols) + (ORDER - 1) * len(lengths), np.uint32)
+    padded[at] = symbols
+    return np.stack([padded[at - j] for j in range(ORDER - 1, -1, -1)], axis=1), kept
+
+
+def _keys(windows: np.ndarray) -> np.ndarray:
+    """64-bit hash of each window."""
+    total = np.full(len(windows), ORDER, np.uint64)
+    for j in range(ORDER):
+        total = mix(total * np.uint64(0x9DDFEA08EB382D69) + windows[:, j])
+    return total
+
+
+def _histories(windows: np.ndarray) -> np.ndarray:
+    """The windows with a mark in place of their last symbol."""
+    before = windows.copy()
+    before[:, -1] = 0xFFFFFFFF
+    return before
+
+
+def _pairs(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64-bit hash of each history with its word."""
+    both = np.empty(2 * len(word), np.uint64)
+    both[0::2], both[1::2] = history, word
+    return grams(both, 2)[0::2]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of this task by fold and label; one row per cell that occurs."""
-    totals: dict[tuple[int, int], np.ndarray] = {}
+    """Word pairs and character n-grams (with their text, without words) of each run of texts."""
+    names = ["part", "label", "key", "history", "word", "gram", "n"]
     for batch in batches:
-        kind = np.array(batch.column(1).to_pylist()), np.array(batch.column(2).to_pylist())
-        for row, cell, offsets in _cells(batch.column(0)):
-            n = len(offsets) - 1
-            part, label = (np.repeat(k[row:row + n], np.diff(offsets)) for k in kind)
-            for key in {(int(a), int(b)) for a, b in zip(kind[0][row:row + n], kind[1][row:row + n])}:
-                have = totals.setdefault(key, np.zeros(CELLS, np.int64))
-                have += np.bincount(cell[(part == key[0]) & (label == key[1])], minlength=CELLS)
-    for (part, label), counts in totals.items():
-        cell = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(cell), part)), pa.array(np.full(len(cell), label)),
-             pa.array(cell), pa.array(counts[cell])], ["part", "label", "cell", "n"])
-
-
-def log_ratios(counts: np.ndarray) -> np.ndarray:
-    """log p(last symbol | three before, toxic) - the same for ordinary, of every cell.
-
-    ``counts`` has the cells of ordinary and of toxic texts.  A class without any count
-    says nothing: all ratios are 0.
-    """
-    if not counts.sum(axis=1).all():
-        return np.zeros(CELLS, np.float32)
-    types = (counts.sum(axis=0) > 0).reshape([SYMBOLS] * ORDER)
-    lower = types.sum(axis=tuple(range(ORDER - 1))) + 1.0
-    lower /= lower.sum()
-    for order in range(2, ORDER):
-        lower = _interpolate(types.sum(axis=tuple(range(ORDER - order))).astype(float), lower)
-    ordinary, toxic = (_interpolate(c.reshape([SYMBOLS] * ORDER).astype(float), lower) for c in counts)
-    return (np.log(toxic) - np.log(ordinary)).ravel().astype(np.float32)
+        kinds = batch.column(1).to_numpy(zero_copy_only=False) * 2 + batch.column(2).to_numpy(zero_copy_only=False)
+        for row, word, history, cut, windows, kept in _words(batch.column(0)):
+            own = kinds[row:row + len(cut) - 1]
+            of_word, of_window = np.repeat(own, np.diff(cut)), np.repeat(own, np.diff(kept))
+            every = _keys(windows)
+            for k in np.unique(own):
+                at = np.flatnonzero(of_word == k)
+                pair, first, n = np.unique(_pairs(history[at], word[at]), return_index=True, return_counts=True)
+                here = np.flatnonzero(of_window == k)
+                gram, one, m = np.unique(every[here], return_index=True, return_counts=True)
+                shown = np.where(windows[here[one]] == 0, np.uint32(32), windows[here[one]]).tobytes()
+                chars = shown.decode("utf-32-le", "replace")
+                size = len(pair) + len(gram)
+                before, none = _keys(_histories(windows[here[one]])), np.zeros(len(gram), np.uint64)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(size, k // 2)), pa.array(np.full(size, k % 2)),
+                    pa.array(np.concatenate([pair, gram]).view(np.int64)),
+                    pa.array(np.concatenate([history[at[first]], before]).view(np.int64)),
+                    pa.array(np.concatenate([word[at[first]], none]).view(np.int64), mask=np.arange(size) >= len(pair)),
+                    pa.array([None] * len(pair) + [chars[i:i + ORDER] for i in range(0, len(chars), ORDER)], pa.string()),
+                    pa.array(np.concatenate([n, m]))], names)
 
 
-def _interpolate(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    total = counts.sum(-1, keepdims=True)
-    spare = np.minimum(counts, DISCOUNT).sum(-1, keepdims=True)
-    own = np.maximum(counts - DISCOUNT, 0) + spare * lower
-    return np.where(total > 0, own / np.maximum(total, 1), np.broadcast_to(lower, counts.shape))
+def _own(n: str):
+    return F.greatest(F.col(n) - F.lit(DISCOUNT), F.lit(0.0))
 
 
-def _features(total: np.ndarray, length: np.ndarray) -> np.ndarray:
-    root = np.sqrt(np.maximum(length, 1.0))
-    return np.stack([np.ones(len(root)), total / root, root / 50], axis=1)
+def _spare(n: str):
+    return F.sum(F.least(F.col(n).cast("double"), F.lit(DISCOUNT)))
+
+
+def _broadcast(table: DataFrame) -> DataFrame:
+    """A stored ``table`` with a broadcast hint if it is small; its rows are counted by its files."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _sums() -> list:
+    return [F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
 
 
-def _sums(ratios: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Log-likelihood ratio and number of symbols of each text."""
-    totals, lengths = [], []
-    for _, cell, offsets in _cells(column):
-        running = np.concatenate([[0.0], np.cumsum(ratios[cell], dtype=np.float64)])
-        totals.append(running[offsets[1:]] - running[offsets[:-1]])
-        lengths.append(np.diff(offsets))
-    return np.concatenate(totals or [np.zeros(0)]), np.concatenate(lengths or [np.zeros(0)])
+def _fixed(x):
+    return F.round(x * SCALE).cast("long").alias("value")
+
+
+def character_ratios(counted: DataFrame) -> DataFrame:
+    """(key, value, n): what a history and an n-gram add to log p(last character | history, toxic) - the same for ordinary.
+
+    The lower orders are pooled over both classes and cancel where neither has seen the n-gram.
+    """
+    top = counted.where("gram IS NOT NULL").groupBy("key", "history", "gram").agg(*_sums())
+    top = stored(top, "characters")
+    levels = [top.select("gram")]
+    for size in range(ORDER - 1, 0, -1):
+        shorter = F.substring("gram", 2, size).alias("gram")
+        levels.append(levels[-1].select(shorter).groupBy("gram").agg(F.count("*").alias("n")))
+    total, spare, chars = levels[-1].agg(F.sum("n"), _spare("n"), F.count("*")).first()
+    p = levels[-1].select("gram", ((_own("n") + spare / (chars + 1)) / total).alias("p"))
+    for size in range(2, ORDER):
+        p = _joined(levels[ORDER - size], p, size, ["n"]).select(
+            "gram", ((_own("n") + F.col("s_n") * F.col("lower")) / F.col("t_n")).alias("p"))
+    both = _joined(top, stored(p, "lower"), ORDER, ["n0", "n1"])
+    back = [F.when(F.col(f"t_n{c}") > 0, F.col(f"s_n{c}") / F.col(f"t_n{c}")).otherwise(1.0) for c in (0, 1)]
+    p = [_own(f"n{c}") / F.greatest(f"t_n{c}", F.lit(1)) + back[c] * F.col("lower") for c in (0, 1)]
+    # Every n-gram of a history has the same sums of it.
+    histories = both.groupBy(F.col("history").alias("key")).agg(
+        *[F.first(f"{x}_n{c}").alias(f"{x}_n{c}") for c in (0, 1) for x in "ts"]).select(
+        "key", _fixed(F.log(back[1] / back[0])), (F.col("t_n0") + F.col("t_n1")).alias("n"))
+    grams = both.select("key", (_fixed(F.log(p[1] / p[0])) - _fixed(F.log(back[1] / back[0]))).alias("value"),
+                        (F.col("n0") + F.col("n1")).alias("n"))
+    return histories.unionByName(grams).withColumn("chars", F.lit(True))
+
+
+def _joined(level: DataFrame, p: DataFrame, size: int, counts: list[str]) -> DataFrame:
+    """``level`` with the sums of its history (t_, s_) and the probability of the next lower order."""
+    level = level.withColumns({"left": F.substring("gram", 1, size - 1), "right": F.substring("gram", 2, size - 1)})
+    left = level.groupBy("left").agg(*[F.sum(c).alias(f"t_{c}") for c in counts], *[_spare(c).alias(f"s_{c}") for c in counts])
+    return level.join(left, "left").join(p.select(F.col("gram").alias("right"), F.col("p").alias("lower")), "right")
+
+
+def word_ratios(counted: DataFrame) -> DataFrame | None:
+    """(key, value, n): what a word, a history and a pair add to log p(word | history, toxic) - the same for ordinary."""
+    pairs = counted.where("gram IS NULL").groupBy("key", "history", "word").agg(*_sums())
+    left = pairs.groupBy(F.col("history").alias("word")).agg(
+        *[F.sum(f"n{c}").alias(f"t{c}") for c in (0, 1)], *[_spare(f"n{c}").alias(f"s{c}") for c in (0, 1)])
+    right = pairs.groupBy("word").agg(*[F.count_if(F.col(f"n{c}") > 0).alias(f"k{c}") for c in (0, 1)],
+                                      F.count("*").alias("k"), F.sum(F.col("n0") + F.col("n1")).alias("n"))
+    table = stored(right.join(left, "word", "full_outer"), "words")
+    of = table.agg(*[F.sum(f"k{c}") for c in (0, 1)], *[_spare(f"k{c}") for c in (0, 1)],
+                   F.sum("k"), _spare("k"), F.count("k")).first()
+    if not (of[0] and of[1]):
+        return None
+    pooled = (_own("k") + of[5] / (of[6] + 1)) / of[4]
+    low = [(_own(f"k{c}") + of[2 + c] * pooled) / of[c] for c in (0, 1)]
+    back = [F.when(F.col(f"t{c}") > 0, F.col(f"s{c}") / F.col(f"t{c}")).otherwise(1.0) for c in (0, 1)]
+    table = table.select("word", "n", *[F.coalesce(f"t{c}", F.lit(0)).alias(f"t{c}") for c in (0, 1)],
+                         *[back[c].alias(f"b{c}") for c in (0, 1)], *[low[c].alias(f"p{c}") for c in (0, 1)])
+    words = table.where("n IS NOT NULL").select(F.col("word").alias("key"), _fixed(F.log(F.col("p1") / F.col("p0"))), "n")
+    histories = table.where("t0 + t1 > 0").select(
+        F.col("word").bitwiseXOR(F.lit(_HISTORY)).alias("key"), _fixed(F.log(F.col("b1") / F.col("b0"))),
+        (F.col("t0") + F.col("t1")).alias("n"))
+    small = table.count() <= BROADCAST_ROWS
+    known = F.broadcast(table) if small else table
+    joined = pairs.join(known.select(F.col("word").alias("history"), "t0", "t1", "b0", "b1"), "history").join(
+        known.select("word", "p0", "p1"), "word")
+    p = [_own(f"n{c}") / F.greatest(f"t{c}", F.lit(1)) + F.col(f"b{c}") * F.col(f"p{c}") for c in (0, 1)]
+    # Taken from its parts as rounded, so that the three add up.
+    rest = _fixed(F.log(F.col("b1") / F.col("b0"))) + _fixed(F.log(F.col("p1") / F.col("p0")))
+    both = joined.select("key", (_fixed(F.log(p[1] / p[0])) - rest).alias("value"), (F.col("n0") + F.col("n1")).alias("n"))
+    return words.unionByName(histories).unionByName(both).withColumn("chars", F.lit(False))
+
+
+def log_ratios(counted: DataFrame) -> DataFrame:
+    """(key, value, n, chars): what an n-gram adds to a text's log ratio, and how often it was seen.
+
+    A missing entry adds nothing.  ``counted`` has the rows of :func:`_count`.  A class
+    without any word says nothing: there are no entries.
+    """
+    words = word_ratios(counted)
+    if words is None:
+        return counted.sparkSession.createDataFrame([], _ENTRIES)
+    return stored(words.unionByName(character_ratios(counted)).where("value <> 0"), "ratios")
+
+
+class Model:
+    """Log ratios and calibration; ``rows`` gives the probability of label 1."""
+
+    def __init__(self, ratios: DataFrame, weights: np.ndarray | None = None, frequent: int | None = None):
+        self.weights = weights
+        limit = FREQUENT if frequent is None else frequent
+        octave = F.floor(F.log2("n")).cast("int")
+        sizes = dict(ratios.groupBy(octave).count().collect())
+        least, held = 64, 0
+        for k in sorted(sizes, reverse=True):  # how often an entry of this table occurs at least
+            if held + sizes[k] > limit:
+                break
+            least, held = k, held + sizes[k]
+        often = ratios.where(octave >= least).select("key", "value", "chars").toPandas().sort_values("key")
+        self.tables = [(t["key"].to_numpy(np.int64), t["value"].to_numpy(np.int64))
+                       for t in (often[~often["chars"].astype(bool)], often[often["chars"].astype(bool)])]
+        self.others = ratios.where(octave < least).select("key", "value", "chars") if held < sum(sizes.values()) else None
+
+    def sums(self, texts: DataFrame) -> DataFrame:
+        """(id, text_hash, copies, words, chars, length) of the rows (id, text); equal rows are one with its copies."""
+        tables, joined = self.tables, self.others is not None
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.column(2).to_numpy(zero_copy_only=False)
+                for row, word, history, cut, windows, kept in _words(batch.column(1)):
+                    rows, mine, ids = len(cut) - 1, own[row:row + len(cut) - 1], batch.column(0).slice(row, len(cut) - 1)
+                    key = np.concatenate([word, history ^ np.uint64(_HISTORY), _pairs(history, word)]).view(np.int64)
+                    of = np.tile(np.repeat(np.arange(rows), np.diff(cut)), 3)
+                    found = [(key, of), (
+                        np.concatenate([_keys(windows), _keys(_histories(windows))]).view(np.int64),
+                        np.tile(np.repeat(np.arange(rows), np.diff(kept)), 2))]
+                    totals, left = [], []
+                    for (keys, values), (key, of) in zip(tables, found):
+                        total, held = np.zeros(rows, np.int64), np.zeros(len(key), bool)
+                        if len(keys):
+                            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                            held = keys[at] == key
+                            np.add.at(total, of[held], values[at[held]])
+                        totals.append(pa.array(total))
+                        left.append((key[~held], of[~held]))
+                    # The row itself goes by a key of its own, which meets no entry.
+                    yield pa.RecordBatch.from_arrays(
+                        [ids, pa.array(mine), pa.array(mine), pa.array(np.ones(rows, np.int64)), *totals,
+                         pa.array(np.diff(kept).astype(np.int64))], names)
+                    key, of = (np.concatenate(x) for x in zip(*left))
+                    if joined and len(key):
+                        order = np.lexsort((key, of))
+                        key, of = key[order], of[order]
+                        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])]))
+                        none = pa.nulls(len(new), pa.int64())
+                        yield pa.RecordBatch.from_arrays(
+                            [ids.take(pa.array(of[new])), pa.array(mine[of[new]]), pa.array(key[new]),
+                             pa.array(np.diff(np.append(new, len(key)))), none, none, none], names)
+
+        names = ["id", "text_hash", "key", "n", "words", "chars", "length"]
+        found = texts.select("id", "text", F.xxhash64("text", "id").alias("own")).mapInArrow(
+            scan, ", ".join(f"{name} long" for name in names))
+        if joined:
+            entry = self.others.select(F.col("key").alias("entry"), "value", F.col("chars").alias("kind"))
+            found = found.join(entry, (F.col("key") == F.col("entry")) & F.col("length").isNull(), "left")
+            found = found.where("length IS NOT NULL OR value IS NOT NULL").withColumns({
+                name: F.coalesce(name, F.when(F.col("kind") == kind, F.col("n") * F.col("value")))
+                for name, kind in (("words", False), ("chars", True))})
+        found = found.groupBy("id", "text_hash").agg(
+            F.count("length").alias("copies"), F.sum("words").alias("words"), F.sum("chars").alias("chars"),
+            F.max("length").alias("length"))
+        return found.withColumns({x: F.col(x) / F.col("copies") / SCALE for x in ("words", "chars")})
+
+    def rows(self, texts: DataFrame) -> DataFrame:
+        """(id, text_hash, copies, score) of the rows (id, text)."""
+        root = F.sqrt(F.greatest("length", F.lit(1)).cast("double"))
+        w = [float(x) for x in self.weights]
+        logit = w[0] + (w[1] * F.col("chars") + w[2] * F.col("words")) / root + w[3] * root / 50
+        score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit))))
+        return self.sums(texts).select("id", "text_hash", "copies", score.alias("score"))
+
+
+def _features(chars: np.ndarray, words: np.ndarray, length: np.ndarray) -> np.ndarray:
+    root = np.sqrt(np.maximum(length, 1.0))
+    return np.stack([np.ones(len(root)), chars / root, words / root, root / 50], axis=1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights of a logistic curve by Newton steps, with a small ridge."""
     w = np.zeros(x.shape[1])
-    ridge = np.diag([1e-3, 1e-3, 1.0])
+    ridge = np.diag([1e-3, 1e-3, 1e-3, 1.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
@@ -137,15 +361,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-class Model:
-    """Log ratios and calibration; ``score`` gives the probability of label 1."""
-
-    def __init__(self, ratios: np.ndarray, weights: np.ndarray):
-        self.ratios, self.weights = ratios, weights
-
-    def score(self, column: pa.Array) -> np.ndarray:
-        total, length = _sums(self.ratios, column)
-        return 1 / (1 + np.exp(-np.clip(_features(total, length) @ self.weights, -30, 30)))
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -159,44 +376,30 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("label"))
     marks = marks.where("id IS NOT NULL AND label IN (0, 1)").withColumn("fold", fold("id")).where("fold <> 0").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = _texts(docs)
     known = texts.join(if_small(marks), "id")
     part = F.when(F.col("fold") == FOLDS - 1, 1).otherwise(0)
-    counted = known.select("text", part.alias("part"), "label").mapInArrow(
-        _count, "part long, label long, cell long, n long")
-    rows = counted.groupBy("part", "label", "cell").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((2, 2, CELLS), np.int64)
-    counts[rows["part"], rows["label"], rows["cell"]] = rows["n"]
-    first = log_ratios(counts[0])
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total, length = _sums(first, batch.column(0))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(total), pa.array(length.astype(float)), batch.column(1)], ["total", "length", "label"])
-
+    counted = known.select("text", part.cast("long").alias("part"), F.col("label").cast("long").alias("label")).mapInArrow(
+        _count, "part long, label long, key long, history long, word long, gram string, n long")
+    kind = ["part", "label", "key", "history", "word", "gram"]
+    counted = stored(counted.groupBy(*kind).agg(F.sum("n").alias("n")), "counts")
+    classes = {(r.part, r.label) for r in counted.select("part", "label").distinct().collect()}
     sample = marks.where(F.col("fold") == FOLDS - 1).orderBy(F.xxhash64("id"), "id", "label").limit(CALIBRATION_ROWS)
-    fitted = texts.join(F.broadcast(sample), "id").select("text", "label").mapInArrow(
-        sums, "total double, length double, label int").toPandas()
     share = marks.agg(F.avg("label")).first()[0]
-    if fitted["label"].nunique() < 2 or not counts.sum(axis=(0, 2)).all():
+    fitted = None
+    if {(0, 0), (0, 1)} <= classes:
+        first = Model(log_ratios(counted.where("part = 0")))
+        ids = F.broadcast(sample)
+        totals = first.sums(texts.join(ids.select("id").distinct(), "id", "left_semi"))
+        fitted = totals.join(ids.select("id", "label"), "id").select(
+            "copies", "words", "chars", "length", "label").toPandas().sort_values(["chars", "words", "length", "label", "copies"])
+        fitted = fitted.loc[fitted.index.repeat(fitted["copies"])]
+    if fitted is None or fitted["label"].nunique() < 2:
         share = 0.5 if share is None else min(max(share, 1e-3), 1 - 1e-3)
-        return Model(np.zeros(CELLS, np.float32), np.array([np.log(share / (1 - share)), 0, 0]))
-    x = _features(fitted["total"].to_numpy(), fitted["length"].to_numpy())
-    return Model(log_ratios(counts.sum(axis=0)), _logistic(x, fitted["label"].to_numpy(float)))
-
-
-def with_score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` packed as ``_row`` with its ``score``; null texts count as empty."""
-    rows = packed(docs)
-    kind = rows.schema["_row"].dataType.simpleString()
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(model.score(texts_of(batch.column(0))))], ["_row", "score"])
-
-    return rows.mapInArrow(scan, f"_row {kind}, score double")
+        empty = docs.sparkSession.createDataFrame([], _ENTRIES)
+        return Model(empty, np.array([np.log(share / (1 - share)), 0, 0, 0]))
+    x = _features(*[fitted[c].to_numpy(float) for c in ("chars", "words", "length")])
+    return Model(log_ratios(counted), _logistic(x, fitted["label"].to_numpy(float)))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -205,12 +408,18 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Empty and null texts have a score too; repeated rows are scored each; other columns
     are not read; an empty table gives no rows.
     """
-    scored = with_score(docs.select("doc_id", "text"), train(docs, labels))
+    scored = train(docs, labels).rows(_texts(docs)).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return scored.select(
-        F.col("_row.doc_id").alias("doc_id"), (fold("_row.doc_id") == 0).alias("held_out"), "score",
+        F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), (fold("id") == 0).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, floor: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, that score below ``floor``."""
-    return unpacked(with_score(docs, train(docs, labels)).where(F.col("score") < floor), docs.columns)
+    scored = train(docs, labels).rows(_texts(docs)).where(F.col("score") >= floor)
+    gone = stored(scored.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")), "toxic")
+    doc_id = F.col("_row").getField("doc_id").cast("long")
+    own = F.xxhash64(F.col("_row").getField("text").cast("string"), doc_id)
+    same = (own == F.col("_hash")) & doc_id.eqNullSafe(F.col("_id"))
+    return unpacked(packed(docs).join(_broadcast(gone), same, "left_anti"), docs.columns)

@@ -94,9 +94,10 @@ def bounds(data: np.ndarray, offsets: np.ndarray, member: np.ndarray):
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word."""
+    """64-bit hash of each word; ``data`` has bytes or, as uint32, code points."""
+    value = _BYTE[data] if data.dtype == np.uint8 else mix((data.astype(np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15))
     running = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=running[1:])
+    np.cumsum(value * _power(_BASE, len(data)), out=running[1:])
     body = (running[ends] - running[starts]) * _power(_INVERSE, len(data) + 1)[starts]
     return mix(body + (ends - starts).astype(np.uint64) * _STEP)
 
