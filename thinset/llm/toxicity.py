@@ -33,7 +33,7 @@ from thinset.llm.words import grams, hashes, mix, runs
 DISCOUNT = 0.75
 ORDER = 4                   # characters of an n-gram; words have no bound
 SCALE = 1 << 24
-FREQUENT = 1 << 20          # entries a task holds; the others are joined
+FREQUENT = 1 << 18          # entries a task holds; the others are joined
 CALIBRATION_ROWS = 20_000   # labelled rows the logistic curve is fitted on, at most
 FOLDS = 5                   # remainder 0 is held out, remainder 4 calibrates, the rest count
 
