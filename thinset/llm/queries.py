@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thinset.llm import (archives, chat, decontaminate, dedup, jaccard, licenses, mixing, secrets,
-                         toxicity, urls)
+from thinset.llm import (archives, chat, decontaminate, dedup, jaccard, lexical, licenses, mixing, neighbours,
+                         repeats, secrets, toxicity, urls)
 from thinset.workspace import new_path
 
 
@@ -62,10 +62,24 @@ def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, folder, "documents"))
 
 
+def op11_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.run_digests(_table(spark, folder, "documents")).drop("n_words")
+
+
+def op12_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, folder, "embeddings"))
+
+
+def op13_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.rank_documents(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mixing, op2_secrets, op3_warc, op4_urls, op5_dedup, op6_decontamination,
-                            op7_chat, op8_toxicity, op9_licenses, op10_jaccard)}
+                            op7_chat, op8_toxicity, op9_licenses, op10_jaccard, op11_runs, op12_neighbours,
+                            op13_lexical)}
 
+_TERMS = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
@@ -91,4 +105,18 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
         FROM documents d LEFT JOIN n USING (doc_id)
         JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)""",
+    "op13_lexical": f"""
+        WITH t AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '{_TERMS}')) AS term FROM documents),
+        p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+        d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id),
+        s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS len FROM d),
+        w AS (SELECT term, floor(1000 * ln((2 * s.docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+              FROM p, s GROUP BY term, s.docs),
+        i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERMS}')) AS term FROM benchmark),
+        x AS (SELECT i.item_id, p.doc_id,
+                     sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (10 + (90 * d.n * s.docs) // s.len))))::BIGINT AS score
+              FROM i JOIN w USING (term) JOIN p USING (term) JOIN d USING (doc_id), s GROUP BY ALL),
+        r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank,
+                     doc_id, score FROM x WHERE score > 0)
+        SELECT * FROM r WHERE rank <= 10""",
 }
