@@ -74,6 +74,47 @@ def test_cap_is_sequential(spark, limit, block_rows):
     assert set(mutual) <= set(want)
 
 
+@pytest.mark.parametrize("block_rows,pivots", [(7, 0), (50, 0), (9, 4)])
+def test_only_the_strongest_leave(spark, monkeypatch, block_rows, pivots):
+    """At most D pairs of a row, the very best ones, also when states are cut and flushed early."""
+    vectors, labels = clustered(70, 8)
+    links, _ = seq.graph(seq.similarities(vectors), 0.2)
+    best = {}
+    for a, near in links.items():
+        upper = sorted((-s, b) for b, s in near.items() if b > a)[:4]
+        best.update({(a, b): -s for s, b in upper})
+    monkeypatch.setattr(similarity, "STATE_PAIRS", 20)
+    monkeypatch.setattr(similarity, "PASSING", 2)
+    pairs = similarity.similar_pairs(frame(spark, vectors, labels), 0.2, digits=6, max_degree=4,
+                                     block_rows=block_rows, pivots=pivots)
+    assert pairs.count() == len(best) and edge_set(pairs) == best
+
+
+def test_bounds_from_strong_axes():
+    """Pairs below the bound are skipped, none at or above it."""
+    rng = np.random.default_rng(12)
+    rows = rng.normal(size=(300, 32)) * np.r_[np.full(4, 5.0), np.full(28, 0.3)]
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    head = rows[:, :8]
+    short = np.c_[head, np.sqrt(np.maximum(0, 1 - (head ** 2).sum(axis=1)))]
+    least = np.full(300, 0.97)
+    hope = (short @ short.T >= 0.97).mean()
+    r, c, sim = similarity._similarities((rows, short), (rows, short), least, 6)
+    want = np.round(rows @ rows.T, 6)
+    hit = sim >= 0.97
+    assert hope * similarity.FEW_PAIRS < 1
+    assert set(zip(r[hit].tolist(), c[hit].tolist())) == set(zip(*(x.tolist() for x in np.nonzero(want >= 0.97))))
+
+
+def test_cap_ranks_the_frontier_only(spark):
+    vectors, labels = clustered(80, 9)
+    links, _ = seq.graph(seq.similarities(vectors), 0.3)
+    edges = spark.createDataFrame([(a, b, s) for (a, b), s in pair_set(links).items()], "a long, b long, sim double")
+    ranked = []
+    assert edge_set(degree.cap_degree(edges, 3, ranked)) == pair_set(seq.cap(links, 3))
+    assert len(ranked) > 3 and ranked[-1] < ranked[0] / 4 and sum(ranked[1:]) < len(ranked[1:]) * ranked[0] / 2
+
+
 @pytest.mark.parametrize("block_rows", [4096, 8])
 def test_node_order_is_first_meeting(spark, block_rows):
     vectors, labels = clustered(50, 3)
@@ -89,19 +130,22 @@ def test_node_order_is_first_meeting(spark, block_rows):
         assert sorted(r.ord for r in placed) == list(range(50))
 
 
-@pytest.mark.parametrize("form", ["window", "leaders", "join", "group"])
+@pytest.mark.parametrize("form", ["rounds", "leaders", "both", "group"])
 @pytest.mark.parametrize("k", [1, 4, 1000])
 def test_cover_is_greedy(spark, monkeypatch, form, k):
     vectors, labels = clustered(60, 4)
     links, order = seq.graph(seq.similarities(vectors), 0.85, labels)
     want = seq.cover(links, order, k)
-    if form == "join":
-        monkeypatch.setattr(cover, "HUB_ROWS", 0)
-    if form == "window":
-        monkeypatch.setattr(cover, "FEW_SHARE", 10**9)
+    if form == "rounds":
+        monkeypatch.setattr(cover, "GROUP_LINKS", 0)
+        monkeypatch.setattr(cover, "STALE_SHARE", 1)
     if form == "leaders":
         monkeypatch.setattr(cover, "MIN_LEADERS", 5)
         monkeypatch.setattr(cover, "FEW_SHARE", 0)
+    if form == "both":
+        monkeypatch.setattr(cover, "LEADER_STEPS", 1)
+        monkeypatch.setattr(cover, "MIN_LEADERS", 3)
+        monkeypatch.setattr(cover, "STALE_SHARE", 10**9)
     df = frame(spark, vectors, labels)
     edges = spark.createDataFrame([(a, b) for a, b in pair_set(links)], "a long, b long")
     ords = spark.createDataFrame(
@@ -159,6 +203,22 @@ def test_search_follows_the_bisection(spark, labelled, coverage, k, limit):
     assert found.threshold == probes[-1][0]
 
 
+def test_probes_prune_the_stored_edges(spark):
+    """A probe's filter reaches the files, which hold disjoint ranges of similarity."""
+    rng = np.random.default_rng(3)
+    df = frame(spark, rng.normal(size=(120, 5)).tolist(), [0] * 120)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        graph = coverage.SimilarityGraph(df, 0.0, 30, None, "row_id", "embedding", 6, 40, 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    plan = graph.edges.filter("sim >= 0.5")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(sim,0.5)" in plan
+    ranges = sorted((r.low, r.high) for r in graph.edges.groupBy(F.input_file_name()).agg(
+        F.min("sim").alias("low"), F.max("sim").alias("high")).collect())
+    assert len(ranges) > 1 and all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
+
+
 @pytest.mark.parametrize("n", [55, 56])
 def test_small_tables_make_one_probe(spark, n):
     rng = np.random.default_rng(6)

@@ -6,8 +6,8 @@ in its closed neighbourhood (ties: earliest node order) and cover them.
 Gains only ever fall, so a node that has the best priority among all nodes it
 shares an uncovered node with will be picked whatever happens elsewhere.  Every
 round picks all such nodes at once; sorting the picks by (gain, order) gives the
-very sequence of the one-at-a-time rule.  A round is a handful of joins and
-map-side combined aggregates over the still uncovered part of the graph.
+very sequence of the one-at-a-time rule.  The gains are a table of the uncovered
+nodes, changed after each step by the links of the nodes it covered.
 """
 
 from __future__ import annotations
@@ -20,20 +20,19 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..workspace import save, save_measured, small, with_position
 
-# Most rows one window may hold: nodes with more neighbours use the join form.
-HUB_ROWS = 1_000_000
 # Most links (about 100 MB with indexes) one task may finish on its own.
 GROUP_LINKS = 2_000_000
+# Links are written anew when less than this share of them is left.
+STALE_SHARE = 4
 # Leading nodes are a share of all nodes, but at least a few; steps of leading nodes
-# follow a window round that picked less than a share of their number.
+# follow a round that picked less than a share of their number.
 FEW_SHARE = 16
 LEADER_STEPS = 8
 LEADER_SHARE = 16
-MIN_LEADERS = 32
+MIN_LEADERS = 1024
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -160,15 +159,8 @@ def run_cover(
     both = F.explode(F.array(F.struct(F.col("oa").alias("u"), F.col("ob").alias("v")),
                              F.struct(F.col("ob").alias("u"), F.col("oa").alias("v"))))
     links, seen = save_measured(ordered.select(both.alias("_l")).select("_l.*"), rows=F.count("*"))
-    size = seen["rows"]
-    if not size:
-        return cover
-    if max_degree is None:
-        max_degree = links.groupBy("u").count().agg(F.max("count")).first()[0]
-    if max_degree <= HUB_ROWS:
-        _window_rounds(links, cover, max(1, max_degree))
-    else:
-        _join_rounds(links, size, cover)
+    if seen["rows"]:
+        _rounds(links, seen["rows"], cover)
     return cover
 
 
@@ -248,146 +240,125 @@ def _leader_task(n: int, k: int, bar: int):
             for node in near[open_[near]]:
                 open_[node] = False
                 value[owners[owner_at[node] : owner_at[node + 1]]] -= n
-        return pa.table({"u": pa.array(picks, pa.int64()), "p": pa.array(values, pa.int64())})
+        # The picks with their priorities, and every node they cover.
+        covered = nodes[~open_].tolist()
+        return pa.table({"u": pa.array(picks + covered, pa.int64()),
+                         "p": pa.array(values + [None] * len(covered), pa.int64())})
 
     return pick
 
 
-def _leader_count(n: int, max_degree: int) -> int:
-    return max(1, min(GROUP_LINKS // max_degree, max(MIN_LEADERS, n // LEADER_SHARE)))
+class Open:
+    """Nodes not covered yet that still have such a neighbour, with their gains.
+
+    The links stay as they were written.  When nodes get covered, only the links of
+    those nodes are read to lower the gains of the nodes around them; the links are
+    written anew each time most of them have become links of covered nodes.
+    """
 
+    def __init__(self, links: DataFrame, stored: int, n: int):
+        self.links, self.stored, self.n = links, stored, n
+        self._measure(links.groupBy("u").agg((F.count("*") + 1).alias("gain")))
+
+    def _measure(self, gains: DataFrame) -> None:
+        gains = gains.filter("gain > 1").select("u", "gain", _priority(F.col("gain"), F.col("u"), self.n).alias("p"))
+        self.nodes, seen = save_measured(
+            gains, rows=F.count("*"), best=F.max("p"), most=F.max("gain"),
+            left=F.coalesce(F.sum(F.col("gain") - 1), F.lit(0)))
+        self.rows, self.best, self.most, left = (seen[name] for name in ("rows", "best", "most", "left"))
+        if self.rows and left * STALE_SHARE < self.stored:
+            there = small(self.nodes.select("u"), self.rows)
+            self.links = save(self.links.join(there, "u", "left_semi")
+                              .join(there.withColumnRenamed("u", "v"), "v", "left_semi"))
+            self.stored = left
+
+    def scores(self) -> DataFrame:
+        return small(self.nodes.select("u", "p"), self.rows)
+
+    def cover(self, covered: DataFrame, rows: int) -> None:
+        """Take ``covered`` nodes (u), at most ``rows`` of them, out of the state."""
+        covered = small(covered, rows)
+        lost = self.links.join(covered, "u").groupBy(F.col("v").alias("u")).agg(F.count("*").alias("_lost"))
+        gain = F.col("gain") - F.coalesce("_lost", F.lit(0))
+        self._measure(self.nodes.join(covered, "u", "left_anti").join(lost, "u", "left")
+                      .select("u", gain.alias("gain")))
+
+
+def _rounds(links: DataFrame, size: int, cover: Cover) -> None:
+    """Alternate between picks all over the graph and steps of leading nodes.
+
+    Steps of leaders go first if they are likely to make all the picks, and follow a
+    round that picked few nodes; a graph with a huge hub only has rounds.
+    """
+    state = Open(links, size, cover.n)
+    leading = cover.k <= _leader_count(state)
+    while state.rows:
+        if leading:
+            for _ in range(LEADER_STEPS):
+                if state.rows and state.most <= GROUP_LINKS:
+                    _leader_step(state, cover)
+                    if state.rows and cover.settled(state.best):
+                        cover.exhausted = False
+                        return
+        if not state.rows:
+            return
+        picked = _best_around(state, cover)
+        if state.rows and cover.settled(state.best):
+            cover.exhausted = False
+            return
+        leading = picked * FEW_SHARE < _leader_count(state)
 
-def _leader_step(links: DataFrame, cover: Cover, max_degree: int) -> tuple[DataFrame, int, int]:
+
+def _leader_count(state: Open) -> int:
+    return max(1, min(GROUP_LINKS // max(1, state.most or 1), max(MIN_LEADERS, state.n // LEADER_SHARE)))
+
+
+def _leader_step(state: Open, cover: Cover) -> None:
     """One step for dense graphs, where few nodes are best in their surroundings.
 
     A bounded number of leaders, with at most ``GROUP_LINKS`` links between them,
     go to one task, which makes picks until it reaches the best node left outside.
-    Returns the links that remain, their number, and a bound on later priorities.
     """
-    n, wanted = cover.n, _leader_count(cover.n, max_degree)
-    score = links.groupBy("u").agg(_priority(F.count("*") + 1, F.col("u"), n).alias("p"))
-    ahead = save(score.orderBy(F.col("p").desc()).limit(wanted + 1))
-    low = ahead.agg(F.count("*").alias("c"), F.min("p").alias("p")).first()
+    wanted = _leader_count(state)
+    low = state.nodes.orderBy(F.col("p").desc()).limit(wanted + 1).agg(
+        F.count("*").alias("c"), F.min("p").alias("p")).first()
     bar = low["p"] if low["c"] > wanted else -1
-    leaders = small(ahead.filter(F.col("p") > bar).select("u"), wanted)
+    leaders = small(state.nodes.filter(F.col("p") > bar).select("u"), wanted)
+    there = small(state.nodes.select(F.col("u").alias("v")), state.rows)
+    around = state.links.join(leaders, "u").join(there, "v", "left_semi").select("u", "v")
     found, seen = save_measured(
-        links.join(leaders, "u").withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(
-            _leader_task(n, cover.k, bar), "u long, p long"
-        ),
-        chosen=F.count("*"), gained=F.sum(F.expr(f"p div {n}")), last=F.min("p"),
+        around.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(
+            _leader_task(cover.n, cover.k, bar), "u long, p long"),
+        chosen=F.count("p"), gained=F.sum(F.expr(f"p div {cover.n}")), rows=F.count("*"),
     )
-    cover.add(found, seen["chosen"], seen["gained"])
-    picked = small(found.select("u"), wanted)
-    reached = links.join(picked, "u", "left_semi").select(F.col("v").alias("u"))
-    covered = small(reached.unionByName(found.select("u")).distinct(), wanted * (max_degree + 1))
-    links, count = save_measured(
-        links.join(covered, "u", "left_anti").join(
-            covered.select(F.col("u").alias("v")), "v", "left_anti"
-        ),
-        rows=F.count("*"),
-    )
-    return links, count["rows"], seen["last"] - 1
+    cover.add(found.filter("p IS NOT NULL"), seen["chosen"], seen["gained"])
+    # A pick is also among the nodes it covers.
+    state.cover(found.filter("p IS NULL").select("u"), seen["rows"])
 
 
-def _window_rounds(links: DataFrame, cover: Cover, max_degree: int) -> None:
-    """Rounds as windows over the link table, for graphs without huge hubs.
+def _best_around(state: Open, cover: Cover) -> int:
+    """Pick every node that is best among all it shares an uncovered node with.
 
-    Each link is there in both directions, so a node's neighbours meet both in
-    the window of ``u`` and in the window of ``v``; values travel one hop per
-    change of window and nothing is joined.  A round is one job with four
-    shuffles of the links that remain.
+    Map-side combined aggregates and joins only: safe for any hub.
     """
-    n = cover.n
-    at_u, at_v = Window.partitionBy("u"), Window.partitionBy("v")
-
-    def top(col, spot):
-        return F.max(col).over(spot)
-
-    def score(node, spot):
-        return _priority(F.count("*").over(spot) + 1, F.col(node), n)
-
-    while True:
-        # Priorities: own (p), far end's (q), best next to either end (p1, q1).
-        step = links.select("*", score("u", at_u).alias("p"))
-        own = score("v", at_v)
-        step = step.select("*", own.alias("q"), F.greatest(own, top("p", at_v)).alias("q1"))
-        around = F.greatest("p", top("q", at_u))
-        step = step.select(
-            "*", around.alias("p1"),
-            (F.greatest(around, top("q1", at_u)) == F.col("p")).alias("win"),
-        )
-        won = F.greatest("q1", top("p1", at_v)) == F.col("q")
-        step = step.select(
-            "u", "v", "p", "win", won.alias("win_v"),
-            (won | top("win", at_v)).alias("hit_v"),
-        )
-        hit = F.col("win") | top("win_v", at_u)
-        # A winner leaves one row behind (lead); links of covered nodes go.
-        step = step.select(
-            "u", "v", "p", (~hit & ~F.col("hit_v")).alias("live"),
-            (F.col("win") & (F.col("v") == F.min("v").over(at_u))).alias("lead"),
-        ).filter("live or lead")
-        lead, live = F.col("lead"), F.col("live")
-        step, seen = save_measured(
-            step,
-            chosen=F.count(F.when(lead, 1)),
-            gained=F.sum(F.when(lead, F.expr(f"p div {n}"))),
-            left=F.count(F.when(live, 1)),
-            best=F.max(F.when(live, F.col("p"))),
-        )
-        cover.add(step.filter("lead"), seen["chosen"], seen["gained"])
-        if seen["left"] == 0:
-            return
-        if cover.settled(seen["best"]):
-            cover.exhausted = False
-            return
-        links = step.filter("live").select("u", "v")
-        if seen["chosen"] * FEW_SHARE >= _leader_count(n, max_degree):
-            continue
-        for _ in range(LEADER_STEPS):
-            links, left, best = _leader_step(links, cover, max_degree)
-            if left == 0:
-                return
-            if cover.settled(best):
-                cover.exhausted = False
-                return
-
-
-def _join_rounds(links: DataFrame, size: int, cover: Cover) -> None:
-    """Rounds as map-side combined aggregates and joins: safe for any hub."""
-    n = cover.n
-    while size:
-        limit = min(n, size)
-        score = small(
-            links.groupBy("u").agg(_priority(F.count("*") + 1, F.col("u"), n).alias("p")), limit
-        )
-        one = small(
-            links.join(score, "u").groupBy(F.col("v").alias("u")).agg(F.max("p").alias("_p"))
-            .join(score, "u").select("u", "p", F.greatest("p", "_p").alias("m1")),
-            limit,
-        )
-        two = save(
-            links.join(one, "u").groupBy(F.col("v").alias("u")).agg(F.max("m1").alias("_m"))
-            .join(one, "u").select("u", "p", "m1", (F.col("_m") <= F.col("p")).alias("picked"))
-        )
-        # The best priority a covered node sees next to it belongs to a pick.
-        picked = two.filter("picked")
-        covered = two.join(picked.select(F.col("p").alias("m1")), "m1", "left_semi").select("u")
-        seen = picked.agg(
-            F.count("*").alias("chosen"), F.sum(F.expr(f"p div {n}")).alias("gained")
-        ).first()
-        cover.add(picked, seen["chosen"], seen["gained"])
-        best = two.agg(F.max("p")).first()[0]
-        links, seen = save_measured(
-            links.join(covered, "u", "left_anti").join(
-                covered.select(F.col("u").alias("v")), "v", "left_anti"
-            ),
-            rows=F.count("*"),
-        )
-        size = seen["rows"]
-        if size and cover.settled(best):
-            cover.exhausted = False
-            return
+    score, links = state.scores(), state.links
+    one = small(
+        links.join(score, "u").groupBy(F.col("v").alias("u")).agg(F.max("p").alias("_p"))
+        .join(score, "u").select("u", "p", F.greatest("p", "_p").alias("m1")),
+        state.rows,
+    )
+    two, seen = save_measured(
+        links.join(one, "u").groupBy(F.col("v").alias("u")).agg(F.max("m1").alias("_m"))
+        .join(one, "u").select("u", "p", "m1", (F.col("_m") <= F.col("p")).alias("picked")),
+        chosen=F.count(F.when(F.col("picked"), 1)),
+        gained=F.sum(F.when(F.col("picked"), F.expr(f"p div {cover.n}"))),
+    )
+    picked = two.filter("picked")
+    cover.add(picked, seen["chosen"], seen["gained"])
+    # The best priority a covered node sees next to it belongs to a pick.
+    best = small(picked.select(F.col("p").alias("m1")), seen["chosen"])
+    state.cover(two.join(best, "m1", "left_semi").select("u"), seen["gained"])
+    return seen["chosen"]
 
 
 def max_cover(

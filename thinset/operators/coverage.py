@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let, norm
-from ..workspace import save, save_measured, small
+from ..workspace import save, save_measured, save_ranged, small
 from .cover import duplicate_cover, node_order, run_cover
 from .degree import cap_degree
 from .similarity import EDGE, FIRST, MAX_PIVOTS, first_seen, similar_pairs
 
 ROWS_PER_PIVOT = 20_000
+PROBE_SCHEMA = "probe int, threshold double, coverage double, picks long, covered long"
 
 
 @dataclass
@@ -26,27 +27,32 @@ class CoverageResult:
     coverage: float
     n_picks: int
     probes: list[tuple[float, float]] = field(default_factory=list)
+    sizes: list[tuple[int, int]] = field(default_factory=list)  # picks and covered rows of each probe
+
+    def probe_table(self) -> DataFrame:
+        """One row per probe: ``probe`` (from 1), ``threshold``, ``coverage``, ``picks``, ``covered``."""
+        rows = [(i, *probe, *size) for i, (probe, size) in enumerate(zip(self.probes, self.sizes), 1)]
+        return self.picks.sparkSession.createDataFrame(rows, PROBE_SCHEMA)
 
 
 class SimilarityGraph:
     """Edges and first-neighbour records down to some floor, written once.
 
     Dropping weak edges by a degree cap and by a threshold commute, so every
-    probe at or above the floor only filters these two tables.
+    probe at or above the floor only filters these two tables.  Both lie sorted by
+    similarity: a probe reads the files and row groups above its threshold.
     """
 
     def __init__(self, vectors, floor, max_degree, label_col, id_col, vec_col, digits,
                  block_rows, pivots):
         self.floor, self.cap = floor, max_degree
-        found = save(
-            similar_pairs(
-                vectors, floor, id_col=id_col, vec_col=vec_col, label_col=label_col,
-                max_degree=max_degree, digits=digits, with_first=True,
-                block_rows=block_rows, pivots=pivots,
-            )
+        found = similar_pairs(
+            vectors, floor, id_col=id_col, vec_col=vec_col, label_col=label_col,
+            max_degree=max_degree, digits=digits, with_first=True,
+            block_rows=block_rows, pivots=pivots,
         )
-        self.edges = cap_degree(found.filter(F.col("kind") == EDGE), max_degree)
-        self.firsts = found.filter(F.col("kind") == FIRST)
+        self.edges = save_ranged(cap_degree(found.filter(F.col("kind") == EDGE), max_degree), "sim")
+        self.firsts = save_ranged(found.filter(F.col("kind") == FIRST).drop("kind"), "sim")
 
     def cover(self, nodes: DataFrame, n: int, largest: int | None, theta: float, k: int):
         order = save(node_order(nodes, first_seen(self.firsts, theta), n))
@@ -100,13 +106,14 @@ def coverage_search(
             duplicate_cover(keyed, ["_dir"], k), rows=F.count("*"), covered=F.sum("gain")
         )
         share = (seen["covered"] or 0) / n
-        return CoverageResult(picks, 1.0, share, seen["rows"], [(1.0, share)])
+        return CoverageResult(picks, 1.0, share, seen["rows"], [(1.0, share)],
+                              [(seen["rows"], seen["covered"] or 0)])
 
     slack = 50 / n if epsilon is None else epsilon
     cap = int(max_degree) if max_degree else int(2 * n * coverage / k)
     cells = min(MAX_PIVOTS, n // ROWS_PER_PIVOT) if pivots is None else pivots
     low, high, probe = sim_lb, 1000, (1000 + sim_lb) / 2
-    graph, probes = None, []
+    graph, probes, sizes = None, [], []
     while True:
         theta = probe / 1000
         if graph is None or theta < graph.floor:
@@ -120,13 +127,14 @@ def coverage_search(
         seen = cover.totals()
         reached = seen["covered"] / n
         probes.append((theta, reached))
+        sizes.append((seen["picks"], seen["covered"]))
         enough = reached >= coverage
         low, high = (probe, high) if enough else (low, probe)
         # Full coverage with picks to spare never ends the search: it goes on stricter.
         spare = enough and coverage == 1.0 and seen["picks"] < k
         judged = 0.0 if spare else reached
         if abs(judged - coverage) <= slack or high - low <= 1:
-            return CoverageResult(cover.picks(edges), theta, judged, seen["picks"], probes)
+            return CoverageResult(cover.picks(edges), theta, judged, seen["picks"], probes, sizes)
         probe = (high + low) / 2
 
 

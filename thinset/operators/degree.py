@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..workspace import save, save_measured
+from ..workspace import save, save_measured, small
 from .similarity import both_ways
 
 
@@ -41,43 +41,70 @@ def cap_degree_mutual(edges: DataFrame, max_degree: int) -> DataFrame:
     )
 
 
-def cap_degree(edges: DataFrame, max_degree: int) -> DataFrame:
+def _within(node: str, cut: str) -> str:
+    """SQL: does a link to ``node`` stand at or before a cut ``(sim, id)``?  No cut keeps all."""
+    return f"({cut} IS NULL OR sim > {cut}.sim OR (sim = {cut}.sim AND {node} <= {cut}.id))"
+
+
+def cap_degree(edges: DataFrame, max_degree: int, ranked: list[int] | None = None) -> DataFrame:
     """Degree cap in which nodes drop their weakest surplus edges in id order.
 
     A node with a lower id drops first, so a later node may keep an edge it
-    would otherwise have lost.  Written as a fixpoint: given which edges the
-    lower ends drop, every node ranks what is left and drops the places beyond
-    the cap; repeat until no decision changes.  Decisions depend on lower ids
-    only, so the fixpoint is unique and is the sequential outcome.
-
-    Only rows of nodes above the cap take part, and only their decisions travel.
+    would otherwise have lost.  What a node drops is told by one cut, the last
+    link it keeps.  The cuts are the fixpoint of "rank the links that lower ends
+    leave, cut behind the cap-th": decisions depend on lower ids only, so the
+    fixpoint is unique and is the sequential outcome.  A round ranks the frontier
+    alone, nodes for which a cut of the last round gave or took a link; all
+    others are settled for now.  ``ranked`` receives the nodes ranked per round.
+
+    Only nodes above the cap take part, and only their cuts travel.
     The edges are read more than once: pass a saved table, not a computation.
     """
     cap = int(max_degree)
     edges = edges.select("a", "b", "sim")
-    if node_degrees(edges).filter(F.col("degree") > cap).isEmpty():
-        return edges
     # Sure losses first (see similarity.py): leaves at most n * cap edges.
     rest = Window.partitionBy("a").orderBy(F.col("sim").desc(), "b")
-    place = F.row_number().over(rest)
-    edges = save(edges.withColumn("_place", place).filter(F.col("_place") <= cap).drop("_place"))
-    busy = node_degrees(edges).filter(F.col("degree") > cap)
-    held = save(both_ways(edges).join(busy.select(F.col("id").alias("a")), "a", "left_semi"))
-
-    gone, before = None, None
+    edges = save(edges.withColumn("_place", F.row_number().over(rest))
+                 .filter(F.col("_place") <= cap).drop("_place"))
+    none = F.lit(None).cast("struct<sim: double, id: long>")
+    state, seen = save_measured(
+        node_degrees(edges).filter(F.col("degree") > cap)
+        .select("id", none.alias("cut"), none.alias("old"), F.lit(True).alias("moved")),
+        rows=F.count("*"),
+    )
+    busy = seen["rows"]
+    if not busy:
+        return edges
+    held = save(both_ways(edges).join(small(state.select(F.col("id").alias("a")), busy), "a", "left_semi"))
+    # Links whose other end decides earlier; their fate is what changes a ranking.
+    below = held.filter("b < a")
+
+    # Ranking stops at the cap, so a hub is cut down before it is shuffled.
+    order = Window.partitionBy("a").orderBy(F.col("there").desc(), F.col("sim").desc(), "b")
+    last = F.expr(f"max(CASE WHEN _place = {cap} AND there THEN struct(sim, b AS id) END) AS _new")
+    touched = held.withColumn("there", F.lit(True))
     while True:
-        left = held if gone is None else held.join(gone, ["a", "b"], "left_anti")
-        # Ranking stops at the cap, so a hub is cut down before it is shuffled.
-        kept = left.withColumn("_place", place).filter(F.col("_place") <= cap)
-        dropped, seen = save_measured(
-            left.join(kept, ["a", "b"], "left_anti").select("a", "b"),
-            rows=F.count("*"),
-            # order-free fingerprint of the set of drops
-            mark=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")),
+        best = touched.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= cap)
+        news = best.groupBy(F.col("a").alias("id")).agg(last, F.lit(True).alias("_at"))
+        state, seen = save_measured(
+            state.join(news, "id", "left")
+            .selectExpr("id", "CASE WHEN _at THEN _new ELSE cut END AS cut", "cut AS old", "_at")
+            .selectExpr("*", "NOT (cut <=> old) AS moved"),
+            moved=F.count(F.when(F.col("moved"), 1)), ranked=F.count("_at"),
         )
-        if seen == before:
+        state = state.drop("_at")
+        if ranked is not None:
+            ranked.append(seen["ranked"])
+        if not seen["moved"]:
             break
-        before = seen
-        gone = dropped.filter("a < b").select(F.col("b").alias("a"), F.col("a").alias("b"))
-    lost = dropped.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return save(edges.join(lost, ["a", "b"], "left_anti"))
+        cuts = small(state.selectExpr("id AS b", "cut", "old"), busy)
+        moved = small(state.filter("moved").selectExpr("id AS b", "cut", "old"), seen["moved"])
+        changed = below.join(moved, "b").filter(f"{_within('a', 'cut')} <> {_within('a', 'old')}")
+        touched = (
+            held.join(small(changed.select("a").distinct(), busy), "a", "left_semi").join(cuts, "b", "left")
+            .selectExpr("a", "b", "sim", f"(b > a OR {_within('a', 'cut')}) AS there")
+        )
+    low = small(state.selectExpr("id AS a", "cut AS _low"), busy)
+    high = small(state.selectExpr("id AS b", "cut AS _high"), busy)
+    kept = f"{_within('b', '_low')} AND {_within('a', '_high')}"
+    return edges.join(low, "a", "left").join(high, "b", "left").filter(kept).select("a", "b", "sim")

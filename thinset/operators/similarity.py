@@ -1,16 +1,22 @@
-"""Pairs of similar vectors, found block against block.
+"""Pairs of similar vectors, one block of rows against a stream of later ones.
 
-Rows are dealt into blocks of bounded size inside their label, every block meets
-every other block of that label once, and one Arrow task multiplies two blocks.
-A label with a third of all rows simply has more blocks: no task ever holds more
-than two.  A task returns only what the graph needs, never all its pairs:
+Rows lie in blocks of bounded size, each a range of ids inside its label (and pivot
+cell); a label with a third of all rows only has more blocks.  A task holds one block
+and lets a bounded number of blocks with higher ids pass, so a pair is met by its lower
+row alone, and that row's best ``D`` pairs so far are its state:
 
 * ``EDGE`` rows - pairs at or above the floor.  With a degree cap D only the D
   strongest per lower id survive, which loses nothing: neighbours with a higher
   id cannot have dropped the edge before the lower id takes its turn, so an edge
-  beaten by D of them is certain to go.  At most n*D edges leave this operator.
+  beaten by D of them is certain to go.  The states of a row's tasks are cut to D once
+  more before they are shuffled together: at most n*D edges leave this operator.
 * ``FIRST`` rows - for the tie-break order: the neighbours with a lower id that
-  are more similar than every neighbour before them (about ln n per row).
+  are more similar than every neighbour before them in their block (about the logarithm
+  of a block's rows, for each block met).
+
+Inside a task, the strongest coordinates of both blocks and the length of what they
+leave bound every similarity from above (Cauchy-Schwarz); where few pairs reach the
+floor or their row's worst kept pair, only those are computed in full.
 
 Optional pivots make high floors cheaper and stay exact: rows are put into the
 cell of their nearest pivot, and two cells whose rows must be further apart than
@@ -28,17 +34,27 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from ..workspace import save_measured, small
+from ..workspace import save, save_measured, small
 from .sampling import lot
 
 EDGE, FIRST = 0, 1
 MAX_PIVOTS = 64
-# Memory of one block of unit vectors, fewest rows worth a block, and cells of
-# the product a task looks at in one go.
+# Memory of one block of unit vectors, fewest rows worth a block, blocks that pass
+# through a task, and cells of the product a task looks at in one go.
 BLOCK_BYTES = 64 << 20
 SMALL_BLOCK = 1024
+PASSING = 16
 SLICE_CELLS = 1 << 21
+# Pairs a task holds, and rows it returns at a time.
+STATE_PAIRS = 1 << 22
+OUT_ROWS = 1 << 16
+# Share of the coordinates that bound a similarity, and of the pairs above which the
+# whole product is cheaper than the pairs one by one.
+HEAD_SHARE = 4
+FEW_PAIRS = 32
+AXES_SAMPLE = 1000
 PAIR_SCHEMA = "kind int, a long, b long, sim double"
 
 # Task functions travel by value: executors need numpy and Arrow, not this package.
@@ -58,17 +74,6 @@ def unit_rows(column) -> np.ndarray:
     return matrix / np.where(norms == 0.0, 1.0, norms)[:, None]
 
 
-def _strongest(sim: np.ndarray, hit: np.ndarray, cap: int | None) -> np.ndarray:
-    """Keep, per row of ``hit``, the ``cap`` most similar (ties: lower column)."""
-    if cap is None:
-        return hit
-    for row in np.flatnonzero(hit.sum(axis=1) > cap):
-        cols = np.flatnonzero(hit[row])
-        beaten = cols[np.argsort(-sim[row, cols], kind="stable")[cap:]]
-        hit[row, beaten] = False
-    return hit
-
-
 def _records(sim: np.ndarray, hit: np.ndarray) -> np.ndarray:
     """Per column: rows (in id order) more similar than all hits above them."""
     shown = np.where(hit, sim, -np.inf)
@@ -77,47 +82,129 @@ def _records(sim: np.ndarray, hit: np.ndarray) -> np.ndarray:
     return hit & (shown > best)
 
 
-def _block_task(floor: float, cap: int | None, digits: int | None, with_first: bool):
-    def multiply(block: pa.Table) -> pa.Table:
-        ids = block.column("id").to_numpy()
-        right = block.column("right").to_numpy()
-        rows = unit_rows(block.column("vec"))
-        by_id = np.argsort(ids, kind="stable")
-        first = {name: block.column(name)[0].as_py() for name in ("c1", "k1", "c2", "k2")}
-        own = (first["c1"], first["k1"]) == (first["c2"], first["k2"])
-        left_at = by_id[~right[by_id]]
-        right_at = left_at if own else by_id[right[by_id]]
-        found: list[tuple] = []
-
-        def keep(sim, hit, low, high):
+class Strongest:
+    """The ``cap`` best pairs of each row so far; mergeable, and bounded in memory."""
+
+    def __init__(self, rows: int, floor: float, cap: int | None):
+        self.cap, self.rows = cap, rows
+        self.least = np.full(rows, floor)     # what a pair of the row has to reach
+        self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, row: np.ndarray, other: np.ndarray, sim: np.ndarray) -> None:
+        self.kept.append((row, other, sim))
+        self.size += len(row)
+
+    def cut(self) -> None:
+        """Keep the best of each row (ties: lower id) and raise its bound."""
+        row, other, sim = (np.concatenate(part) for part in zip(*self.kept))
+        order = np.lexsort((other, -sim, row))
+        row, other, sim = row[order], other[order], sim[order]
+        start = np.searchsorted(row, np.arange(self.rows + 1))
+        place = np.arange(len(row)) - start[row]
+        best = place < self.cap
+        last = place == self.cap - 1
+        self.least[row[last]] = sim[last]
+        self.kept = [(row[best], other[best], sim[best])]
+        self.size = int(best.sum())
+
+    def taken(self):
+        """(row, other, similarity) kept so far; the bounds stay."""
+        if self.cap is not None and self.kept:
+            self.cut()
+        out = [np.concatenate(part) for part in zip(*self.kept)] if self.kept else None
+        self.kept, self.size = [], 0
+        return out
+
+
+def _similarities(left, right, least: np.ndarray, digits: int | None):
+    """(row, column, similarity) of the pairs that may reach their row's ``least``.
+
+    ``left`` and ``right`` are pairs of matrices: whole rows, and their strongest
+    coordinates with the length of the rest.
+    """
+    slack = (0.5 * 10.0 ** -digits if digits is not None else 0.0) + 1e-9
+    rows, short = left
+    others, other_short = right
+    if short.shape[1] < rows.shape[1]:
+        hope = short @ other_short.T >= (least - slack)[:, None]
+        if np.count_nonzero(hope) * FEW_PAIRS < hope.size:
+            r, c = np.nonzero(hope)
+            sim = np.einsum("ij,ij->i", rows[r], others[c])
+            return r, c, sim if digits is None else np.round(sim, digits)
+    sim = rows @ others.T
+    if digits is not None:
+        sim = np.round(sim, digits)
+    r, c = np.nonzero(sim >= least[:, None])
+    return r, c, sim[r, c]
+
+
+def _panel_task(floor: float, cap: int | None, digits: int | None, with_first: bool, axes: np.ndarray):
+    """Rows sorted by (task, chunk, role, id): the block a task holds, then those that pass."""
+
+    def halves(column):
+        rows = unit_rows(column)[:, axes]
+        head = rows[:, : max(1, rows.shape[1] // HEAD_SHARE)]
+        rest = np.sqrt(np.maximum(0.0, np.einsum("ij,ij->i", rows, rows) - np.einsum("ij,ij->i", head, head)))
+        return rows, np.concatenate([head, rest[:, None]], axis=1)
+
+    def table(kind, low, high, sim):
+        columns = [pa.array(np.full(len(low), kind), pa.int32()), pa.array(low, pa.int64()),
+                   pa.array(high, pa.int64()), pa.array(sim, pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, ["kind", "a", "b", "sim"])
+
+    def met(ids, held, state, passing, names):
+        """Let ``passing`` rows meet the held block, a bounded number of cells at a time."""
+        height = max(1, SLICE_CELLS // max(1, len(names)))
+        for start in range(0, len(ids), height):
+            part = slice(start, start + height)
+            r, c, sim = _similarities(tuple(m[part] for m in held), passing, np.full(len(ids[part]), floor)
+                                      if with_first else state.least[part], digits)
+            fits = (sim >= floor) & (ids[part][r] < names[c])
+            r, c, sim = r[fits], c[fits], sim[fits]
             if with_first:
-                r, c = np.nonzero(_records(sim, hit))
-                found.append((np.full(len(r), FIRST), low[r], high[c], sim[r, c]))
-            r, c = np.nonzero(_strongest(sim, hit, cap))
-            found.append((np.full(len(r), EDGE), low[r], high[c], sim[r, c]))
-
-        height = max(1, SLICE_CELLS // max(1, len(right_at)))
-        for start in range(0, len(left_at), height):
-            part = left_at[start : start + height]
-            sim = rows[part] @ rows[right_at].T
-            if digits is not None:
-                sim = np.round(sim, digits)
-            hit = sim >= floor
-            lower = ids[part][:, None] < ids[right_at][None, :]
-            keep(sim, hit & lower, ids[part], ids[right_at])
-            if not own:
-                keep(sim.T, (hit & ~lower).T, ids[right_at], ids[part])
-        kinds, low, high, sims = (
-            [np.concatenate(part) for part in zip(*found)] if found else ([], [], [], [])
-        )
-        return pa.table(
-            {
-                "kind": pa.array(kinds, pa.int32()),
-                "a": pa.array(low, pa.int64()),
-                "b": pa.array(high, pa.int64()),
-                "sim": pa.array(sims, pa.float64()),
-            }
-        )
+                shown = np.full((len(ids[part]), len(names)), -np.inf)
+                shown[r, c] = sim
+                fr, fc = np.nonzero(_records(shown, np.isfinite(shown)))
+                yield table(FIRST, ids[part][fr], names[fc], shown[fr, fc])
+            enough = sim >= state.least[part][r]
+            state.add(r[enough] + start, names[c[enough]], sim[enough])
+            if state.size > STATE_PAIRS and cap is not None:
+                state.cut()
+            if state.size > STATE_PAIRS:
+                yield from flush(ids, state)
+
+    def flush(ids, state):
+        if out := state.taken():
+            for start in range(0, len(out[0]), OUT_ROWS):
+                row, other, sim = (part[start : start + OUT_ROWS] for part in out)
+                yield table(EDGE, ids[row], other, sim)
+
+    def multiply(batches):
+        task, waiting, held, ids, state = None, [], None, None, None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("task", "chunk", "role")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for begin, end in zip(cuts[:-1], cuts[1:]):
+                if begin == end:
+                    continue
+                piece, (name, role) = batch.slice(begin, end - begin), (tuple(keys[begin, :2]), keys[begin, 2])
+                if name != task:
+                    if state is not None:
+                        yield from flush(ids, state)
+                    task, waiting, held, ids, state = name, [], None, None, None
+                if role == 0:
+                    waiting.append(piece)
+                    continue
+                if state is None:
+                    if not waiting:
+                        continue
+                    block = pa.Table.from_batches(waiting).combine_chunks()
+                    ids, held = block.column("id").to_numpy(), halves(block.column("vec"))
+                    state, waiting = Strongest(len(ids), floor, cap), []
+                yield from met(ids, held, state, halves(piece.column("vec")), piece.column("id").to_numpy())
+        if state is not None:
+            yield from flush(ids, state)
 
     return multiply
 
@@ -149,19 +236,26 @@ def _placed(rows: DataFrame, floor: float, pivots: int) -> tuple[DataFrame, dict
     return rows.withColumn("_near", nearest("vec")).select("*", "_near.*").drop("_near"), table
 
 
-def _block_count(vectors: DataFrame, vec_col: str, block_rows: int | None):
-    """Blocks per cell: as few as memory allows, since every row is sent once per
-    block it meets, but enough to give all cores a pair of blocks."""
-    rows = F.count("*")
+def _block_rows(vectors: DataFrame, vec_col: str, rows: int, block_rows: int | None) -> int:
+    """Rows of a block: as many as memory allows, since every row is sent once per
+    block it meets, but few enough to give all cores a block."""
     if block_rows:
-        return F.ceil(rows / F.lit(block_rows)).cast("int")
+        return block_rows
     first = vectors.select(F.size(vec_col)).first()
     most = max(SMALL_BLOCK, BLOCK_BYTES // (8 * max(1, first[0] if first else 1)))
     cores = vectors.sparkSession.sparkContext.defaultParallelism
-    wanted = math.ceil(math.sqrt(2 * cores))
-    return F.greatest(
-        F.ceil(rows / F.lit(most)), F.least(F.lit(wanted), F.ceil(rows / F.lit(SMALL_BLOCK)))
-    ).cast("int")
+    return max(1, min(most, max(SMALL_BLOCK, math.ceil(rows / (2 * cores)))))
+
+
+def _strong_axes(rows: DataFrame) -> np.ndarray:
+    """Coordinates by falling sum of squares over a bounded sample.
+
+    Their order only decides how close the bounds come, never what is found.
+    """
+    sample = [row["vec"] for row in rows.select("vec").limit(AXES_SAMPLE).collect()]
+    if not sample:
+        return np.zeros(0, dtype=np.int64)
+    return np.argsort(-np.square(np.array(sample, dtype=np.float64)).sum(axis=0), kind="stable")
 
 
 def similar_pairs(
@@ -181,23 +275,22 @@ def similar_pairs(
         label.alias("grp"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")
     ).filter(F.col("grp").isNotNull())
     rows, apart = _placed(rows, floor, pivots)
-
-    cells, seen = save_measured(
-        rows.groupBy("grp", "cell").agg(
-            _block_count(vectors, vec_col, block_rows).alias("blocks"),
-            F.max("angle").alias("reach"),
-        ),
+    n = rows.count()
+    height = _block_rows(vectors, vec_col, n, block_rows)
+    # A part of the range sort is a block, or several where labels or cells meet in it.
+    rows = save(rows.repartitionByRange(max(1, math.ceil(n / height)), "grp", "cell", "id")
+                .withColumn("part", F.spark_partition_id()))
+    block = ["grp", "cell", "part"]
+    blocks, seen = save_measured(
+        rows.groupBy(*block).agg(F.min("id").alias("low"), F.max("id").alias("high"),
+                                 F.max("angle").alias("reach"))
+        .withColumn("block", F.monotonically_increasing_id()),
         rows=F.count("*"),
     )
-    routes, routed = cells.select(
-        "grp", "cell", "blocks", F.col("cell").alias("cell2"), F.col("blocks").alias("blocks2")
-    ), seen["rows"]
+    few = small(blocks, seen["rows"])
+    other = few.select("grp", *[F.col(c).alias(f"{c}2") for c in ("cell", "part", "block", "high", "reach")])
+    meets = F.col("high2") > F.col("low")
     if apart:
-        # At most MAX_PIVOTS cells per label meet, a bounded fan-out.
-        other = cells.select(
-            "grp", F.col("cell").alias("cell2"), F.col("blocks").alias("blocks2"),
-            F.col("reach").alias("reach2"),
-        )
         # Rounding lifts a similarity by half a unit of the last digit at most.
         lowest = floor - (0.5 * 10.0 ** -digits if digits is not None else 0.0)
         widest = math.acos(max(-1.0, min(1.0, lowest))) + 1e-6
@@ -205,34 +298,33 @@ def similar_pairs(
             item for (c, d), angle in apart.items()
             for item in (F.lit(c * MAX_PIVOTS + d), F.lit(angle))
         ])[F.col("cell") * MAX_PIVOTS + F.col("cell2")]
-        routes, seen = save_measured(
-            cells.join(other, "grp")
-            .filter(
-                (F.col("cell") == F.col("cell2"))
-                | (gap - F.col("reach") - F.col("reach2") <= F.lit(widest))
-            )
-            .select("grp", "cell", "blocks", "cell2", "blocks2"),
-            rows=F.count("*"),
-        )
-        routed = seen["rows"]
-
-    sent = (
-        rows.select("grp", "cell", "id", "vec")
-        .join(small(routes, routed), ["grp", "cell"])
-        .withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
-        .withColumn("k2", F.explode(F.sequence(F.lit(0), F.col("blocks2") - 1)))
-    )
-    is_right = F.struct("cell", "k") > F.struct(F.col("cell2").alias("cell"), F.col("k2").alias("k"))
-    keyed = sent.select(
-        "grp",
-        F.when(is_right, F.col("cell2")).otherwise(F.col("cell")).alias("c1"),
-        F.when(is_right, F.col("k2")).otherwise(F.col("k")).alias("k1"),
-        F.when(is_right, F.col("cell")).otherwise(F.col("cell2")).alias("c2"),
-        F.when(is_right, F.col("k")).otherwise(F.col("k2")).alias("k2"),
-        is_right.alias("right"), "id", "vec",
+        meets = meets & ((F.col("cell") == F.col("cell2"))
+                         | (gap - F.col("reach") - F.col("reach2") <= F.lit(widest)))
+    # A row for each two blocks that meet: far fewer than there are rows to be sent.
+    chunk = F.floor(F.col("part2") / PASSING)
+    routes, seen = save_measured(
+        blocks.join(other, "grp").filter(meets).select(
+            *block, "cell2", "part2", F.col("block").alias("task"), chunk.alias("chunk")),
+        rows=F.count("*"),
     )
-    task = _block_task(floor, max_degree, digits, with_first)
-    return keyed.groupBy("grp", "c1", "k1", "c2", "k2").applyInArrow(task, PAIR_SCHEMA)
+    # Each block is held by as many tasks as it meets chunks of blocks.
+    holds = small(routes.select(*block, "task", "chunk").distinct(), seen["rows"])
+    passes = small(routes.select("grp", F.col("cell2").alias("cell"), F.col("part2").alias("part"), "task", "chunk"),
+                   seen["rows"])
+    role = lambda place, value: rows.join(place, block).select(
+        "task", "chunk", F.lit(value).alias("role"), "id", "vec")
+    sent = role(holds, 0).unionByName(role(passes, 1))
+    work = _panel_task(floor, max_degree, digits, with_first, _strong_axes(rows))
+    found = sent.repartition("task", "chunk").sortWithinPartitions("task", "chunk", "role", "id").mapInArrow(work, PAIR_SCHEMA)
+    if with_first:
+        found = save(found)  # read once for each kind
+    if max_degree is None:
+        return found
+    # All but the best around the lower id are cut off on both sides of the exchange.
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.col("sim").desc(), "b"))
+    edges = found.filter(F.col("kind") == EDGE).withColumn("_place", place)
+    edges = edges.filter(F.col("_place") <= max_degree).drop("_place")
+    return edges.unionByName(found.filter(F.col("kind") == FIRST)) if with_first else edges
 
 
 def cosine_edges(vectors: DataFrame, floor: float, **options) -> DataFrame:

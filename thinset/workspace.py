@@ -53,6 +53,17 @@ def save_measured(df: DataFrame, **measures) -> tuple[DataFrame, dict]:
     return saved, seen.get
 
 
+def save_ranged(df: DataFrame, by: str) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet sorted by ``by``.
+
+    Files and row groups hold disjoint ranges of it, so that a reader that asks for a
+    range opens only those that can hold it.
+    """
+    path = new_path(df.sparkSession, "ranged")
+    df.repartitionByRange(by).sortWithinPartitions(by).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast ``df`` in the next join if its counted size allows it."""
     return F.broadcast(df) if rows <= SMALL_ROWS else df

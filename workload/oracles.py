@@ -84,6 +84,45 @@ def greedy(k: int) -> str:
 PICKS = "SELECT v AS id, gain::BIGINT AS gain, step::BIGINT AS pick_rank FROM g WHERE step > 0"
 
 
+def bisection(k: int, coverage: float) -> str:
+    """CTEs from ``e`` to ``run``: one row per pick, and one more per finished probe.
+
+    A state is a probe with the picks it has made; it ends after ``k`` picks or when all
+    is covered, and the next one starts in the half that the coverage asks for.
+    """
+    return f"""{BOTH},
+      nb AS MATERIALIZED (
+        SELECT vec_id AS v, list(struct_pack(w := b, s := sim)) FILTER (b IS NOT NULL) AS ns
+        FROM embeddings LEFT JOIN d ON a = vec_id GROUP BY vec_id),
+      size AS (SELECT count(*) AS n FROM embeddings),
+      run(probe, low, high, theta, step, reached, covered, stop) AS (
+        SELECT 1, 0::DOUBLE, 1000::DOUBLE, 500::DOUBLE, 0::BIGINT, 0::BIGINT, []::BIGINT[], false
+        UNION ALL
+        SELECT CASE WHEN full_ THEN probe + 1 ELSE probe END, low2, high2,
+               CASE WHEN full_ THEN (low2 + high2) / 2 ELSE theta END,
+               CASE WHEN full_ THEN 0 ELSE step + 1 END,
+               CASE WHEN full_ THEN 0 ELSE reached + best.gain END,
+               CASE WHEN full_ THEN [] ELSE list_concat(covered, best.n) END,
+               full_ AND (reached / n = {coverage} OR high2 - low2 <= 1)
+        FROM (
+          SELECT *, CASE WHEN full_ AND reached / n >= {coverage} THEN theta ELSE low END AS low2,
+                 CASE WHEN full_ AND reached / n < {coverage} THEN theta ELSE high END AS high2
+          FROM (
+            SELECT probe, low, high, theta, step, reached, covered, n, full_,
+                   min_by(struct_pack(gain := gain, n := ws), struct_pack(g := -gain, o := ord, v := v)) AS best
+            FROM (
+              SELECT r.*, nb.v, list_append(list_transform(list_filter(coalesce(nb.ns, []),
+                       lambda x: x.s >= r.theta / 1000), lambda x: x.w), nb.v) AS ws,
+                     len(list_filter(ws, lambda x: NOT list_contains(r.covered, x))) AS gain,
+                     list_min(list_append(list_transform(list_filter(coalesce(nb.ns, []),
+                       lambda x: x.s >= r.theta / 1000 AND x.w < nb.v),
+                       lambda x: struct_pack(i := x.w, m := 1, far := -x.s)),
+                       struct_pack(i := nb.v, m := 0, far := 0.0::DOUBLE))) AS ord
+              FROM (SELECT run.*, n, step = {k} OR reached = n AS full_ FROM run, size WHERE NOT stop) r
+              LEFT JOIN nb ON NOT full_ AND NOT list_contains(r.covered, nb.v))
+            GROUP BY ALL)))"""
+
+
 def report(source: str) -> str:
     """Classification report of ``source(gold, pred)``."""
     return f"""
@@ -199,6 +238,13 @@ ORACLES = {
         round(list_cosine_similarity(e, list_reverse(e)), 6) AS mirror
       FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)""",
     "cosine_edges": f"WITH {edges(0.2, False)} SELECT a, b, sim FROM e",
+    "cosine_edges_pivots": f"WITH {edges(0.2, False)} SELECT a, b, sim FROM e",
+    "strongest_edges": f"""WITH {edges(0.1, False)} SELECT a, b, sim FROM e
+      QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 5""",
+    "coverage_probes": f"""WITH RECURSIVE {edges(0.0)}, {bisection(12, 0.5)}
+      SELECT probe::INTEGER AS probe, theta / 1000 AS threshold, reached / n AS coverage, step AS picks,
+             reached AS covered
+      FROM run, size WHERE step = 12 OR reached = n""",
     "label_edges": f"WITH {edges(0.1)} SELECT a, b, sim FROM e",
     "node_degrees": f"WITH {edges(0.1)}, {BOTH} SELECT a AS id, count(*) AS degree FROM d GROUP BY a",
     "degree_histogram": f"""WITH {edges(0.1)}, {BOTH},

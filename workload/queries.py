@@ -206,6 +206,18 @@ def cosine_edges(spark, folder):
     return similarity.cosine_edges(table(spark, folder, "embeddings"), 0.2, **VECTORS)
 
 
+def cosine_edges_pivots(spark, folder):
+    """The same pairs by cells around pivots and small blocks."""
+    return similarity.cosine_edges(
+        table(spark, folder, "embeddings"), 0.2, pivots=8, block_rows=90, **VECTORS)
+
+
+def strongest_edges(spark, folder):
+    """At most five pairs around each lower id, over many small blocks."""
+    return similarity.cosine_edges(
+        table(spark, folder, "embeddings"), 0.1, max_degree=5, block_rows=90, **VECTORS)
+
+
 def label_edges(spark, folder):
     return label_edges_at(spark, folder, 0.1)
 
@@ -272,6 +284,14 @@ def acs_picks(spark, folder):
     return found.picks
 
 
+def coverage_probes(spark, folder):
+    """Every probe of a search: threshold, coverage, picks and covered rows."""
+    return coverage_search(
+        table(spark, folder, "embeddings"), 12, 0.5, label_col="label", sim_lb=0, id_col="vec_id",
+        digits=6, max_degree=1_000_000, epsilon=0.0,
+    ).probe_table()
+
+
 def acs_duplicates(spark, folder):
     """The branch for samples larger than the wanted coverage: copies (of another
     length) are picked once, zero vectors are copies of nothing."""
@@ -639,6 +659,7 @@ QUERIES = {
         group_sample, score_sample, selection_replay, holdout, holdout_stratified, shuffled_rows,
         label_distribution, label_counts, last_group, linearized_orders, marked_entities,
         vocabulary_index, cleaned_text, joined_splits, array_scores, cosine_edges, label_edges,
+        cosine_edges_pivots, strongest_edges, coverage_probes,
         node_degrees, degree_histogram, top_neighbors, mutual_cap, sequential_cap,
         insertion_order, max_cover, max_cover_unlabelled, acs_sample, acs_picks, duplicate_cover,
         classification_report, stored_report, named_metrics, bio_spans, entity_scores,
