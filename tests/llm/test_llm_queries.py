@@ -92,12 +92,19 @@ def test_decontamination(spark):
 
 
 def test_toxicity(spark):
-    label = dict(read(spark, "labels", "doc_id", "toxic"))
-    rows = QUERIES["op8_toxicity"](spark, FOLDER).collect()
-    right = [r.predicted == label[r.doc_id] for r in rows if r.held_out and r.doc_id in label]
+    """Held-out rows told apart: area under the curve, recall and precision."""
+    folder = "/root/testdata/sf0.1"
+    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = QUERIES["op8_toxicity"](spark, folder).collect()
+    assert len(rows) == spark.read.parquet(f"{folder}/documents.parquet").count()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
-    assert sum(right) >= 0.9 * len(right)
+    told = [(r.score, label[r.doc_id], r.predicted) for r in rows if r.held_out and label.get(r.doc_id) is not None]
+    toxic, other = [s for s, y, _ in told if y == 1], [s for s, y, _ in told if y == 0]
+    wins = sum((a > b) + (a == b) / 2 for a in toxic for b in other)
+    assert wins >= 0.95 * len(toxic) * len(other)
+    hits, marked = sum(p for _, y, p in told if y == 1), sum(p for _, _, p in told)
+    assert hits >= 0.85 * len(toxic) and hits >= 0.95 * marked
 
 
 def test_licenses(spark):

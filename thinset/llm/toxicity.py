@@ -1,19 +1,21 @@
-"""Class-conditional Kneser-Ney models over characters and over words.
+"""Class-conditional Kneser-Ney models of the texts labelled toxic and of the others.
 
-Interpolated models of the texts labelled toxic and of the others, twice: of four
-characters, whose lower orders (continuation counts: distinct left neighbours) are pooled
-over both classes, and of word pairs, which back off to the word (continuation counts of
-the class) and then to the pooled words.  What neither class has seen gets the same
-probability from both and says nothing.  Both log-likelihood ratios, divided by the root
-of the length, by which the noise of a sum grows, go into one logistic curve.
+Both models have word pairs, whose lower order are continuation counts: in how many
+places, told apart by the word before, a class uses a word.  Counts up to DISCOUNT are
+no evidence of a class; they go to counts that both classes share.  So what no class has
+seen often gets the same probability from both and says nothing, and a pair that says
+nothing leaves the word to the shared weight of its history.  The log-likelihood ratio
+of a stretch is divided by its length: a text is judged by its strongest word, by its
+three strongest and as a whole, and one logistic curve weighs the three.
 
 Text is read as code points in lower case; a word is a run of letters, marks and digits
-of any script, signs of scripts written without spaces are words of their own, and all
-between words is one separator.  All counts are shuffled aggregates whose size grows
-with the text.  The log ratio of a text is a sum over its distinct n-grams, each an entry
-of one stored table: entries that occur often (at most FREQUENT) are looked up where the
-text is read, all others by a join.  Entries are whole multiples of 1 / SCALE, so where
-they are added changes nothing.
+of any script, signs of scripts written without spaces are words of their own.  A word
+is known by 32 bits of its hash; two that share them count as one.  All counts are
+shuffled aggregates whose size grows with the text, taken once for two models: without
+the texts the curve is fitted on, and with them.  Of the log ratios, the entries that
+occur most (at most FREQUENT) are looked up where the text is read; a bitmap tells which
+other words may have one, and only those are joined.  Entries are whole multiples of
+1 / SCALE, so where they are added changes nothing.
 """
 
 from __future__ import annotations
@@ -27,19 +29,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thinset.llm.tables import BROADCAST_ROWS, if_small, packed, stored, unpacked
-from thinset.llm.words import grams, hashes, mix, runs
+from thinset.llm.tables import packed, stored, unpacked
+from thinset.llm.words import hashes, runs
 
-DISCOUNT = 0.75
-ORDER = 4                   # characters of an n-gram; words have no bound
+DISCOUNT = 3.0              # of a count of one class
+SHARED = 0.75               # discount of a count of both
+MIXED = 50.0                # weight of the shared pair probability among a history's counts
 SCALE = 1 << 24
-FREQUENT = 1 << 18          # entries a task holds; the others are joined
+TOP = 3                     # strongest words of a text that count on their own
+FREQUENT = 1 << 21          # entries a task holds (16 bytes each); the others are joined
+BITMAP = 1 << 27            # bits that tell whether a key may be among the others
+BUFFER = 1 << 21            # pairs counted together before they leave a task
+SMALL_BYTES = 8 << 20       # a counted table of narrow rows up to this size is broadcast
 CALIBRATION_ROWS = 20_000   # labelled rows the logistic curve is fitted on, at most
 FOLDS = 5                   # remainder 0 is held out, remainder 4 calibrates, the rest count
 
-_START = np.uint64(0x5851F42D4C957F2D)   # the history of a first word
-_HISTORY = 0x14057B7EF767814F            # a history's key is its word's hash xor this
-_ENTRIES = "key long, value long, n long, chars boolean"
+_WORD = 0xFFFFFFFF          # in place of a history: the key of a word itself
+_START = 0                  # the history of a first word
+_ENTRIES = "key long, n long, early long, late long"
 
 
 def fold(doc_id):
@@ -78,8 +85,8 @@ def _points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.minimum(points, 0x10FFFF).astype(np.uint32), rows
 
 
-def _words(column: pa.Array) -> Iterator[tuple]:
-    """(first row, word hashes, their histories, word offsets, character n-grams, their offsets) of runs of texts."""
+def _words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, word codes, codes of the words before, word offsets) of runs of texts."""
     kinds, lower = _alphabet()
     for row, data, offsets in runs(column):
         points, at = _points(data, offsets)
@@ -92,267 +99,232 @@ def _words(column: pa.Array) -> Iterator[tuple]:
         after[edge - 1] = 0
         starts = np.flatnonzero((kind == 2) | (kind == 1) & (before != 1))
         ends = np.flatnonzero((kind == 2) | (kind == 1) & (after != 1)) + 1
-        word = hashes(points, starts, ends)
+        word = hashes(points, starts, ends) % np.uint64(_WORD - 1) + np.uint64(1)
         cut = np.searchsorted(starts, at)
-        history = np.full(len(word), _START)
+        history = np.full(len(word), _START, np.uint64)
         history[1:] = word[:-1]
         history[cut[:-1][cut[:-1] < len(word)]] = _START
-        yield row, word, history, cut, *_windows(np.where(kind > 0, points, 0), at)
+        yield row, word, history, cut
 
 
-def _windows(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ORDER symbols up to each symbol, a row each, and the offsets of texts; a run of 0 is one separator."""
-    first = np.zeros(len(symbols) + 1, bool)
-    first[offsets] = True
-    keep = symbols != 0
-    keep[1:] |= (symbols[:-1] != 0) | first[1:len(symbols)]
-    keep[:1] = True
-    kept = np.concatenate([[0], np.cumsum(keep)])[offsets]
-    symbols, lengths = symbols[keep], np.diff(kept)
-    # Each text starts with ORDER - 1 separators of its own.
-    at = np.arange(len(symbols)) + np.repeat((ORDER - 1) * np.arange(1, len(lengths) + 1), lengths)
-    padded = np.zeros(len(symbols) + (ORDER - 1) * len(lengths), np.uint32)
-    padded[at] = symbols
-    return np.stack([padded[at - j] for j in range(ORDER - 1, -1, -1)], axis=1), kept
-
-
-def _keys(windows: np.ndarray) -> np.ndarray:
-    """64-bit hash of each window."""
-    total = np.full(len(windows), ORDER, np.uint64)
-    for j in range(ORDER):
-        total = mix(total * np.uint64(0x9DDFEA08EB382D69) + windows[:, j])
-    return total
-
-
-def _histories(windows: np.ndarray) -> np.ndarray:
-    """The windows with a mark in place of their last symbol."""
-    before = windows.copy()
-    before[:, -1] = 0xFFFFFFFF
-    return before
-
-
-def _pairs(history: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """64-bit hash of each history with its word."""
-    both = np.empty(2 * len(word), np.uint64)
-    both[0::2], both[1::2] = history, word
-    return grams(both, 2)[0::2]
+def _key(history: np.ndarray | int, word: np.ndarray) -> np.ndarray:
+    return (np.uint64(history) << np.uint64(32) | word).view(np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word pairs and character n-grams (with their text, without words) of each run of texts."""
-    names = ["part", "label", "key", "history", "word", "gram", "n"]
-    for batch in batches:
-        kinds = batch.column(1).to_numpy(zero_copy_only=False) * 2 + batch.column(2).to_numpy(zero_copy_only=False)
-        for row, word, history, cut, windows, kept in _words(batch.column(0)):
-            own = kinds[row:row + len(cut) - 1]
-            of_word, of_window = np.repeat(own, np.diff(cut)), np.repeat(own, np.diff(kept))
-            every = _keys(windows)
-            for k in np.unique(own):
-                at = np.flatnonzero(of_word == k)
-                pair, first, n = np.unique(_pairs(history[at], word[at]), return_index=True, return_counts=True)
-                here = np.flatnonzero(of_window == k)
-                gram, one, m = np.unique(every[here], return_index=True, return_counts=True)
-                shown = np.where(windows[here[one]] == 0, np.uint32(32), windows[here[one]]).tobytes()
-                chars = shown.decode("utf-32-le", "replace")
-                size = len(pair) + len(gram)
-                before, none = _keys(_histories(windows[here[one]])), np.zeros(len(gram), np.uint64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(size, k // 2)), pa.array(np.full(size, k % 2)),
-                    pa.array(np.concatenate([pair, gram]).view(np.int64)),
-                    pa.array(np.concatenate([history[at[first]], before]).view(np.int64)),
-                    pa.array(np.concatenate([word[at[first]], none]).view(np.int64), mask=np.arange(size) >= len(pair)),
-                    pa.array([None] * len(pair) + [chars[i:i + ORDER] for i in range(0, len(chars), ORDER)], pa.string()),
-                    pa.array(np.concatenate([n, m]))], names)
-
-
-def _own(n: str):
-    return F.greatest(F.col(n) - F.lit(DISCOUNT), F.lit(0.0))
-
-
-def _spare(n: str):
-    return F.sum(F.least(F.col(n).cast("double"), F.lit(DISCOUNT)))
-
-
-def _broadcast(table: DataFrame) -> DataFrame:
-    """A stored ``table`` with a broadcast hint if it is small; its rows are counted by its files."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    """Word pairs with their kind (twice the part plus the label) and number, many texts together."""
+    held: list[list[np.ndarray]] = [[] for _ in range(4)]
+    size = 0
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        for kind, keys in enumerate(held):
+            if keys:
+                key, n = np.unique(np.concatenate(keys), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n)],
+                                                 ["kind", "key", "n"])
+                keys.clear()
 
-
-def _sums() -> list:
-    return [F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
-
-
-def _fixed(x):
-    return F.round(x * SCALE).cast("long").alias("value")
-
-
-def character_ratios(counted: DataFrame) -> DataFrame:
-    """(key, value, n): what a history and an n-gram add to log p(last character | history, toxic) - the same for ordinary.
-
-    The lower orders are pooled over both classes and cancel where neither has seen the n-gram.
+    for batch in batches:
+        kinds = batch.column(1).to_numpy(zero_copy_only=False)
+        for row, word, history, cut in _words(batch.column(0)):
+            of = np.repeat(kinds[row:row + len(cut) - 1], np.diff(cut))
+            key = _key(history, word)
+            for kind in range(4):
+                held[kind].append(key[of == kind])
+            size += len(key)
+            if size >= BUFFER:
+                yield from counted()
+                size = 0
+    yield from counted()
+
+
+def _small(table: DataFrame, row_bytes: int) -> DataFrame:
+    """A stored ``table`` with a broadcast hint if its counted rows are few enough."""
+    return F.broadcast(table) if table.count() * row_bytes <= SMALL_BYTES else table
+
+
+def log_ratios(pairs: DataFrame) -> DataFrame | None:
+    """(key, n, early, late): what a word or a pair adds to the log ratio, in both models.
+
+    ``pairs`` has the counts (key, n00, n01, n10, n11), first digit 1 for the late model,
+    second the label.  A missing entry adds nothing.  None if a class has no word in the
+    early model.
     """
-    top = counted.where("gram IS NOT NULL").groupBy("key", "history", "gram").agg(*_sums())
-    top = stored(top, "characters")
-    levels = [top.select("gram")]
-    for size in range(ORDER - 1, 0, -1):
-        shorter = F.substring("gram", 2, size).alias("gram")
-        levels.append(levels[-1].select(shorter).groupBy("gram").agg(F.count("*").alias("n")))
-    total, spare, chars = levels[-1].agg(F.sum("n"), _spare("n"), F.count("*")).first()
-    p = levels[-1].select("gram", ((_own("n") + spare / (chars + 1)) / total).alias("p"))
-    for size in range(2, ORDER):
-        p = _joined(levels[ORDER - size], p, size, ["n"]).select(
-            "gram", ((_own("n") + F.col("s_n") * F.col("lower")) / F.col("t_n")).alias("p"))
-    both = _joined(top, stored(p, "lower"), ORDER, ["n0", "n1"])
-    back = [F.when(F.col(f"t_n{c}") > 0, F.col(f"s_n{c}") / F.col(f"t_n{c}")).otherwise(1.0) for c in (0, 1)]
-    p = [_own(f"n{c}") / F.greatest(f"t_n{c}", F.lit(1)) + back[c] * F.col("lower") for c in (0, 1)]
-    # Every n-gram of a history has the same sums of it.
-    histories = both.groupBy(F.col("history").alias("key")).agg(
-        *[F.first(f"{x}_n{c}").alias(f"{x}_n{c}") for c in (0, 1) for x in "ts"]).select(
-        "key", _fixed(F.log(back[1] / back[0])), (F.col("t_n0") + F.col("t_n1")).alias("n"))
-    grams = both.select("key", (_fixed(F.log(p[1] / p[0])) - _fixed(F.log(back[1] / back[0]))).alias("value"),
-                        (F.col("n0") + F.col("n1")).alias("n"))
-    return histories.unionByName(grams).withColumn("chars", F.lit(True))
-
-
-def _joined(level: DataFrame, p: DataFrame, size: int, counts: list[str]) -> DataFrame:
-    """``level`` with the sums of its history (t_, s_) and the probability of the next lower order."""
-    level = level.withColumns({"left": F.substring("gram", 1, size - 1), "right": F.substring("gram", 2, size - 1)})
-    left = level.groupBy("left").agg(*[F.sum(c).alias(f"t_{c}") for c in counts], *[_spare(c).alias(f"s_{c}") for c in counts])
-    return level.join(left, "left").join(p.select(F.col("gram").alias("right"), F.col("p").alias("lower")), "right")
-
-
-def word_ratios(counted: DataFrame) -> DataFrame | None:
-    """(key, value, n): what a word, a history and a pair add to log p(word | history, toxic) - the same for ordinary."""
-    pairs = counted.where("gram IS NULL").groupBy("key", "history", "word").agg(*_sums())
-    left = pairs.groupBy(F.col("history").alias("word")).agg(
-        *[F.sum(f"n{c}").alias(f"t{c}") for c in (0, 1)], *[_spare(f"n{c}").alias(f"s{c}") for c in (0, 1)])
-    right = pairs.groupBy("word").agg(*[F.count_if(F.col(f"n{c}") > 0).alias(f"k{c}") for c in (0, 1)],
-                                      F.count("*").alias("k"), F.sum(F.col("n0") + F.col("n1")).alias("n"))
-    table = stored(right.join(left, "word", "full_outer"), "words")
-    of = table.agg(*[F.sum(f"k{c}") for c in (0, 1)], *[_spare(f"k{c}") for c in (0, 1)],
-                   F.sum("k"), _spare("k"), F.count("k")).first()
-    if not (of[0] and of[1]):
+    models = [("0", "early"), ("1", "late")]
+    pairs = pairs.withColumns({"history": F.shiftrightunsigned("key", 32), "word": F.col("key").bitwiseAND(F.lit(_WORD))})
+    counts = [f"n{m}{c}" for m, _ in models for c in (0, 1)]
+    words = stored(pairs.groupBy("word").agg(
+        *[F.count_if(F.col(n) > 0).alias(n.replace("n", "k")) for n in counts],
+        *[F.count_if(F.col(f"n{m}0") + F.col(f"n{m}1") > 0).alias(f"k{m}") for m, _ in models],
+        F.sum(F.col("n10") + F.col("n11")).alias("n")), "words")
+    cut = lambda k, d: F.greatest(F.col(k) - F.lit(d), F.lit(0.0))
+    of = words.agg(
+        *[F.sum(n.replace("n", "k")).alias(n.replace("n", "t")) for n in counts],
+        *[F.sum(F.least(F.col(n.replace("n", "k")).cast("double"), F.lit(DISCOUNT))).alias(n.replace("n", "s")) for n in counts],
+        *[x for m, _ in models for x in (F.sum(f"k{m}").alias(f"t{m}"), F.count_if(F.col(f"k{m}") > 0).alias(f"v{m}"),
+                                         F.sum(F.least(F.col(f"k{m}").cast("double"), F.lit(SHARED))).alias(f"s{m}"))]).first()
+    if not (of and of["t00"] and of["t01"]):
         return None
-    pooled = (_own("k") + of[5] / (of[6] + 1)) / of[4]
-    low = [(_own(f"k{c}") + of[2 + c] * pooled) / of[c] for c in (0, 1)]
-    back = [F.when(F.col(f"t{c}") > 0, F.col(f"s{c}") / F.col(f"t{c}")).otherwise(1.0) for c in (0, 1)]
-    table = table.select("word", "n", *[F.coalesce(f"t{c}", F.lit(0)).alias(f"t{c}") for c in (0, 1)],
-                         *[back[c].alias(f"b{c}") for c in (0, 1)], *[low[c].alias(f"p{c}") for c in (0, 1)])
-    words = table.where("n IS NOT NULL").select(F.col("word").alias("key"), _fixed(F.log(F.col("p1") / F.col("p0"))), "n")
-    histories = table.where("t0 + t1 > 0").select(
-        F.col("word").bitwiseXOR(F.lit(_HISTORY)).alias("key"), _fixed(F.log(F.col("b1") / F.col("b0"))),
-        (F.col("t0") + F.col("t1")).alias("n"))
-    small = table.count() <= BROADCAST_ROWS
-    known = F.broadcast(table) if small else table
-    joined = pairs.join(known.select(F.col("word").alias("history"), "t0", "t1", "b0", "b1"), "history").join(
-        known.select("word", "p0", "p1"), "word")
-    p = [_own(f"n{c}") / F.greatest(f"t{c}", F.lit(1)) + F.col(f"b{c}") * F.col(f"p{c}") for c in (0, 1)]
-    # Taken from its parts as rounded, so that the three add up.
-    rest = _fixed(F.log(F.col("b1") / F.col("b0"))) + _fixed(F.log(F.col("p1") / F.col("p0")))
-    both = joined.select("key", (_fixed(F.log(p[1] / p[0])) - rest).alias("value"), (F.col("n0") + F.col("n1")).alias("n"))
-    return words.unionByName(histories).unionByName(both).withColumn("chars", F.lit(False))
-
-
-def log_ratios(counted: DataFrame) -> DataFrame:
-    """(key, value, n, chars): what an n-gram adds to a text's log ratio, and how often it was seen.
-
-    A missing entry adds nothing.  ``counted`` has the rows of :func:`_count`.  A class
-    without any word says nothing: there are no entries.
-    """
-    words = word_ratios(counted)
-    if words is None:
-        return counted.sparkSession.createDataFrame([], _ENTRIES)
-    return stored(words.unionByName(character_ratios(counted)).where("value <> 0"), "ratios")
+    # Probabilities of a word: shared (p0, p1), and of each class of both models.
+    words = words.withColumns({
+        f"p{m}": (cut(f"k{m}", SHARED) + of[f"s{m}"] / (of[f"v{m}"] + 1)) / of[f"t{m}"] for m, _ in models})
+    words = words.withColumns({
+        f"p{m}{c}": (cut(f"k{m}{c}", DISCOUNT) + of[f"s{m}{c}"] * F.col(f"p{m}")) / of[f"t{m}{c}"]
+        for m, _ in models for c in (0, 1)})
+    often = lambda k: F.greatest(f"{k}0", f"{k}1") > DISCOUNT
+    words = words.withColumns({name: F.when(often(f"k{m}"), _fixed(F.col(f"p{m}1"), F.col(f"p{m}0"))).otherwise(0)
+                               for m, name in models})
+    words = stored(words, "word-ratios")
+    # A history's counts, and the share of them that goes on to its shared lower order.
+    left = pairs.groupBy("history").agg(
+        *[F.sum(n).alias(n.replace("n", "t")) for n in counts],
+        *[F.sum(F.least(F.col(n).cast("double"), F.lit(DISCOUNT))).alias(n.replace("n", "s")) for n in counts],
+        *[F.sum(F.least((F.col(f"n{m}0") + F.col(f"n{m}1")).cast("double"), F.lit(SHARED))).alias(f"s{m}") for m, _ in models])
+    seen = pairs.where(often("n0") | often("n1")).join(_small(stored(left, "histories"), 100), "history").join(
+        _small(words.select("word", "p0", "p1", "p00", "p01", "p10", "p11", "early", "late"), 90), "word")
+    added = {}
+    for m, name in models:
+        both, total = F.col(f"n{m}0") + F.col(f"n{m}1"), F.greatest(F.col(f"t{m}0") + F.col(f"t{m}1"), F.lit(1))
+        shared = (F.greatest(both - F.lit(SHARED), F.lit(0.0)) + F.col(f"s{m}") * F.col(f"p{m}")) / total
+        p = [(cut(f"n{m}{c}", DISCOUNT) + (F.col(f"s{m}{c}") + MIXED) * shared * F.col(f"p{m}{c}") / F.col(f"p{m}")) / (F.col(f"t{m}{c}") + MIXED)
+             for c in (0, 1)]
+        added[name] = F.when(often(f"n{m}"), _fixed(p[1], p[0]) - F.col(name)).otherwise(0)
+    both = seen.select("key", (F.col("n10") + F.col("n11")).alias("n"), *[added[name].alias(name) for _, name in models])
+    single = words.select(F.col("word").bitwiseOR(F.lit(-1 << 32)).alias("key"), "n", "early", "late")
+    return stored(single.unionByName(both).where("early <> 0 OR late <> 0"), "ratios")
+
+
+def _fixed(toxic, ordinary):
+    return F.round(F.log(toxic / ordinary) * SCALE).cast("long")
+
+
+class Entries:
+    """Entries a task holds, sorted by key, and the bitmap of the others."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, bits: np.ndarray | None):
+        self.keys, self.values, self.bits = keys, values, bits
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value, may be among the others) of keys."""
+        value, held = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            held = self.keys[at] == key
+            value[held] = self.values[at[held]]
+        if self.bits is None:
+            return value, np.zeros(len(key), bool)
+        plain = key.view(np.uint64)
+        bit = ((plain >> np.uint64(32)) ^ plain) & np.uint64(BITMAP - 1)
+        return value, ~held & ((self.bits[bit >> np.uint64(5)] >> (bit & np.uint64(31)).astype(np.uint32)) & 1 > 0)
 
 
 class Model:
     """Log ratios and calibration; ``rows`` gives the probability of label 1."""
 
-    def __init__(self, ratios: DataFrame, weights: np.ndarray | None = None, frequent: int | None = None):
-        self.weights = weights
-        limit = FREQUENT if frequent is None else frequent
-        octave = F.floor(F.log2("n")).cast("int")
+    def __init__(self, ratios: DataFrame | None, weights: np.ndarray | None = None, frequent: int | None = None):
+        """``ratios`` has (key, n, value); None stands for a model that says nothing."""
+        self.weights, self.others, bits = weights, None, None
+        if ratios is None:
+            self.entries = Entries(np.zeros(0, np.int64), np.zeros(0, np.int64), None)
+            return
+        octave = F.floor(F.log2(F.greatest("n", F.lit(1)))).cast("int")
         sizes = dict(ratios.groupBy(octave).count().collect())
         least, held = 64, 0
         for k in sorted(sizes, reverse=True):  # how often an entry of this table occurs at least
-            if held + sizes[k] > limit:
+            if held + sizes[k] > (FREQUENT if frequent is None else frequent):
                 break
             least, held = k, held + sizes[k]
-        often = ratios.where(octave >= least).select("key", "value", "chars").toPandas().sort_values("key")
-        self.tables = [(t["key"].to_numpy(np.int64), t["value"].to_numpy(np.int64))
-                       for t in (often[~often["chars"].astype(bool)], often[often["chars"].astype(bool)])]
-        self.others = ratios.where(octave < least).select("key", "value", "chars") if held < sum(sizes.values()) else None
+        often = ratios.where(octave >= least).select("key", "value").toPandas().sort_values("key")
+        if held < sum(sizes.values()):
+            self.others = ratios.where(octave < least).select(F.col("key").alias("entry"), "value")
+            bit = F.shiftrightunsigned("entry", 32).bitwiseXOR(F.col("entry")).bitwiseAND(F.lit(BITMAP - 1))
+            marks = self.others.groupBy(F.shiftrightunsigned(bit, 5).alias("at")).agg(
+                F.bit_or(F.expr("shiftleft(1L, CAST((shiftrightunsigned(entry, 32) ^ entry) & 31 AS INT))")).alias("mark"))
+            found = marks.toPandas()  # BITMAP / 32 rows at most
+            bits = np.zeros(BITMAP // 32, np.uint32)
+            bits[found["at"].to_numpy()] = found["mark"].to_numpy()
+        self.entries = Entries(often["key"].to_numpy(np.int64), often["value"].to_numpy(np.int64), bits)
 
     def sums(self, texts: DataFrame) -> DataFrame:
-        """(id, text_hash, copies, words, chars, length) of the rows (id, text); equal rows are one with its copies."""
-        tables, joined = self.tables, self.others is not None
+        """(id, text_hash, copies, total, length, top) of the rows (id, text); equal rows are one with its copies.
+
+        ``total`` is the log ratio of the text, ``top`` the TOP largest of its words.
+        """
+        known = self.entries.find
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 own = batch.column(2).to_numpy(zero_copy_only=False)
-                for row, word, history, cut, windows, kept in _words(batch.column(1)):
-                    rows, mine, ids = len(cut) - 1, own[row:row + len(cut) - 1], batch.column(0).slice(row, len(cut) - 1)
-                    key = np.concatenate([word, history ^ np.uint64(_HISTORY), _pairs(history, word)]).view(np.int64)
-                    of = np.tile(np.repeat(np.arange(rows), np.diff(cut)), 3)
-                    found = [(key, of), (
-                        np.concatenate([_keys(windows), _keys(_histories(windows))]).view(np.int64),
-                        np.tile(np.repeat(np.arange(rows), np.diff(kept)), 2))]
-                    totals, left = [], []
-                    for (keys, values), (key, of) in zip(tables, found):
-                        total, held = np.zeros(rows, np.int64), np.zeros(len(key), bool)
-                        if len(keys):
-                            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                            held = keys[at] == key
-                            np.add.at(total, of[held], values[at[held]])
-                        totals.append(pa.array(total))
-                        left.append((key[~held], of[~held]))
-                    # The row itself goes by a key of its own, which meets no entry.
+                for row, word, history, cut in _words(batch.column(1)):
+                    rows, ids = len(cut) - 1, batch.column(0).slice(row, len(cut) - 1)
+                    of, pair = np.repeat(np.arange(rows), np.diff(cut)), _key(history, word)
+                    single = _key(_WORD, word)
+                    (value, open1), (more, open2) = known(single), known(pair)
+                    value, left = value + more, open1 | open2
+                    done = ~left
+                    total = np.zeros(rows, np.int64)
+                    np.add.at(total, of[done], value[done])
+                    order = np.flatnonzero(done)[np.lexsort((-value[done], of[done]))]
+                    begin = np.searchsorted(of[order], np.arange(rows + 1))
+                    best = order[np.arange(len(order)) - begin[of[order]] < TOP]
+                    at = np.searchsorted(of[best], np.arange(rows + 1)).astype(np.int32)
+                    none = pa.nulls(rows, pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array(mine), pa.array(mine), pa.array(np.ones(rows, np.int64)), *totals,
-                         pa.array(np.diff(kept).astype(np.int64))], names)
-                    key, of = (np.concatenate(x) for x in zip(*left))
-                    if joined and len(key):
-                        order = np.lexsort((key, of))
-                        key, of = key[order], of[order]
-                        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])]))
-                        none = pa.nulls(len(new), pa.int64())
-                        yield pa.RecordBatch.from_arrays(
-                            [ids.take(pa.array(of[new])), pa.array(mine[of[new]]), pa.array(key[new]),
-                             pa.array(np.diff(np.append(new, len(key)))), none, none, none], names)
-
-        names = ["id", "text_hash", "key", "n", "words", "chars", "length"]
+                        [ids, pa.array(own[row:row + rows]), none, none, none, pa.array(total), pa.array(np.diff(cut)),
+                         pa.ListArray.from_arrays(pa.array(at), pa.array(value[best]))], names)
+                    for key, may in ((single, open1), (pair, open2)):
+                        at = np.flatnonzero(may)
+                        if len(at):  # a place is a pair of the text; both its keys may be open
+                            at = at[np.lexsort((pair[at], of[at]))]
+                            new = np.ones(len(at), bool)
+                            new[1:] = (pair[at][1:] != pair[at][:-1]) | (of[at][1:] != of[at][:-1])
+                            n, at = np.diff(np.append(np.flatnonzero(new), len(at))), at[new]
+                            yield pa.RecordBatch.from_arrays(
+                                [ids.take(pa.array(of[at])), pa.array(own[row:row + rows][of[at]]), pa.array(pair[at]),
+                                 pa.array(key[at]), pa.array(n), pa.array(value[at]), pa.nulls(len(at), pa.int64()),
+                                 pa.nulls(len(at), pa.list_(pa.int64()))], names)
+
+        names = ["id", "text_hash", "place", "key", "n", "value", "length", "top"]
         found = texts.select("id", "text", F.xxhash64("text", "id").alias("own")).mapInArrow(
-            scan, ", ".join(f"{name} long" for name in names))
-        if joined:
-            entry = self.others.select(F.col("key").alias("entry"), "value", F.col("chars").alias("kind"))
-            found = found.join(entry, (F.col("key") == F.col("entry")) & F.col("length").isNull(), "left")
-            found = found.where("length IS NOT NULL OR value IS NOT NULL").withColumns({
-                name: F.coalesce(name, F.when(F.col("kind") == kind, F.col("n") * F.col("value")))
-                for name, kind in (("words", False), ("chars", True))})
-        found = found.groupBy("id", "text_hash").agg(
-            F.count("length").alias("copies"), F.sum("words").alias("words"), F.sum("chars").alias("chars"),
-            F.max("length").alias("length"))
-        return found.withColumns({x: F.col(x) / F.col("copies") / SCALE for x in ("words", "chars")})
+            scan, "id long, text_hash long, place long, key long, n long, value long, length long, top array<long>")
+        if self.others is None:
+            return found.select("id", "text_hash", F.lit(1).cast("long").alias("copies"), F.col("value").alias("total"),
+                                "length", "top")
+        # Rows of places meet their entries; equal rows of documents have equal places.
+        joined = found.join(self.others.withColumnRenamed("value", "more"), F.col("key") == F.col("entry"), "left")
+        places = joined.groupBy("id", "text_hash", "place").agg(
+            F.max("n").alias("n"), F.max("value").alias("value"), F.collect_set(F.when(F.col("more").isNotNull(), F.struct("key", "more"))).alias("more"),
+            F.count("length").alias("copies"), F.max("length").alias("length"), F.max("top").alias("top"))
+        value = F.col("value") + F.aggregate("more", F.lit(0).cast("long"), lambda a, x: a + x["more"])
+        places = places.select("id", "text_hash", "copies", "length", value.alias("value"), F.coalesce("n", F.lit(1)).alias("n"),
+                               F.coalesce("top", F.array_repeat(value, F.least("n", F.lit(TOP)).cast("int"))).alias("top"))
+        return places.groupBy("id", "text_hash").agg(
+            F.max("copies").alias("copies"), F.sum(F.col("value") * F.col("n")).alias("total"), F.max("length").alias("length"),
+            F.slice(F.sort_array(F.flatten(F.collect_list("top")), False), 1, TOP).alias("top"))
+
+    def features(self, texts: DataFrame) -> DataFrame:
+        """(id, text_hash, copies, first, strong, whole): log ratios a word of the stretches."""
+        part = lambda x, n: x / F.lit(float(SCALE)) / n
+        none = F.lit(0).cast("long")
+        return self.sums(texts).select(
+            "id", "text_hash", "copies",
+            part(F.coalesce(F.get("top", F.lit(0)), none), F.lit(1)).alias("first"),
+            part(F.aggregate("top", none, lambda a, x: a + x), F.lit(TOP)).alias("strong"),
+            part(F.col("total"), F.greatest("length", F.lit(1))).alias("whole"))
 
     def rows(self, texts: DataFrame) -> DataFrame:
         """(id, text_hash, copies, score) of the rows (id, text)."""
-        root = F.sqrt(F.greatest("length", F.lit(1)).cast("double"))
         w = [float(x) for x in self.weights]
-        logit = w[0] + (w[1] * F.col("chars") + w[2] * F.col("words")) / root + w[3] * root / 50
+        logit = w[0] + w[1] * F.col("first") + w[2] * F.col("strong") + w[3] * F.col("whole")
         score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit))))
-        return self.sums(texts).select("id", "text_hash", "copies", score.alias("score"))
-
-
-def _features(chars: np.ndarray, words: np.ndarray, length: np.ndarray) -> np.ndarray:
-    root = np.sqrt(np.maximum(length, 1.0))
-    return np.stack([np.ones(len(root)), chars / root, words / root, root / 50], axis=1)
+        return self.features(texts).select("id", "text_hash", "copies", score.alias("score"))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights of a logistic curve by Newton steps, with a small ridge."""
-    w = np.zeros(x.shape[1])
-    ridge = np.diag([1e-3, 1e-3, 1e-3, 1.0])
-    for _ in range(50):
+    x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
+    w, ridge = np.zeros(x.shape[1]), np.diag([1e-3] + [1e-2] * (x.shape[1] - 1))
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
         w += step
@@ -365,6 +337,14 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
 
+def count_pairs(known: DataFrame) -> DataFrame:
+    """Counts of word pairs (key, n00, n01, n10, n11) of the rows (text, kind); see :func:`log_ratios`."""
+    counted = known.select("text", "kind").mapInArrow(_count, "kind int, key long, n long")
+    of = lambda *kinds: F.sum(F.when(F.col("kind").isin(*kinds), F.col("n")).otherwise(0))
+    return stored(counted.groupBy("key").agg(
+        of(0).alias("n00"), of(1).alias("n01"), of(0, 2).alias("n10"), of(1, 3).alias("n11")), "pairs")
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Model from the texts of ``docs`` with a label (doc_id, toxic 0/1) in ``labels``.
 
@@ -376,30 +356,25 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("label"))
     marks = marks.where("id IS NOT NULL AND label IN (0, 1)").withColumn("fold", fold("id")).where("fold <> 0").distinct()
+    marks = stored(marks, "labels")
     texts = _texts(docs)
-    known = texts.join(if_small(marks), "id")
-    part = F.when(F.col("fold") == FOLDS - 1, 1).otherwise(0)
-    counted = known.select("text", part.cast("long").alias("part"), F.col("label").cast("long").alias("label")).mapInArrow(
-        _count, "part long, label long, key long, history long, word long, gram string, n long")
-    kind = ["part", "label", "key", "history", "word", "gram"]
-    counted = stored(counted.groupBy(*kind).agg(F.sum("n").alias("n")), "counts")
-    classes = {(r.part, r.label) for r in counted.select("part", "label").distinct().collect()}
+    kind = F.when(F.col("fold") == FOLDS - 1, 2).otherwise(0) + F.col("label")
+    ratios = log_ratios(count_pairs(texts.join(_small(marks, 24), "id").select("text", kind.alias("kind"))))
     sample = marks.where(F.col("fold") == FOLDS - 1).orderBy(F.xxhash64("id"), "id", "label").limit(CALIBRATION_ROWS)
-    share = marks.agg(F.avg("label")).first()[0]
     fitted = None
-    if {(0, 0), (0, 1)} <= classes:
-        first = Model(log_ratios(counted.where("part = 0")))
-        ids = F.broadcast(sample)
-        totals = first.sums(texts.join(ids.select("id").distinct(), "id", "left_semi"))
-        fitted = totals.join(ids.select("id", "label"), "id").select(
-            "copies", "words", "chars", "length", "label").toPandas().sort_values(["chars", "words", "length", "label", "copies"])
+    if ratios is not None:
+        sample = F.broadcast(sample.select("id", "label"))  # CALIBRATION_ROWS narrow rows at most
+        early = Model(ratios.where("early <> 0").select("key", "n", F.col("early").alias("value")))
+        found = early.features(texts.join(sample.select("id").distinct(), "id", "left_semi")).join(sample, "id")
+        fitted = found.select("copies", "first", "strong", "whole", "label").toPandas()
+        fitted = fitted.sort_values(["first", "strong", "whole", "label", "copies"])
         fitted = fitted.loc[fitted.index.repeat(fitted["copies"])]
     if fitted is None or fitted["label"].nunique() < 2:
+        share = marks.agg(F.avg("label")).first()[0]
         share = 0.5 if share is None else min(max(share, 1e-3), 1 - 1e-3)
-        empty = docs.sparkSession.createDataFrame([], _ENTRIES)
-        return Model(empty, np.array([np.log(share / (1 - share)), 0, 0, 0]))
-    x = _features(*[fitted[c].to_numpy(float) for c in ("chars", "words", "length")])
-    return Model(log_ratios(counted), _logistic(x, fitted["label"].to_numpy(float)))
+        return Model(None, np.array([np.log(share / (1 - share)), 0, 0, 0]))
+    weights = _logistic(fitted[["first", "strong", "whole"]].to_numpy(float), fitted["label"].to_numpy(float))
+    return Model(ratios.where("late <> 0").select("key", "n", F.col("late").alias("value")), weights)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -422,4 +397,4 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, floor: float = 0.5) -> Data
     doc_id = F.col("_row").getField("doc_id").cast("long")
     own = F.xxhash64(F.col("_row").getField("text").cast("string"), doc_id)
     same = (own == F.col("_hash")) & doc_id.eqNullSafe(F.col("_id"))
-    return unpacked(packed(docs).join(_broadcast(gone), same, "left_anti"), docs.columns)
+    return unpacked(packed(docs).join(_small(gone, 16), same, "left_anti"), docs.columns)
