@@ -37,7 +37,7 @@ SHARED = 0.75               # discount of a count of both
 MIXED = 50.0                # weight of the shared pair probability among a history's counts
 SCALE = 1 << 24
 TOP = 3                     # strongest words of a text that count on their own
-FREQUENT = 1 << 21          # entries a task holds (16 bytes each); the others are joined
+FREQUENT = 1 << 21          # entries a task holds (12 bytes each); the others are joined
 BITMAP = 1 << 27            # bits that tell whether a key may be among the others
 BUFFER = 1 << 21            # pairs counted together before they leave a task
 SMALL_BYTES = 8 << 20       # a counted table of narrow rows up to this size is broadcast
@@ -225,7 +225,7 @@ class Model:
         """``ratios`` has (key, n, value); None stands for a model that says nothing."""
         self.weights, self.others, bits = weights, None, None
         if ratios is None:
-            self.entries = Entries(np.zeros(0, np.int64), np.zeros(0, np.int64), None)
+            self.entries = Entries(np.zeros(0, np.int64), np.zeros(0, np.int32), None)
             return
         octave = F.floor(F.log2(F.greatest("n", F.lit(1)))).cast("int")
         sizes = dict(ratios.groupBy(octave).count().collect())
@@ -234,16 +234,17 @@ class Model:
             if held + sizes[k] > (FREQUENT if frequent is None else frequent):
                 break
             least, held = k, held + sizes[k]
-        often = ratios.where(octave >= least).select("key", "value").toPandas().sort_values("key")
+        often = ratios.where(octave >= least).select("key", F.col("value").cast("int").alias("value")).toArrow()
+        order = np.argsort(often["key"].to_numpy())
         if held < sum(sizes.values()):
             self.others = ratios.where(octave < least).select(F.col("key").alias("entry"), "value")
             bit = F.shiftrightunsigned("entry", 32).bitwiseXOR(F.col("entry")).bitwiseAND(F.lit(BITMAP - 1))
             marks = self.others.groupBy(F.shiftrightunsigned(bit, 5).alias("at")).agg(
                 F.bit_or(F.expr("shiftleft(1L, CAST((shiftrightunsigned(entry, 32) ^ entry) & 31 AS INT))")).alias("mark"))
-            found = marks.toPandas()  # BITMAP / 32 rows at most
+            found = marks.toArrow()  # BITMAP / 32 rows at most
             bits = np.zeros(BITMAP // 32, np.uint32)
             bits[found["at"].to_numpy()] = found["mark"].to_numpy()
-        self.entries = Entries(often["key"].to_numpy(np.int64), often["value"].to_numpy(np.int64), bits)
+        self.entries = Entries(often["key"].to_numpy()[order], often["value"].to_numpy()[order], bits)
 
     def sums(self, texts: DataFrame) -> DataFrame:
         """(id, text_hash, copies, total, length, top) of the rows (id, text); equal rows are one with its copies.
@@ -366,14 +367,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         sample = F.broadcast(sample.select("id", "label"))  # CALIBRATION_ROWS narrow rows at most
         early = Model(ratios.where("early <> 0").select("key", "n", F.col("early").alias("value")))
         found = early.features(texts.join(sample.select("id").distinct(), "id", "left_semi")).join(sample, "id")
-        fitted = found.select("copies", "first", "strong", "whole", "label").toPandas()
-        fitted = fitted.sort_values(["first", "strong", "whole", "label", "copies"])
-        fitted = fitted.loc[fitted.index.repeat(fitted["copies"])]
-    if fitted is None or fitted["label"].nunique() < 2:
+        fitted = found.select("first", "strong", "whole", "label", "copies").toArrow()
+        fitted = np.stack([c.to_numpy() for c in fitted.columns], axis=1).astype(float)
+        fitted = np.repeat(fitted, fitted[:, 4].astype(int), axis=0)
+        fitted = fitted[np.lexsort(fitted.T)]
+        del early
+    if fitted is None or len(np.unique(fitted[:, 3])) < 2:
         share = marks.agg(F.avg("label")).first()[0]
         share = 0.5 if share is None else min(max(share, 1e-3), 1 - 1e-3)
         return Model(None, np.array([np.log(share / (1 - share)), 0, 0, 0]))
-    weights = _logistic(fitted[["first", "strong", "whole"]].to_numpy(float), fitted["label"].to_numpy(float))
+    weights = _logistic(fitted[:, :3], fitted[:, 3])
     return Model(ratios.where("late <> 0").select("key", "n", F.col("late").alias("value")), weights)
 
 
