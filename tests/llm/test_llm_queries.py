@@ -118,14 +118,16 @@ def test_licenses(spark):
         assert 0 <= r.score <= 1 and (r.score > 0) == bool(labels)
 
 
-def test_jaccard(spark):
-    docs = read(spark, "documents", "doc_id", "text")[:400]
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    from thinset.llm.jaccard import jaccard_components
-    want = brute.components(docs)
-    for boundary in (None, 0, 9):
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(frame, boundary=boundary).collect()}
-        assert got == want
+def test_jaccard(spark, monkeypatch):
+    """All documents by the least boundary and by whole lists, a part of them in other forms."""
+    from thinset.llm import jaccard
+    docs = read(spark, "documents", "doc_id", "text")
+    for rows, boundary, block in ((docs, None, None), (docs[:400], 0, 2000), (docs[:400], 9, None)):
+        if block:
+            monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        found = jaccard.jaccard_components(frame, boundary=boundary).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.components(rows)
 
 
 def test_pipeline(spark):

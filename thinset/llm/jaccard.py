@@ -48,6 +48,7 @@ LOCAL = 3           # a shingle is a candidate for "frequent" from so many sets
 RUN = 1_000_000     # shingles in such a run
 FREQUENT = 1 << 18  # most frequent shingles that the order knows of
 VERIFY = 60.0       # cost of verifying a pair, in posting rows
+BLOCK_SHINGLES = 1 << 18  # of the sets of a block whose pairs are verified together
 BEFORE = 3          # earlier shingles of its set that a posting carries
 
 
@@ -216,26 +217,53 @@ def choose_boundary(nodes: DataFrame, percent: int = PERCENT, most: int = MOST_L
     return boundary
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of ids those whose sets reach the similarity."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = stored(wanted, "wanted")
-    held = texts.join(if_small(wanted), "id").select("id", "text")
-    both = (pairs.join(held.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
-            .join(held.select(F.col("id").alias("b"), F.col("text").alias("right")), "b"))
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of ids those whose sets reach the similarity.
+
+    Ids are dealt into blocks of a bounded number of shingles.  A task takes the pairs
+    of two blocks, and of every text that takes part in them one copy, however many of
+    the pairs it stands in.
+    """
+    ends = lambda rows, *more: rows.select(*more, F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = stored(ends(pairs), "wanted")
+    few = if_small(wanted)
+    total = nodes.join(few, "id", "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks = F.lit(max(1, -(-total // BLOCK_SHINGLES)))
+    x, y = (F.pmod(F.xxhash64(c), blocks) for c in ("a", "b"))
+    keyed = pairs.select(F.least(x, y).alias("low"), F.greatest(x, y).alias("high"), "a", "b")
+    held = texts.join(few, "id", "left_semi").join(ends(keyed, "low", "high"), "id")
+    none = F.lit(None)
+    rows = held.select("low", "high", F.lit(0).alias("kind"), F.col("id").alias("a"), none.cast("long").alias("b"), "text")
+    rows = rows.unionByName(keyed.select("low", "high", F.lit(1).alias("kind"), "a", "b", none.cast("string").alias("text")))
+
+    def linked(x: np.ndarray, y: np.ndarray) -> bool:
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, sets = None, {}
         for batch in batches:
-            keep = []
-            for row, (x, y) in enumerate(zip(shingle_sets(batch.column(2), size),
-                                             shingle_sets(batch.column(3), size))):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if common and 100 * common >= percent * (len(x) + len(y) - common):
-                    keep.append(row)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], ["a", "b"])
+            keys = np.stack([batch.column(c).to_numpy() for c in ("low", "high", "kind")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for begin, end in zip(cuts[:-1], cuts[1:]):
+                if begin == end:
+                    continue
+                part = batch.slice(begin, end - begin)
+                if tuple(keys[begin, :2]) != name:
+                    name, sets = tuple(keys[begin, :2]), {}
+                if keys[begin, 2] == 0:  # an id may have several texts
+                    for node, tokens in zip(part.column("a").to_pylist(), shingle_sets(part.column("text"), size)):
+                        mine = sets.setdefault(node, [])
+                        if not any(np.array_equal(tokens, other) for other in mine):
+                            mine.append(tokens)
+                    continue
+                keep = [any(linked(x, y) for x in sets.get(a, ()) for y in sets.get(b, ()))
+                        for a, b in zip(part.column("a").to_pylist(), part.column("b").to_pylist())]
+                yield part.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.select("a", "b", "left", "right").mapInArrow(check, "a long, b long").distinct()
+    key = ["low", "high"]
+    rows = rows.repartition(*key).sortWithinPartitions(*key, "kind")
+    return rows.mapInArrow(check, "a long, b long").distinct()
 
 
 def _overlap(a: str, b: str, percent: int) -> str:
@@ -312,7 +340,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
         F.col("id").alias("a"), F.col("n").alias("n_a"), (-F.col("f.id")).alias("b"), F.col("f.n").alias("n_b"))
     near = near.where(_sized(percent)).groupBy("a", "b").agg(F.count("*").alias("c")).where(f"c >= {SHARED}")
     near = stored(near.select("a", "b"), "near")
-    links = stored(light.union(same).union(_verified(near, texts, size, percent)), "first-links")
+    links = stored(light.union(same).union(_verified(near, texts, nodes, size, percent)), "first-links")
     parts = stored(components(links), "parts")
 
     # Inverted lists: what shares a looked-up shingle across components is verified.
@@ -320,6 +348,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     lists = texts.where("id IS NOT NULL").mapInArrow(prefixes, schema)
     lists = lists.groupBy("sig").agg(
         F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "rare", "often")])
+    lists = stored(lists, "lists")  # read once for each kind
     rare = lists.select("id", "n", F.posexplode("rare").alias("at", "shingle"))
     rare = rare.withColumn("held", F.count("*").over(Window.partitionBy("shingle"))).where("held > 1").drop("held")
     often = lists.select("id", "n", F.size("rare").alias("before"), F.posexplode("often").alias("at", "shingle"))
@@ -340,7 +369,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     early = sided.where(f"at <= n - {_overlap('n', 'n', percent)}")
     met = _met(early.where("NOT inner"), sided, percent).union(_met(early.where("inner"), sided.where("NOT inner"), percent))
     met = stored(met.distinct(), "met")
-    late = stored(_verified(met, texts, size, percent), "late-links")
+    late = stored(_verified(met, texts, nodes, size, percent), "late-links")
 
     found = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
     sizes = sets.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"))
