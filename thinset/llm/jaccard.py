@@ -49,6 +49,7 @@ RUN = 1_000_000     # shingles in such a run
 FREQUENT = 1 << 18  # most frequent shingles that the order knows of
 VERIFY = 60.0       # cost of verifying a pair, in posting rows
 BLOCK_SHINGLES = 1 << 18  # of the sets of a block whose pairs are verified together
+MARKS = 2048        # parities of a set's shingles, by hash
 BEFORE = 3          # earlier shingles of its set that a posting carries
 
 
@@ -72,37 +73,40 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _scan(size: int, most_light: int):
-    """Per text: set size, digest, least shingles; per run of texts: frequent shingles."""
+    """Per text: set size, digest, least shingles, marks; per run of texts: frequent shingles."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()),
-                        ("least", pa.list_(pa.int64())), ("shingle", pa.int64()), ("seen", pa.int64())])
+                        ("least", pa.list_(pa.int64())), ("marks", pa.binary()), ("shingle", pa.int64()),
+                        ("seen", pa.int64())])
 
     def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
         token, seen = np.unique(np.concatenate(held), return_counts=True)
         token, seen = token[seen >= LOCAL], seen[seen >= LOCAL]
         none = [None] * len(token)
-        return pa.record_batch([pa.array(none, f.type) for f in list(schema)[:4]]
+        return pa.record_batch([pa.array(none, f.type) for f in list(schema)[:5]]
                                + [pa.array(_signed(token)), pa.array(seen)], schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            ns, sigs, least = [], [], []
+            ns, sigs, least, marks = [], [], [], []
             for tokens in shingle_sets(batch.column(1), size):
                 ns.append(len(tokens))
                 sigs.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
                 least.append(_signed(tokens[:len(tokens) if len(tokens) <= most_light else MINIMA]))
+                odd = np.bincount((tokens & np.uint64(MARKS - 1)).astype(np.int64), minlength=MARKS) & 1
+                marks.append(np.packbits(odd.astype(np.uint8)).tobytes())
                 held.append(tokens)
             none = pa.nulls(len(ns), pa.int64())
             yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(ns, pa.int64()),
                                    pa.array(sigs, pa.binary()), pa.array(least, pa.list_(pa.int64())),
-                                   none, none], schema)
+                                   pa.array(marks, pa.binary()), none, none], schema)
             if sum(map(len, held)) >= RUN:
                 yield frequent(held)
                 held = []
         if held:
             yield frequent(held)
 
-    return scan, "id long, n long, sig binary, least array<long>, shingle long, seen long"
+    return scan, "id long, n long, sig binary, least array<long>, marks binary, shingle long, seen long"
 
 
 def _frequent(scanned: DataFrame) -> np.ndarray:
@@ -217,31 +221,27 @@ def choose_boundary(nodes: DataFrame, percent: int = PERCENT, most: int = MOST_L
     return boundary
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of ids those whose sets reach the similarity.
+def _decided(pairs: DataFrame, held: DataFrame, nodes: DataFrame, load, fits) -> DataFrame:
+    """Of the pairs (a, b) of ids those of which ``fits`` is true for what ``load`` makes of their rows.
 
-    Ids are dealt into blocks of a bounded number of shingles.  A task takes the pairs
-    of two blocks, and of every text that takes part in them one copy, however many of
-    the pairs it stands in.
+    ``held`` has the rows (id, n, data) of the ids; an id may have several.  Ids are dealt
+    into blocks of a bounded number of shingles.  A task takes the pairs of two blocks,
+    and of every row that takes part in them one copy, however many of the pairs it
+    stands in.
     """
     ends = lambda rows, *more: rows.select(*more, F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = stored(ends(pairs), "wanted")
-    few = if_small(wanted)
+    few = if_small(stored(ends(pairs), "wanted"))
     total = nodes.join(few, "id", "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     blocks = F.lit(max(1, -(-total // BLOCK_SHINGLES)))
     x, y = (F.pmod(F.xxhash64(c), blocks) for c in ("a", "b"))
     keyed = pairs.select(F.least(x, y).alias("low"), F.greatest(x, y).alias("high"), "a", "b")
-    held = texts.join(few, "id", "left_semi").join(ends(keyed, "low", "high"), "id")
-    none = F.lit(None)
-    rows = held.select("low", "high", F.lit(0).alias("kind"), F.col("id").alias("a"), none.cast("long").alias("b"), "text")
-    rows = rows.unionByName(keyed.select("low", "high", F.lit(1).alias("kind"), "a", "b", none.cast("string").alias("text")))
-
-    def linked(x: np.ndarray, y: np.ndarray) -> bool:
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
+    held = held.join(few, "id", "left_semi").join(ends(keyed, "low", "high"), "id")
+    rows = held.select("low", "high", F.lit(0).alias("kind"), F.col("id").alias("a"), F.col("n").alias("b"), "data")
+    rows = rows.unionByName(keyed.select("low", "high", F.lit(1).alias("kind"), "a", "b",
+                                         F.lit(None).cast("binary").alias("data")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, sets = None, {}
+        name, made = None, {}
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy() for c in ("low", "high", "kind")], axis=1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
@@ -250,22 +250,43 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, p
                     continue
                 part = batch.slice(begin, end - begin)
                 if tuple(keys[begin, :2]) != name:
-                    name, sets = tuple(keys[begin, :2]), {}
-                if keys[begin, 2] == 0:  # an id may have several texts
-                    for node, tokens in zip(part.column("a").to_pylist(), shingle_sets(part.column("text"), size)):
-                        mine = sets.setdefault(node, [])
-                        if not any(np.array_equal(tokens, other) for other in mine):
-                            mine.append(tokens)
+                    name, made = tuple(keys[begin, :2]), {}
+                if keys[begin, 2] == 0:
+                    for node, n, x in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), load(part.column("data"))):
+                        mine = made.setdefault(node, [])
+                        if not any(n == m and np.array_equal(x, y) for m, y in mine):
+                            mine.append((n, x))
                     continue
-                keep = [any(linked(x, y) for x in sets.get(a, ()) for y in sets.get(b, ()))
+                keep = [any(fits(*x, *y) for x in made.get(a, ()) for y in made.get(b, ()))
                         for a, b in zip(part.column("a").to_pylist(), part.column("b").to_pylist())]
-                yield part.select(["a", "b"]).filter(pa.array(keep))
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     key = ["low", "high"]
     rows = rows.repartition(*key).sortWithinPartitions(*key, "kind")
     return rows.mapInArrow(check, "a long, b long").distinct()
 
 
+def _verified(pairs: DataFrame, texts: DataFrame, sets: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of ids those whose sets reach the similarity.
+
+    First by marks, parities of the shingles by hash: where two sets differ in a parity
+    they differ in a shingle, so more parities than a link allows rule the pair out.
+    Texts are read for the others only.
+    """
+
+    def may(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
+        return int(np.bitwise_count(x ^ y).sum()) <= n + m - 2 * needed(n, m, percent)
+
+    def linked(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
+
+    marks = sets.select("id", "n", F.col("marks").alias("data"))
+    near = stored(_decided(pairs, marks, nodes, lambda c: (np.frombuffer(x, np.uint64) for x in c.to_pylist()), may), "near")
+    held = texts.select("id", F.lit(0).cast("long").alias("n"), F.col("text").cast("binary").alias("data"))
+    return _decided(near, held, nodes, lambda c: shingle_sets(c.cast(pa.string()), size), linked)
+
+
 def _overlap(a: str, b: str, percent: int) -> str:
     """:func:`needed` as SQL."""
     return f"(({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent})"
@@ -307,7 +328,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     scan, schema = _scan(size, MOST_LIGHT)
     scanned = stored(texts.mapInArrow(scan, schema), "sets")
-    sets = scanned.where("sig IS NOT NULL").select("id", "n", "sig", "least")
+    sets = scanned.where("sig IS NOT NULL").select("id", "n", "sig", "least", "marks")
 
     # Classes of equal sets; a class is named by its least document.
     named = sets.where("id IS NOT NULL AND n > 0")
@@ -340,7 +361,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
         F.col("id").alias("a"), F.col("n").alias("n_a"), (-F.col("f.id")).alias("b"), F.col("f.n").alias("n_b"))
     near = near.where(_sized(percent)).groupBy("a", "b").agg(F.count("*").alias("c")).where(f"c >= {SHARED}")
     near = stored(near.select("a", "b"), "near")
-    links = stored(light.union(same).union(_verified(near, texts, nodes, size, percent)), "first-links")
+    links = stored(light.union(same).union(_verified(near, texts, sets, nodes, size, percent)), "first-links")
     parts = stored(components(links), "parts")
 
     # Inverted lists: what shares a looked-up shingle across components is verified.
@@ -369,7 +390,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     early = sided.where(f"at <= n - {_overlap('n', 'n', percent)}")
     met = _met(early.where("NOT inner"), sided, percent).union(_met(early.where("inner"), sided.where("NOT inner"), percent))
     met = stored(met.distinct(), "met")
-    late = stored(_verified(met, texts, nodes, size, percent), "late-links")
+    late = stored(_verified(met, texts, sets, nodes, size, percent), "late-links")
 
     found = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
     sizes = sets.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"))
