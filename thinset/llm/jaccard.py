@@ -49,7 +49,7 @@ RUN = 1_000_000     # shingles in such a run
 FREQUENT = 1 << 18  # most frequent shingles that the order knows of
 VERIFY = 60.0       # cost of verifying a pair, in posting rows
 BLOCK_SHINGLES = 1 << 18  # of the sets of a block whose pairs are verified together
-MARKS = 2048        # parities of a set's shingles, by hash
+MARKS = 256         # parities of a set's shingles by hash, at least; else four to eight a shingle
 BEFORE = 3          # earlier shingles of its set that a posting carries
 
 
@@ -93,7 +93,8 @@ def _scan(size: int, most_light: int):
                 ns.append(len(tokens))
                 sigs.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
                 least.append(_signed(tokens[:len(tokens) if len(tokens) <= most_light else MINIMA]))
-                odd = np.bincount((tokens & np.uint64(MARKS - 1)).astype(np.int64), minlength=MARKS) & 1
+                bits = max(MARKS, 1 << (4 * len(tokens) - 1).bit_length() if len(tokens) else 0)
+                odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
                 marks.append(np.packbits(odd.astype(np.uint8)).tobytes())
                 held.append(tokens)
             none = pa.nulls(len(ns), pa.int64())
@@ -275,6 +276,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, sets: DataFrame, nodes: DataFr
     """
 
     def may(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
+        while len(x) != len(y):  # parities of half as many hashes are those of two halves together
+            if len(x) < len(y):
+                x, y = y, x
+            x = x[:len(x) // 2] ^ x[len(x) // 2:]
         return int(np.bitwise_count(x ^ y).sum()) <= n + m - 2 * needed(n, m, percent)
 
     def linked(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
