@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from thinset.llm.components import components
-from thinset.llm.tables import if_small, stored
+from thinset.llm.tables import arrow_rows, if_small, stored
 from thinset.llm.words import mix, shingle_sets
 
 SIZE = 5            # words in a shingle
@@ -51,6 +51,7 @@ VERIFY = 60.0       # cost of verifying a pair, in posting rows
 BLOCK_SHINGLES = 1 << 18  # of the sets of a block whose pairs are verified together
 MARKS = 256         # parities of a set's shingles by hash, at least; else four to eight a shingle
 BEFORE = 3          # earlier shingles of its set that a posting carries
+BATCH_ROWS = 1024   # rows of whole texts that a task holds at a time
 
 
 def needed(a: int, b: int, percent: int = PERCENT) -> int:
@@ -330,6 +331,12 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     links nothing.  Texts may have any length; other columns are not read.  An empty
     table gives no rows.  ``boundary`` fixes the largest light set.
     """
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _components(docs, size, percent, boundary)
+
+
+def _components(docs: DataFrame, size: int, percent: int, boundary: int | None) -> DataFrame:
+    """The work of :func:`jaccard_components`; all that runs in Python is stored before it returns."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     scan, schema = _scan(size, MOST_LIGHT)
     scanned = stored(texts.mapInArrow(scan, schema), "sets")

@@ -6,7 +6,10 @@ column pruning, cuts the lineage and outlives a lost executor.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thinset.workspace import new_path
@@ -27,6 +30,24 @@ def if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs run inside send at most ``rows`` rows to Python at a time.
+
+    A batch is held on both sides, and in whole texts its bytes grow with its rows.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    had, now = spark.conf.get(key, None), int(spark.conf.get(key))
+    spark.conf.set(key, str(rows if now <= 0 else min(rows, now)))
+    try:
+        yield
+    finally:
+        if had is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, had)
+
+
 def packed(df: DataFrame) -> DataFrame:
     """All columns of ``df`` in one struct ``_row``, so that no name can clash."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))

@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 RUN_BYTES, RUN_ROWS = 1 << 20, 256
+SHINGLE_BYTES = 1 << 18  # of a run whose shingles are made at once
 _U = np.uint64
 # Space characters: \x20 and \x09-\x0D.
 SPACES = np.zeros(256, bool)
@@ -56,7 +57,7 @@ def _power(base: int, n: int) -> np.ndarray:
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def runs(column: pa.Array, unicode: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def runs(column: pa.Array, unicode: bool = False, most: int = RUN_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, row offsets) of runs of rows; a null counts as empty.
 
     A-Z are lower-cased, with ``unicode`` all letters.  Few rows at a time are copied.
@@ -69,7 +70,7 @@ def runs(column: pa.Array, unicode: bool = False) -> Iterator[tuple[int, np.ndar
         body = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
         row = 0
         while row < len(part):
-            end = max(row + 1, int(np.searchsorted(at, at[row] + RUN_BYTES, "right")) - 1)
+            end = max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1)
             yield first + row, LOWER[body[at[row]:at[end]]], at[row:end + 1] - at[row]
             row = end
 
@@ -118,7 +119,7 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
 
     Fewer words than ``size`` count as one shingle, no words as none.
     """
-    for _, data, offsets in runs(column):
+    for _, data, offsets in runs(column, most=SHINGLE_BYTES):
         starts, ends, before = bounds(data, offsets, NOT_SPACE)
         words = hashes(data, starts, ends)
         every = grams(words, size)
@@ -128,4 +129,4 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
             elif b > a:
                 yield grams(words[a:b], b - a)
             else:
-                yield every[:0]
+                yield np.zeros(0, np.uint64)  # a slice would keep the whole run alive
