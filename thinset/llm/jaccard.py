@@ -45,7 +45,7 @@ MOST_LIGHT = 14     # largest set for which subsets are considered
 MINIMA = 8          # least shingles used in the first pass
 SHARED = 3          # of them that a pair of the first pass shares
 LOCAL = 3           # a shingle is a candidate for "frequent" from so many sets of a run
-RUN = 1_000_000     # shingles in such a run
+RUN = 4_000_000     # shingles in such a run
 FREQUENT = 1 << 18  # most frequent shingles that the order knows of
 VERIFY = 60.0       # cost of verifying a pair, in posting rows
 BLOCK_SHINGLES = 1 << 18  # of the sets of a block whose pairs are verified together
