@@ -3,7 +3,9 @@
 The index is a table bucketed and sorted by digest.  A batch is grouped by digest first
 (combined before the shuffle, so a group of copies may hold any share of the rows);
 its digests meet the index in a sort-merge anti-join that moves only the batch, and the
-ones not yet known are appended.  Only built-in functions are used.
+ones not yet known are appended.  For a known digest the batch appends how many rows
+there are by now, so that counts go on over any number of batches.  Only built-in
+functions are used.
 """
 
 from __future__ import annotations
@@ -44,14 +46,25 @@ class DigestIndex:
                   f"SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
 
     def table(self) -> DataFrame:
+        """A row per digest and batch that held it; group_size counts up to that batch."""
         return self.spark.table(self.name)
 
+    def _states(self) -> DataFrame:
+        """Per digest its row that stays, the batch that brought it and all rows so far.
+
+        The table is bucketed by digest, so this moves nothing.
+        """
+        return self.table().groupBy("digest").agg(
+            F.max("keep_id").alias("keep_id"), F.max("group_size").alias("seen"),
+            F.min_by("batch", "group_size").alias("origin"))
+
     def ingest(self, docs: DataFrame, batch: str) -> DataFrame:
         """Decide every row of ``docs`` (doc_id, text, ...) and remember what is new.
 
         (doc_id, keep_id, group_size, kept, text_sha256): of the rows of the batch with
         equal texts the largest doc_id stays; if an earlier batch had the text, its row
-        stays and all of these go, and group_size counts the rows of both.  Null texts
+        stays and all of these go, and group_size counts the rows of all batches up to
+        this one.  Null texts
         equal empty ones.  A null doc_id is smaller than any other and keeps its text
         only among nulls.  Rows that repeat doc_id and text are decided alike.  Other
         columns are not read; texts may have any length; an empty table gives no rows.
@@ -63,16 +76,16 @@ class DigestIndex:
         groups = stored(digests.groupBy("digest").agg(
             F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
         index = self.table()
-        known = groups.select("digest", F.col("group_size").alias("more")).hint("merge").join(index, "digest")
-        older = F.col("batch") != batch
+        # What the index says of this batch, if it was ingested before, else of the digest.
+        again = index.where(F.col("batch") == batch).select("digest", F.col("group_size").alias("told"))
+        known = groups.select("digest", F.col("group_size").alias("more")).hint("merge").join(
+            self._states(), "digest").join(again, "digest", "left")
         known = known.select(
-            "digest", "keep_id",
-            (F.col("group_size") + F.when(older, F.col("more")).otherwise(0)).alias("group_size"), older.alias("older"))
+            "digest", "keep_id", F.coalesce("told", F.col("seen") + F.col("more")).alias("group_size"),
+            (F.col("origin") != batch).alias("older"), F.col("told").isNull().alias("news"))
         fresh = groups.hint("merge").join(index.select("digest"), "digest", "left_anti")
-        decided = stored(fresh.withColumn("older", F.lit(False)).unionByName(known).withColumn(
-            "fresh", ~F.col("older")), "decided")
-        news = decided.where("fresh").select("digest", "keep_id", "group_size", F.lit(batch).alias("batch"))
-        news = news.join(index.select("digest"), "digest", "left_anti")
+        decided = stored(fresh.withColumns({"older": F.lit(False), "news": F.lit(True)}).unionByName(known), "decided")
+        news = decided.where("news").select("digest", "keep_id", "group_size", F.lit(batch).alias("batch"))
         (news.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.format("parquet")
          .mode("append").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path)
          .saveAsTable(self.name))
@@ -81,6 +94,20 @@ class DigestIndex:
             (F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("older")).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"))
 
+    def decisions(self, docs: DataFrame) -> DataFrame:
+        """As :meth:`ingest`, by all batches so far; appends nothing.
+
+        A row stays if its doc_id is the one its text is kept under.  Texts that no
+        batch held give no row.
+        """
+        digests = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                                     text_digest(F.col("text")).alias("digest")), "digests")
+        # Stored, so that both sides are dealt anew and a hot digest can be split.
+        return digests.join(stored(self._states(), "states"), "digest").select(
+            "doc_id", "keep_id", F.col("seen").alias("group_size"),
+            F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+            F.lower(F.hex("digest")).alias("text_sha256"))
+
 
 def drop_copies(docs: DataFrame, index: DigestIndex | None = None, batch: str = "batch") -> DataFrame:
     """The rows of ``docs``, all columns unchanged, that stay; see :meth:`DigestIndex.ingest`.

@@ -37,8 +37,14 @@ def op4_urls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Two batches, the larger ids first, so that the second meets a filled index."""
+    docs = _table(spark, folder, "documents")
+    middle = docs.agg(F.expr("(min(doc_id) + max(doc_id)) div 2")).first()[0]
+    later = F.coalesce(F.col("doc_id") > F.lit(middle), F.lit(False))
     index = dedup.DigestIndex(spark, new_path(spark, "digest-index"))
-    return index.ingest(_table(spark, folder, "documents"), "documents")
+    index.ingest(docs.where(later), "later")
+    index.ingest(docs.where(~later), "earlier")
+    return index.decisions(docs)
 
 
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
