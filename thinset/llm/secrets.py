@@ -22,6 +22,7 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 IDENTIFIER = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z][A-Za-z0-9_]{9,}(?![A-Za-z0-9+/_=.-])"
 LEAST_VALUE = 12      # characters of an assigned value
+LEAST_RUN = 16        # characters of a run or of what plain findings leave of it
 THRESHOLD = 0.5       # mean log-likelihood ratio of a character, in nats
 KINDS = ("assign", "access", "hex", "random")
 CODES = 128
@@ -107,12 +108,43 @@ def labelled_tokens(docs: DataFrame) -> DataFrame:
     return docs.select(F.inline(F.concat(values, words)))
 
 
+def free_pieces(base: Column, found: Column) -> Column:
+    """What the ``base`` spans leave of the runs ``found``, of LEAST_RUN characters or more.
+
+    One pass over both in order of place: ``at`` is the first character of the open run
+    that no span has covered, ``covered`` the end of the spans so far.
+    """
+    none = F.struct(F.lit(0).cast("long").alias("start"), F.lit(3).alias("kind"),
+                    F.lit(0).cast("long").alias("end"), F.lit("").alias("value"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("covered"),
+                     none.alias("run"), F.array().cast(SPAN).alias("out"))
+
+    def closed(state: Column, end: Column) -> Column:
+        run = state["run"]
+        piece = F.struct(
+            state["at"].alias("start"), F.lit(3).alias("kind"), end.alias("end"),
+            F.substring(run["value"], (state["at"] - run["start"] + 1).cast("int"),
+                        (end - state["at"]).cast("int")).alias("value"))
+        return F.when(end - state["at"] >= LEAST_RUN, F.concat(state["out"], F.array(piece))).otherwise(state["out"])
+
+    def step(state: Column, x: Column) -> Column:
+        opens = x["kind"] == 3
+        end = F.when(opens, state["run"]["end"]).otherwise(F.least(x["start"], state["run"]["end"]))
+        return F.struct(
+            F.when(opens, F.greatest(x["start"], state["covered"])).otherwise(
+                F.greatest(state["at"], x["end"])).alias("at"),
+            F.when(opens, state["covered"]).otherwise(F.greatest(state["covered"], x["end"])).alias("covered"),
+            F.when(opens, x).otherwise(state["run"]).alias("run"), closed(state, end).alias("out"))
+
+    return F.aggregate(F.array_sort(F.concat(base, found)), start, step, lambda s: closed(s, s["run"]["end"]))
+
+
 def find_secrets(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, spans) per row of ``docs`` (doc_id, text, ...).
 
     Spans are (start, kind, end, value) in order of start, then kind; kinds are indexes
-    of KINDS.  A run of token characters is reported as random if its mean log ratio is
-    above ``threshold`` and it overlaps no plain finding.  Null and empty texts have no
+    of KINDS.  A run of token characters, or what plain findings leave of it, is reported
+    as random if its mean log ratio is above ``threshold``.  Null and empty texts have no
     spans; texts may have any length; repeated rows give a row each; other columns are
     not read; an empty table gives no rows.
     """
@@ -120,9 +152,10 @@ def find_secrets(docs: DataFrame, ratios: list[float], threshold: float = THRESH
     rows = docs.select("doc_id", text.alias("text")).select(
         "doc_id", base_spans(F.col("text")).alias("base"),
         _where(F.col("text"), CANDIDATE, places(F.col("text"), CANDIDATE, 3)).alias("runs"))
-    free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    random = F.filter(free, lambda r: mean_ratio(r["value"], ratios) > threshold)
-    return rows.select("doc_id", F.array_sort(F.concat("base", random)).alias("spans"))
+    free = F.when((F.size("runs") > 0) & (F.size("base") > 0), free_pieces(F.col("base"), F.col("runs"))).otherwise(F.col("runs"))
+    random = F.filter("free", lambda r: mean_ratio(r["value"], ratios) > threshold)
+    return rows.select("doc_id", "base", free.alias("free")).select(
+        "doc_id", F.array_sort(F.concat("base", random)).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
