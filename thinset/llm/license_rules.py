@@ -139,13 +139,13 @@ RULES = """
 2|sspl-1.0|server side|server side public LIC( v(ersion )? ?1)?
 2|elastic-2.0|elastic|elastic LIC (v(ersion )? ?)?2( 0)?
 2|polyform-nc|polyform|polyform noncommercial LIC
-2|rail|openrail|(bigscience |creativeml )?open ?rail( m)?( LIC)?
+2|rail|rail|(bigscience |creativeml )?open ?rail( m)?( LIC)?
 2|llama|llama|llama [23]( [0-9])? community LIC
 2|vim|vim|vim LIC
 2|tcl|tcl|tcl( tk)? LIC
 2|curl|curl|curl LIC
 2|openssl|openssl|openssl LIC
-2|libpng|libpng|(png reference library|libpng) LIC
+2|libpng|png|(png reference library|libpng) LIC
 2|imagemagick|imagemagick|imagemagick LIC
 2|unicode|unicode|unicode (data files and software )?LIC
 2|upl-1.0|universal permissive|universal permissive LIC
@@ -165,7 +165,7 @@ RULES = """
 2|hippocratic|hippocratic|hippocratic LIC
 2|json|good not evil|shall be used for good not evil
 2|open-government|government|open government LIC( v(ersion )? ?[123]( 0)?)?
-2|etalab-2.0|etalab|(etalab )?licence ouverte( 2 0)?
+2|etalab-2.0|ouverte|(etalab )?licence ouverte( 2 0)?
 3|gpl|general public|(gnu )?general public LIC
 3|lgpl|lesser general|(gnu )?(lesser|library) general public LIC
 3|agpl|affero|(gnu )?affero general public LIC

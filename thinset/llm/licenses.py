@@ -32,7 +32,15 @@ _HIT = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label",
 def expression(text: str) -> re.Pattern:
     """A rule's expression with its short forms spelled out."""
     text = text.replace("LIC", "licen[cs]e").replace(" ", f"(?:{_GAP})")
-    return re.compile(f"(?<!{_EDGE})(?:{text})(?!{_EDGE})")
+    return re.compile(f"(?<!{_EDGE})(?:{text})(?!{_EDGE})", re.S)
+
+
+def required(keyword: str, text: str) -> set[str]:
+    """Words every match of a rule holds: the keyword's longest word, and the beginning
+    of "license" if LIC stands outside all groups (a group may be optional)."""
+    while (outside := re.sub(r"\([^()]*\)\??", "", text)) != text:
+        text = outside
+    return {max(keyword.split(), key=len)} | ({"licen"} if "LIC" in text and "|" not in text else set())
 
 
 class Scanner:
@@ -41,10 +49,8 @@ class Scanner:
     def __init__(self, table: list[tuple[int, str, str, str]], base: dict[str, str]):
         self.rules = [(tier, label, expression(text)) for tier, label, _, text in table]
         self.base = [(label, expression(re.escape(phrase).replace("\\ ", " "))) for phrase, label in base.items()]
-        # Blanks of a keyword stand for any gap, so its longest word is looked for; an
-        # expression with "license" in it also needs the beginning of that word.
-        self.needs = [{max(keyword.split(), key=len)} | ({"licen"} if "LIC" in text else set())
-                      for _, _, keyword, text in table]
+        # Blanks of a keyword stand for any gap, so its longest word is looked for.
+        self.needs = [required(keyword, text) for _, _, keyword, text in table]
         self.needs += [set(phrase.split()) for phrase in base]
         self.keywords, self.by_key = ahocorasick.Automaton(), {}
         for i, words in enumerate(self.needs):
