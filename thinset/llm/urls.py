@@ -49,22 +49,65 @@ def canonical(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(F.lit("https://"), host, path, query)).otherwise(url)
 
 
+def without_dots(path: Column) -> Column:
+    """A path that begins with "/", its segments "." and ".." carried out.
+
+    Its cost grows with the square of the segments, for paths that hold such ones only.
+    """
+    parts = F.slice(F.split(path, "/", -1), 2, 1 << 30)
+    dots = F.element_at(parts, -1).isin(".", "..")
+
+    def step(kept: Column, part: Column) -> Column:
+        return (F.when(part == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))))
+                .when(part == ".", kept).otherwise(F.concat(kept, F.array(part))))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    kept = F.when(dots, F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(r"(?s)/\.\.?(/|\z)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """The address ``target`` names on a page at ``base``; null if it is none of the web.
+
+    Absolute; of the same scheme ("//h/x"); from the root ("/x"); from the page's folder
+    ("x", "../x"); a query ("?x") or a fragment ("#x") of the page itself.
+    """
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
+    root = F.concat(scheme, F.lit("://"), host_of(base))
+    path = path_of(base)
+    path = F.when(path == "", F.lit("/")).otherwise(path)
+    folder = F.regexp_extract(path, r"(?s)^(.*/)", 1)
+    query = F.regexp_extract(base, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    way, tail = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    full = (F.when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+            .when(target.startswith("/"), F.concat(root, without_dots(way), tail))
+            .when(target.startswith("?"), F.concat(root, path, target))
+            .when(target.startswith("#") | (target == ""), F.concat(root, path, query, target))
+            .otherwise(F.concat(root, without_dots(F.concat(folder, way)), tail)))
+    return (F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+            .when(~target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") & (scheme != ""), full))
+
+
 def html_edges(pages: DataFrame) -> DataFrame:
     """(a, b): a page's url and the address its canonical link or refresh names.
 
-    Relative addresses are resolved against the url's host.
+    Relative addresses are resolved against the page's first base tag, which itself may
+    be relative, or else against its url.
     """
     tags = F.regexp_extract_all(F.col("html").cast("string"), F.lit(TAG), F.lit(0))
     wanted = F.filter(tags, lambda t: t.rlike(r"""(?i)rel\s*=\s*["']?canonical|http-equiv\s*=\s*["']?refresh"""))
-    rows = pages.where(F.col("html").rlike("(?i)canonical|http-equiv")).select("url", F.explode(wanted).alias("tag"))
+    base = F.regexp_extract(F.col("html").cast("string"), r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
+    rows = pages.where(F.col("html").rlike("(?i)canonical|http-equiv")).select(
+        F.col("url").cast("string").alias("url"), base.alias("base"), F.explode(wanted).alias("tag"))
     link = F.regexp_extract("tag", r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
     jump = F.regexp_extract("tag", r"""(?is)\bcontent\s*=\s*["']?\s*[0-9.]+\s*;\s*url\s*=\s*["']?([^"'>]+)""", 1)
     target = F.trim(F.when(F.lower("tag").startswith("<link"), link).otherwise(jump))
-    scheme = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
-    full = (F.when(target.contains("://"), target)
-            .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-            .when(target.startswith("/"), F.concat(scheme, F.lit("://"), host_of(F.col("url")), target)))
-    return rows.select(F.col("url").alias("a"), full.alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    url = F.col("url")
+    rows = rows.withColumn("target", target).where("target <> ''")
+    rows = rows.withColumn("base", F.when(F.col("base") == "", url).otherwise(
+        F.coalesce(resolved(url, F.col("base")), url)))
+    return rows.select(url.alias("a"), resolved(F.col("base"), F.col("target")).alias("b")).where(
+        "a IS NOT NULL AND b IS NOT NULL")
 
 
 def _judge(rules: tuple[tuple[str, str, str], ...]):
