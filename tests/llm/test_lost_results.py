@@ -55,12 +55,12 @@ def test_aliases(spark):
 def test_batches(spark):
     """Counts go on over batches, a batch told again hears the same, an index opens by its path."""
     path = new_path(spark, "index")
-    index = dedup.DigestIndex(spark, path)
+    index = dedup.DigestIndex(spark, path, 8)
     batches = [[(10, "Same"), (11, "same"), (12, "one")], [(20, "SAME")], [(30, "same"), (31, "same"), (32, None)], [(40, "same")]]
     told = []
     for i, rows in enumerate(batches):
         if i == 3:
-            index = dedup.DigestIndex(spark, path)
+            index = dedup.DigestIndex(spark, path, 8)
         frame = spark.createDataFrame(rows, "doc_id long, text string")
         told.append(sorted(tuple(r)[:4] for r in index.ingest(frame, f"b{i}").collect()))
     assert told == [[(10, 11, 2, False), (11, 11, 2, True), (12, 12, 1, True)], [(20, 11, 3, False)],

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from thinset.llm.tables import if_small, packed, stored, unpacked
 from thinset.workspace import new_path
 
-BUCKETS = 64
+BUCKETS = 256  # a bucket is one task's share of the index: 1 TB of it in parts of 4 GB
 _COLUMNS = "digest binary, keep_id long, group_size long, batch string"
 
 
