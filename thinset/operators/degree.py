@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..workspace import save, save_measured, small
-from .similarity import both_ways
+from ..workspace import save_measured, save_packed, small
+from .similarity import above, both_ways, strong_links
 
 
 def node_degrees(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def degree_histogram(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def top_neighbors(edges: DataFrame, k: int | None = None) -> DataFrame:
     """Neighbours of each node by similarity; ``place`` 1 is the closest."""
     by_sim = Window.partitionBy("a").orderBy(F.col("sim").desc(), "b")
-    placed = both_ways(edges).withColumn("place", F.row_number().over(by_sim))
+    links = both_ways(edges) if k is None else strong_links(edges, k, both=True)
+    placed = links.withColumn("place", F.row_number().over(by_sim))
     return placed if k is None else placed.filter(F.col("place") <= k)
 
 
@@ -41,6 +42,10 @@ def cap_degree_mutual(edges: DataFrame, max_degree: int) -> DataFrame:
     )
 
 
+def _crowded(edges: DataFrame, cap: int) -> DataFrame:
+    return node_degrees(edges).filter(F.col("degree") > cap)
+
+
 def _within(node: str, cut: str) -> str:
     """SQL: does a link to ``node`` stand at or before a cut ``(sim, id)``?  No cut keeps all."""
     return f"({cut} IS NULL OR sim > {cut}.sim OR (sim = {cut}.sim AND {node} <= {cut}.id))"
@@ -62,20 +67,22 @@ def cap_degree(edges: DataFrame, max_degree: int, ranked: list[int] | None = Non
     """
     cap = int(max_degree)
     edges = edges.select("a", "b", "sim")
-    # Sure losses first (see similarity.py): leaves at most n * cap edges.
-    rest = Window.partitionBy("a").orderBy(F.col("sim").desc(), "b")
-    edges = save(edges.withColumn("_place", F.row_number().over(rest))
-                 .filter(F.col("_place") <= cap).drop("_place"))
+    if not _crowded(edges, cap).limit(1).count():
+        return edges
+    if above(edges, cap):
+        # Sure losses first (see similarity.py): leaves at most n * cap edges.
+        rest = Window.partitionBy("a").orderBy(F.col("sim").desc(), "b")
+        edges = save_packed(strong_links(edges, cap, both=False).withColumn("_place", F.row_number().over(rest))
+                            .filter(F.col("_place") <= cap).drop("_place"))
     none = F.lit(None).cast("struct<sim: double, id: long>")
     state, seen = save_measured(
-        node_degrees(edges).filter(F.col("degree") > cap)
-        .select("id", none.alias("cut"), none.alias("old"), F.lit(True).alias("moved")),
+        _crowded(edges, cap).select("id", none.alias("cut"), none.alias("old"), F.lit(True).alias("moved")),
         rows=F.count("*"),
     )
     busy = seen["rows"]
     if not busy:
         return edges
-    held = save(both_ways(edges).join(small(state.select(F.col("id").alias("a")), busy), "a", "left_semi"))
+    held = save_packed(both_ways(edges).join(small(state.select(F.col("id").alias("a")), busy), "a", "left_semi"))
     # Links whose other end decides earlier; their fate is what changes a ranking.
     below = held.filter("b < a")
 
