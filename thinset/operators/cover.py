@@ -21,7 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..workspace import save, save_measured, small, with_position
+from ..workspace import save_measured, save_packed, save_packed_measured, small, with_position
 
 # Most links (about 100 MB with indexes) one task may finish on its own.
 GROUP_LINKS = 2_000_000
@@ -158,7 +158,7 @@ def run_cover(
 
     both = F.explode(F.array(F.struct(F.col("oa").alias("u"), F.col("ob").alias("v")),
                              F.struct(F.col("ob").alias("u"), F.col("oa").alias("v"))))
-    links, seen = save_measured(ordered.select(both.alias("_l")).select("_l.*"), rows=F.count("*"))
+    links, seen = save_packed_measured(ordered.select(both.alias("_l")).select("_l.*"), rows=F.count("*"))
     if seen["rows"]:
         _rounds(links, seen["rows"], cover)
     return cover
@@ -268,7 +268,7 @@ class Open:
         self.rows, self.best, self.most, left = (seen[name] for name in ("rows", "best", "most", "left"))
         if self.rows and left * STALE_SHARE < self.stored:
             there = small(self.nodes.select("u"), self.rows)
-            self.links = save(self.links.join(there, "u", "left_semi")
+            self.links = save_packed(self.links.join(there, "u", "left_semi")
                               .join(there.withColumnRenamed("u", "v"), "v", "left_semi"))
             self.stored = left
 

@@ -15,6 +15,7 @@ from .degree import cap_degree
 from .similarity import EDGE, FIRST, MAX_PIVOTS, first_seen, similar_pairs
 
 ROWS_PER_PIVOT = 20_000
+SHALLOW = 2  # passes over all pairs that go no deeper than their probe
 PROBE_SCHEMA = "probe int, threshold double, coverage double, picks long, covered long"
 
 
@@ -113,13 +114,14 @@ def coverage_search(
     cap = int(max_degree) if max_degree else int(2 * n * coverage / k)
     cells = min(MAX_PIVOTS, n // ROWS_PER_PIVOT) if pivots is None else pivots
     low, high, probe = sim_lb, 1000, (1000 + sim_lb) / 2
-    graph, probes, sizes = None, [], []
+    graph, passes, probes, sizes = None, 0, [], []
     while True:
         theta = probe / 1000
         if graph is None or theta < graph.floor:
-            # First pass only as deep as the first probe needs; should the search
-            # go lower, one more pass covers all thresholds it can still ask for.
-            floor = theta if graph is None else sim_lb / 1000
+            # The first passes are only as deep as their probe needs; should the search
+            # go lower still, one more covers all thresholds it can ask for.
+            floor = theta if passes < SHALLOW else sim_lb / 1000
+            passes += 1
             graph = SimilarityGraph(
                 vectors, floor, cap, label_col, id_col, vec_col, digits, block_rows, cells
             )

@@ -15,7 +15,7 @@ from thinset.operators.coverage import coverage_search, sample_acs
 from thinset.plans import experiment, model
 from thinset.plans.downsample import downsample, register_sampler
 from thinset.sources import catalogues, files, tables, vocabulary
-from thinset.workspace import new_path, save, spread, with_position
+from thinset.workspace import new_path, save, save_packed, spread, with_position
 
 SEED = 42
 
@@ -239,7 +239,7 @@ def mutual_cap(spark, folder):
 
 
 def sequential_cap(spark, folder):
-    return degree.cap_degree(save(label_edges_at(spark, folder, 0.05)), 5)
+    return degree.cap_degree(save_packed(label_edges_at(spark, folder, 0.05)), 5)
 
 
 def insertion_order(spark, folder):
@@ -252,7 +252,7 @@ def insertion_order(spark, folder):
 
 def _cover(spark, folder, theta, k, label_col):
     vectors = table(spark, folder, "embeddings")
-    pairs = save(similarity.similar_pairs(
+    pairs = save_packed(similarity.similar_pairs(
         vectors, theta, label_col=label_col, with_first=True, **VECTORS
     ))
     firsts = similarity.first_seen(pairs.filter(F.col("kind") == similarity.FIRST), theta)
