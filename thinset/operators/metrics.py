@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..workspace import save
+from ..workspace import dealt, save
 
 
 def ratio(top, bottom) -> Column:
@@ -117,6 +117,7 @@ def bio_spans(
     ``B-x`` opens a span; ``I-x`` continues a span of the same type that ends at
     the token before and otherwise opens one; anything else closes.
     """
+    tokens = dealt(tokens.select(sentence, place, tag), sentence)
     order = Window.partitionBy(sentence).orderBy(place)
     kind = F.substring(tag, 3, 2**31 - 1)
     inside = F.col(tag).rlike("^[BI]-")
