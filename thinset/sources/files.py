@@ -15,6 +15,8 @@ from .vocabulary import RELATION_IDS, index_labels, vocabulary
 
 # A row's place in its files: stable, and known without a pass over the data.
 FILE_ORDER = ["_file", "_block", "_line"]
+# Lines whose blank ones are counted together.
+RUN_LINES = 1 << 16
 
 
 class SourceError(ValueError):
@@ -190,37 +192,42 @@ def load_fewrel(
 def _bio_lines(spark: SparkSession, path: str, strict: bool) -> DataFrame:
     """Lines with the number of blank lines before them, counted across files.
 
-    Blank lines are counted per file block first, so the running count never
-    sees more than one block in a task.  The end of a file ends its sentence.
+    Blank lines are counted per run of ``RUN_LINES`` lines of a file block first, so the
+    running count never sees more than one run at a time, and no task has to hold a
+    block.  The end of a file ends its sentence.
     """
     lines = _with_file_place(spark.read.text(path)).select(
-        *FILE_ORDER, fields("value").alias("parts")
+        *FILE_ORDER, F.expr(f"_line div {RUN_LINES}").alias("_run"), fields("value").alias("parts")
     )
     lines = lines.withColumn("_blank", (F.size("parts") == 0).cast("long"))
-    blocks = lines.groupBy("_file", "_block").agg(F.sum("_blank").alias("_blanks"))
-    order = Window.orderBy("_file", "_block")
+    runs = lines.groupBy("_file", "_block", "_run").agg(F.sum("_blank").alias("_blanks"))
+    # A name is longer than a line: a run goes by its number from here on.
+    order = Window.orderBy("_file", "_block", "_run")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     next_file = (F.lag("_file").over(order) != F.col("_file")).cast("long")
     starts = (
-        blocks.withColumn("_turn", F.coalesce(next_file, F.lit(0)))
+        runs.withColumn("_turn", F.coalesce(next_file, F.lit(0)))
         .withColumn("_start", F.coalesce(F.sum("_blanks").over(earlier), F.lit(0))
                     + F.sum("_turn").over(order))
-        .select("_file", "_block", "_start")
+        .withColumn("_at", F.row_number().over(order))
+        .select("_file", "_block", "_run", "_start", "_at")
     )
-    bound = len(lines.inputFiles()) + lines.rdd.getNumPartitions()
-    inside = Window.partitionBy("_file", "_block").orderBy("_line")
     bad = F.raise_error(F.concat(F.lit("expected a token and a tag: "), F.array_join("parts", " ")))
     parts = F.col("parts")
     if strict:
         parts = F.when(F.size("parts") == 2, parts).otherwise(bad.cast("array<string>"))
+    # Every piece of a file and every RUN_LINES lines start a run: few beside the pieces.
+    bound = len(lines.inputFiles()) + lines.rdd.getNumPartitions()
+    placed = lines.join(small(starts, bound), ["_file", "_block", "_run"]).select(
+        "_at", "_line", "_start", "_blank",
+        F.when(F.col("_blank") == 0, F.get(parts, F.lit(0))).alias("token"),
+        F.when(F.col("_blank") == 0, F.get(parts, F.lit(1))).alias("tag"),
+    )
+    inside = Window.partitionBy("_at").orderBy("_line")
     return (
-        lines.withColumn("_before", F.sum("_blank").over(inside))
-        .join(small(starts, bound), ["_file", "_block"])
+        placed.withColumn("_before", F.sum("_blank").over(inside))
         .filter("_blank = 0")
-        .select(
-            *FILE_ORDER, (F.col("_start") + F.col("_before")).alias("sentence_id"),
-            F.get(parts, F.lit(0)).alias("token"), F.get(parts, F.lit(1)).alias("tag"),
-        )
+        .select("_at", "_line", (F.col("_start") + F.col("_before")).alias("sentence_id"), "token", "tag")
     )
 
 
@@ -232,7 +239,7 @@ def load_bio_tokens(
     Every blank line raises the sentence id by one, as does the next file.
     """
     lines = _bio_lines(spark, path, strict)
-    place = F.row_number().over(Window.partitionBy("sentence_id").orderBy(*FILE_ORDER)) - 1
+    place = F.row_number().over(Window.partitionBy("sentence_id").orderBy("_at", "_line")) - 1
     return lines.select(
         (F.col("sentence_id") + id_offset).alias("sentence_id"), place.alias("token_pos"),
         F.col("token").alias("sentence"), F.col("tag").alias("label"),
