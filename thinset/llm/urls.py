@@ -156,6 +156,8 @@ def judge_urls(pages: DataFrame, edges: DataFrame | None = None,
     found = found.union(html_edges(pages))
     if edges is not None:
         found = found.union(edges.select(F.col("a").cast("string"), F.col("b").cast("string")))
+    # The addresses are worked out once: each later use would repeat their expressions.
+    found = stored(found, "aliases")
     # A target's own variants redirect too.
     found = found.union(found.select(F.col("b").alias("a"), canonical(F.col("b")).alias("b")))
     classes = stored(components(found.where("a <> b")), "classes")
