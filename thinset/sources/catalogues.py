@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+import sys
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import dealt
+
+# Files that one task writes.
+PART_FILES = 2000
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed formats: line heads of the catalogue files.
 RELATION = r"(?m)^Relation: (.*)$"
 DEFINITION = r"(?m)^Relation Definition: (.*)$"
@@ -28,6 +40,45 @@ def _found(pattern: str, group: int = 1):
     return F.when(hit != "", hit)
 
 
+def _file_task(path: str):
+    """Rows sorted by id: a file for each id, its texts line by line; the ids that were written."""
+
+    def write(batches):
+        store, root = fs.FileSystem.from_uri(path)
+        name, out = None, None
+        try:
+            for batch in batches:
+                made = []
+                for pid, value in zip(*(batch.column(c).to_pylist() for c in ("pid", "value"))):
+                    if pid != name:
+                        if out is not None:
+                            out.close()
+                        name, out = pid, store.open_output_stream(f"{root}/prompt_{pid}.txt")
+                        made.append(pid)
+                    out.write(((value or "") + "\n").encode())
+                yield pa.record_batch([pa.array(made, pa.string())], ["pid"])
+        finally:
+            if out is not None:
+                out.close()
+
+    return write
+
+
+def write_prompt_files(texts: DataFrame, path: str) -> int:
+    """Write ``(pid, value)`` as one file ``prompt_<pid>.txt`` per id into the new folder
+    ``path``, which Arrow can open; return their number.  Rows without an id are left out.
+
+    A bounded number of files a task: Spark's own writer makes a folder for each id, and
+    adaptive execution gives so few bytes to one task.  A task that is run again writes
+    the same files again.
+    """
+    store, root = fs.FileSystem.from_uri(path)
+    store.create_dir(root)
+    rows = texts.select("pid", "value").filter(F.col("pid").isNotNull())
+    rows = dealt(rows, "pid", PART_FILES).sortWithinPartitions("pid")
+    return rows.mapInArrow(_file_task(path), "pid string").count()
+
+
 def read_relation_catalogue(
     spark: SparkSession, path: str, id_pattern: str = r"_(P\d+)\.txt$"
 ) -> DataFrame:

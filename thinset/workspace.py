@@ -94,14 +94,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def dealt(df: DataFrame, key: str) -> DataFrame:
-    """Deal rows by ``key`` into parts of about ``PART_ROWS`` rows.
+def dealt(df: DataFrame, key: str, part_rows: int | None = None) -> DataFrame:
+    """Deal rows by ``key`` into parts of about ``part_rows`` (``PART_ROWS``) rows.
 
     For windows over keys of few rows: what a task sorts stays the same however big the
     table is.  Shuffled bytes say little about it, as tokens pack into a few bytes each.
     """
     spark = df.sparkSession
-    parts = -(-df.count() // PART_ROWS)
+    parts = -(-df.count() // (part_rows or PART_ROWS))
     most = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(max(parts, min(most, spark.sparkContext.defaultParallelism)), key)
 

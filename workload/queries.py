@@ -529,10 +529,8 @@ def relation_catalogue(spark, folder):
         F.col("s_name").alias("example_head"), F.col("n_name").alias("example_tail"),
     )
     path = new_path(spark, "prompts")
-    rows.select("pid", prompts.pair_prompt().alias("value")).repartition("pid").write.partitionBy(
-        "pid"
-    ).text(path)
-    return catalogues.read_relation_catalogue(spark, path, r"pid=(P\d+)/").drop("example_sentence")
+    catalogues.write_prompt_files(rows.select("pid", prompts.pair_prompt().alias("value")), path)
+    return catalogues.read_relation_catalogue(spark, path).drop("example_sentence")
 
 
 def batch_predictions(spark, folder):
