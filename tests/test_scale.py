@@ -123,3 +123,34 @@ def test_prompt_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     assert len(found.inputFiles()) == 90
     got = {row.pid: (row.name, row.definition, row.example_head, row.example_tail) for row in found.collect()}
     assert got == {f"P{i}": (n, f"supplies from {n}", f"S{i}", n) for i in range(90) for n in ["AB"[i % 2]]}
+
+
+def test_first_pairs_do_not_grow_with_the_slices(monkeypatch):
+    flat = np.random.default_rng(2).normal(size=(60, 4))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([0] * 120), pa.array([0] * 120), pa.array([0] * 60 + [1] * 60), pa.array([*range(60)] * 2),
+         pa.array(flat.tolist() * 2)], ["task", "chunk", "role", "id", "vec"])
+
+    def found(cells):
+        monkeypatch.setattr(similarity, "SLICE_CELLS", cells)
+        return {tuple(row.values()) for out in similarity._panel_task(0.1, None, 6, True, np.arange(4))([batch])
+                for row in out.to_pylist()}
+
+    unit = flat / np.linalg.norm(flat, axis=1)[:, None]
+    sim = np.round(unit @ unit.T, 6)
+    edges = {(0, a, b, sim[a, b]) for b in range(60) for a in range(b) if sim[a, b] >= 0.1}
+    firsts = {(1, a, b, sim[a, b]) for _, a, b, _ in edges
+              if all(sim[a, b] > sim[x, b] for x in range(a) if sim[x, b] >= 0.1)}
+    assert found(1 << 20) == found(120) == edges | firsts
+
+
+def test_pairs_of_a_cover_are_stored_once(spark, tmp_path, monkeypatch):
+    stored = []
+    for module in (queries, similarity):
+        real = module.save_packed
+        monkeypatch.setattr(module, "save_packed", lambda df, *a, real=real: stored.append(df.columns) or real(df, *a))
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(np.random.default_rng(4).normal(size=(30, 4)))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(
+        str(tmp_path / "embeddings.parquet"))
+    assert queries.max_cover_unlabelled(spark, str(tmp_path)).count()
+    assert stored.count(["kind", "a", "b", "sim"]) == 1
