@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from thinset import workspace
-from thinset.llm import urls
+from thinset.llm import jaccard, urls
 from thinset.operators import coverage, similarity
 from thinset.sources import catalogues, files
 from workload import queries
@@ -154,3 +154,15 @@ def test_pairs_of_a_cover_are_stored_once(spark, tmp_path, monkeypatch):
         str(tmp_path / "embeddings.parquet"))
     assert queries.max_cover_unlabelled(spark, str(tmp_path)).count()
     assert stored.count(["kind", "a", "b", "sim"]) == 1
+
+
+def test_frequent_shingles_reach_the_driver_as_columns(spark, monkeypatch):
+    def whole(*_):
+        raise AssertionError("rows as Python objects")
+
+    rows = [(s, n) for s, n in ((7, 3), (-5, 9), (9, 3), (7, 1), (None, None))]
+    scanned = spark.createDataFrame(rows, "shingle long, seen long")
+    monkeypatch.setattr(type(scanned), "toPandas", whole)
+    found = jaccard._frequent(scanned)
+    assert found.dtype == np.int64 and found.tolist() == [9, 7, -5]
+    assert not len(jaccard._frequent(scanned.where("shingle = 0")))
