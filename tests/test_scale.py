@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm import brute
 from thinset import workspace
 from thinset.llm import jaccard, urls
 from thinset.operators import coverage, similarity
@@ -166,3 +167,29 @@ def test_frequent_shingles_reach_the_driver_as_columns(spark, monkeypatch):
     found = jaccard._frequent(scanned)
     assert found.dtype == np.int64 and found.tolist() == [9, 7, -5]
     assert not len(jaccard._frequent(scanned.where("shingle = 0")))
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_sets_outside_their_group_do_not_meet_all_of_it(spark, monkeypatch, whole):
+    """Copies with four changed words link with the original, with hardly another copy and not with those of a fifth."""
+    made, words = np.random.default_rng(7), [f"w{i}" for i in range(150)]
+
+    def copy(node, changes):
+        at = set((5 * made.choice(np.arange(1, 29), changes, replace=False)).tolist())
+        return node, " ".join(f"c{node}x{i}" if i in at else w for i, w in enumerate(words))
+
+    docs = [copy(d, 1) for d in range(10, 110)] + [copy(d, 4) for d in range(110, 230)] + [copy(d, 7) for d in range(230, 240)]
+    docs += [(5, " ".join(words))] * whole
+    seen, stored = {}, jaccard.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        seen[name] = max(seen.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", counted)
+    monkeypatch.setattr(jaccard, "SHARED", jaccard.MINIMA + 1)  # the first pass finds nothing
+    found = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), boundary=0).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.components(docs)
+    if whole:
+        assert seen["met"] < 10 * len(docs) and seen["gathered"] > len(docs) / 2

@@ -15,6 +15,10 @@ least estimated cost, from counts over all small sets.
   least shingles and joins what links.  In the inverted lists only sets of *different*
   components can still add anything, so a list inside one component is dropped and no
   group of near copies is ever expanded into its pairs.
+* Before the lists are joined, sets that stayed outside a group they belong to are tried
+  against the most central holders of its long lists, in turns: else each of them would
+  meet the whole group.  A turn's pairs are bounded by its postings; it only adds links
+  that hold, so the result is that of the join alone.
 * The first shingle a linked pair shares stands so early in both sets that the overlap
   it needs is still ahead: before n/7 in the smaller, n/4 in the larger.  Lists are
   joined on these two parts only, and with the exact place for the sizes of the pair.
@@ -31,7 +35,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -50,6 +54,10 @@ FREQUENT = 1 << 18  # most frequent shingles that the order knows of
 VERIFY = 60.0       # cost of verifying a pair, in posting rows
 BLOCK_SHINGLES = 1 << 18  # of the sets of a block whose pairs are verified together
 MARKS = 256         # parities of a set's shingles by hash, at least; else four to eight a shingle
+LONG = 32           # a list of more holders is gathered before it is joined
+CLASSES = 4         # central holders that such a list offers to each size class in a turn
+TRIED = 8           # pairs that a set tries in a turn
+TURNS = 6           # at most; each has to take a quarter of the pairs that are left
 BEFORE = 3          # earlier shingles of its set that a posting carries
 BATCH_ROWS = 1024   # rows of whole texts that a task holds at a time
 
@@ -298,10 +306,83 @@ def _overlap(a: str, b: str, percent: int) -> str:
     return f"(({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent})"
 
 
+def _early(percent: int) -> str:
+    """The last place at which the smaller set of a pair may first share a shingle."""
+    return f"at <= n - {_overlap('n', 'n', percent)}"
+
+
 def _sized(percent: int) -> str:
     return f"a <> b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
 
 
+def _crossing(postings: DataFrame) -> DataFrame:
+    """Postings of the lists that hold sets of different components."""
+    mixed = postings.groupBy("shingle").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y")
+    return postings.join(mixed.select("shingle"), "shingle", "left_semi")
+
+
+def _band(n: str) -> Column:
+    """Size class; sets that link at ``PERCENT`` are in the same or in neighbouring ones."""
+    return F.floor(2 * F.log2(n))
+
+
+def _bands(n: str) -> Column:
+    return F.explode(F.array(*[_band(n) + k for k in (-1, 0, 1)]))
+
+
+def _central_pairs(postings: DataFrame, percent: int, turn: int) -> DataFrame:
+    """(id, part, other, other_part): sets with central holders, of other components, of lists they are in.
+
+    The fewer shingles rarer than the list's a holder has, the more central it is: what
+    sets a copy apart from its group is rare.  A list offers one holder for each size class
+    and class of ids (dealt anew each turn); a set tries those most central.
+    """
+    rows = postings.withColumn("band", _band("n"))
+    dealt = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(CLASSES)).alias("dealt")
+    offered = rows.groupBy("shingle", "band", dealt).agg(F.min(F.struct("at", "id", "n", "part")).alias("f"))
+    offered = offered.select("shingle", "band", F.col("f.at").alias("at"), F.col("f.id").alias("b"),
+                             F.col("f.n").alias("n_b"), F.col("f.part").alias("part_b"))
+    ends = rows.select("shingle", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"),
+                       _bands("n").alias("band"))
+    pairs = ends.join(offered, ["shingle", "band"]).where(f"part_a <> part_b AND {_sized(percent)}")
+    pairs = pairs.groupBy("a", "part_a", "b", "part_b").agg(F.min("at").alias("at"), F.count("*").alias("c"))
+    first = Window.partitionBy("a").orderBy("at", F.desc("c"), "b")
+    return pairs.withColumn("k", F.row_number().over(first)).where(F.col("k") <= TRIED).select(
+        F.col("a").alias("id"), F.col("part_a").alias("part"), F.col("b").alias("other"), F.col("part_b").alias("other_part"))
+
+
+def _gathered(open_: DataFrame, verify, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The postings that still cross components after the turns, and the links found.
+
+    Turns go on while the long lists would give more pairs than there are postings.
+    """
+    links, left = [], None
+    for turn in range(TURNS):
+        near = open_.where(_early(percent)).select("shingle", "part", _band("n").alias("own"), _bands("n").alias("band"))
+        lists = near.groupBy("shingle", "band", "part").agg(
+            F.count("*").alias("c"), F.sum((F.col("own") == F.col("band")).cast("long")).alias("own"))
+        lists = lists.groupBy("shingle", "band").agg(
+            F.sum("c").alias("held"), F.sum("own").alias("own"), F.max(F.struct("c", "own")).alias("most"))
+        lists = stored(lists.where(F.col("held") > LONG), "long")
+        # In the join all that is outside a list's largest component meets all of like size and place.
+        pairs = lists.agg(F.sum(F.expr("cast(own - most.own AS double) * held"))).first()[0] or 0
+        if pairs <= open_.count() or left is not None and pairs > 0.75 * left:
+            break
+        left = pairs
+        tried = stored(_central_pairs(open_.join(if_small(lists.select("shingle").distinct()), "shingle", "left_semi"), percent, turn), "tried")
+        found = verify(tried.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+        found = stored(found, "gathered")
+        links.append(found)
+        named = tried.select("id", "part").union(tried.select("other", "other_part")).distinct()
+        a, b = (named.select(F.col("id").alias(c), F.col("part").alias(f"part_{c}")) for c in ("a", "b"))
+        met = found.join(a, "a").join(b, "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
+        merged = stored(components(met).withColumnRenamed("node", "part"), "merged")
+        joined = open_.join(if_small(merged), "part", "left").select(
+            "shingle", "id", "n", "at", F.coalesce("component", "part").alias("part"))
+        open_ = stored(_crossing(joined), "open")
+    return open_, links
+
+
 def _met(early: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
     """Pairs across components that share a shingle early enough in both sets.
 
@@ -389,8 +470,8 @@ def _components(docs: DataFrame, size: int, percent: int, boundary: int | None)
     postings = rare.union(often).join(parts.withColumnRenamed("node", "id"), "id", "left").select(
         "shingle", "id", "n", "at", F.coalesce("component", "id").alias("part"))
     postings = stored(postings, "postings")
-    mixed = postings.groupBy("shingle").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y")
-    open_ = stored(postings.join(mixed.select("shingle"), "shingle", "left_semi"), "open")
+    open_, gathered = _gathered(
+        stored(_crossing(postings), "open"), lambda pairs: _verified(pairs, texts, sets, nodes, size, percent), percent)
     # Every pair across components has a member outside the list's largest component, so
     # a group of near copies meets its list's few strangers but never itself.
     largest = open_.groupBy("shingle", "part").agg(F.count("*").alias("c")).groupBy("shingle").agg(
@@ -399,12 +480,15 @@ def _components(docs: DataFrame, size: int, percent: int, boundary: int | None)
     # Sets of one document and size share a window: their pairs have the same conditions.
     earlier = Window.partitionBy("id", "n").orderBy("at", "shingle").rowsBetween(-BEFORE, -1)
     sided = stored(sided.withColumn("before", F.collect_list("shingle").over(earlier)), "sided")
-    early = sided.where(f"at <= n - {_overlap('n', 'n', percent)}")
+    early = sided.where(_early(percent))
     met = _met(early.where("NOT inner"), sided, percent).union(_met(early.where("inner"), sided.where("NOT inner"), percent))
     met = stored(met.distinct(), "met")
     late = stored(_verified(met, texts, sets, nodes, size, percent), "late-links")
 
-    found = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
+    links = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    for more in (late, *gathered):
+        links = links.union(more)
+    found = components(links)
     sizes = sets.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"))
     return sizes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
