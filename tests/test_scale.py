@@ -5,10 +5,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import sequential
 from tests.llm import brute
 from thinset import workspace
 from thinset.llm import jaccard, urls
-from thinset.operators import coverage, similarity
+from thinset.operators import coverage, links, similarity
 from thinset.sources import catalogues, files
 from workload import queries
 
@@ -193,3 +194,55 @@ def test_sets_outside_their_group_do_not_meet_all_of_it(spark, monkeypatch, whol
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.components(docs)
     if whole:
         assert seen["met"] < 10 * len(docs) and seen["gathered"] > len(docs) / 2
+
+
+@pytest.mark.parametrize("labelled, cap, share, k", [(False, 6, 0.5, 10), (True, 90, 0.9, 12), (True, 1_000_000, 0.5, 4)])
+def test_a_search_stores_no_pairs(spark, monkeypatch, labelled, cap, share, k):
+    """The shapes of acs_picks (its cap binds), acs_sample and coverage_probes."""
+    def stored(*_, **__):
+        raise AssertionError("pairs stored")
+
+    monkeypatch.setattr(links, "STORED_LINKS", 0)
+    monkeypatch.setattr(links, "TILE_ROWS", 20)
+    monkeypatch.setattr(links, "LEAST_ROWS", 20)
+    monkeypatch.setattr(links, "LEADERS", 25)
+    monkeypatch.setattr(coverage, "SimilarityGraph", stored)
+    made = np.random.default_rng(9)
+    flat, label = made.normal(size=(90, 5)), made.integers(0, 3, 90)
+    rows = [(7 * i, x.tolist(), f"l{label[i]}") for i, x in enumerate(flat)]
+    df = spark.createDataFrame(rows, "row_id long, embedding array<double>, label string").repartition(4)
+    found = coverage.coverage_search(df, k, share, label_col="label" if labelled else None, sim_lb=0, max_degree=cap,
+                                     epsilon=0.04, digits=6)
+    probes, picks = sequential.search(sequential.similarities(flat), k, share, cap, label if labelled else None, slack=0.04)
+    assert [(t, round(c, 9)) for t, c in found.probes] == [(t, round(c, 9)) for t, c in probes]
+    got = [(r.id // 7, r.gain) for r in found.picks.orderBy("pick_rank").collect()]
+    assert got == [(int(node), gain) for node, gain in picks]
+
+
+def test_repeated_ids_keep_their_stored_links(spark, monkeypatch):
+    monkeypatch.setattr(links, "STORED_LINKS", 0)
+    df = vectors(spark, 30)
+    options = {"id_col": "row_id", "vec_col": "embedding", "label_col": None, "digits": 6}
+    assert links.linked(df, 5, **options)
+    assert links.linked(df.union(df.limit(1)), 5, **options) is None
+    assert links.linked(df, links.MOST_PICKS + 1, **options) is None
+
+
+@pytest.mark.parametrize("bound", [0.2, 0.0, 0.25, 0.2578125])
+def test_rounded_bounds_are_exact(bound):
+    least, above = links.lowest(bound, 6), links.lowest(bound, 6, above=True)
+    assert np.round(least, 6) >= bound > np.round(np.nextafter(least, -1), 6)
+    assert np.round(above, 6) > bound >= np.round(np.nextafter(above, -1), 6)
+
+
+def test_single_precision_decides_no_link():
+    """Products within the error of the bound are made in double."""
+    flat = np.random.default_rng(3).normal(size=(400, 8))
+    unit = flat / np.linalg.norm(flat, axis=1)[:, None]
+    whole = unit @ unit.T
+    bound = float(np.sort(whole[np.triu_indices(400, 1)])[-5000])
+    reader = links._Reader("", [], np.array([0, 400]), np.zeros(400, np.int64), bound, None)
+    rows = np.arange(400)
+    for told in (False, True):
+        hit = np.concatenate([hit for _, hit, _ in reader.products(rows, unit, rows, unit, told)])
+        assert np.count_nonzero(np.triu(hit, 1)) in (4999, 5000, 5001)

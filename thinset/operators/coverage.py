@@ -12,6 +12,7 @@ from ..functions.arrays import let, norm
 from ..workspace import save, save_measured, save_ranged, small
 from .cover import duplicate_cover, node_order, run_cover
 from .degree import cap_degree
+from .links import linked
 from .similarity import EDGE, FIRST, MAX_PIVOTS, first_seen, similar_pairs
 
 ROWS_PER_PIVOT = 20_000
@@ -115,9 +116,12 @@ def coverage_search(
     cells = min(MAX_PIVOTS, n // ROWS_PER_PIVOT) if pivots is None else pivots
     low, high, probe = sim_lb, 1000, (1000 + sim_lb) / 2
     graph, passes, probes, sizes = None, 0, [], []
+    # Links that are too many to store are computed for each probe.
+    links = linked(vectors, k, id_col=id_col, vec_col=vec_col, label_col=label_col, digits=digits,
+                   cap=cap, n=n, largest=largest)
     while True:
         theta = probe / 1000
-        if graph is None or theta < graph.floor:
+        if not links and (graph is None or theta < graph.floor):
             # The first passes are only as deep as their probe needs; should the search
             # go lower still, one more covers all thresholds it can ask for.
             floor = theta if passes < SHALLOW else sim_lb / 1000
@@ -125,7 +129,7 @@ def coverage_search(
             graph = SimilarityGraph(
                 vectors, floor, cap, label_col, id_col, vec_col, digits, block_rows, cells
             )
-        cover, edges = graph.cover(nodes, n, largest, theta, k)
+        cover, edges = (links.cover(theta, k, cap), None) if links else graph.cover(nodes, n, largest, theta, k)
         seen = cover.totals()
         reached = seen["covered"] / n
         probes.append((theta, reached))
