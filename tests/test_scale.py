@@ -246,3 +246,24 @@ def test_single_precision_decides_no_link():
     for told in (False, True):
         hit = np.concatenate([hit for _, hit, _ in reader.products(rows, unit, rows, unit, told)])
         assert np.count_nonzero(np.triu(hit, 1)) in (4999, 5000, 5001)
+
+
+@pytest.mark.parametrize("label_col", [None, "label"])
+def test_a_cover_stores_no_pairs(spark, tmp_path, monkeypatch, label_col):
+    def stored(*_, **__):
+        raise AssertionError("pairs stored")
+
+    made = np.random.default_rng(6)
+    flat, label = made.normal(size=(120, 4)).astype(np.float32), made.integers(0, 3, 120)
+    flat[7] = 0.0
+    label = [None if i % 11 == 0 else int(x) for i, x in enumerate(label)]
+    rows = [(2 * i, x.tolist(), label[i]) for i, x in enumerate(flat)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(
+        str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(links, "STORED_LINKS", 0)
+    monkeypatch.setattr(links, "LEAST_ROWS", 25)
+    monkeypatch.setattr(similarity, "similar_pairs", stored)
+    found = queries._cover(spark, str(tmp_path), 0.6, 60, label_col).orderBy("pick_rank").collect()
+    apart = [-1 - i if x is None else x for i, x in enumerate(label)]
+    near, order = sequential.graph(sequential.similarities(flat), 0.6, apart if label_col else None)
+    assert [(r.id // 2, r.gain) for r in found] == [(int(v), gain) for v, gain in sequential.cover(near, order, 60)]

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import save_measured, save_packed, save_packed_measured, small, with_position
+from .links import Links
 
 # Most links (about 100 MB with indexes) one task may finish on its own.
 GROUP_LINKS = 2_000_000
@@ -362,9 +363,11 @@ def _best_around(state: Open, cover: Cover) -> int:
 
 
 def max_cover(
-    edges: DataFrame, nodes: DataFrame, k: int, order: DataFrame | None = None
+    edges: DataFrame | Links, nodes: DataFrame, k: int, order: DataFrame | None = None
 ) -> DataFrame:
     """Picks ``(id, gain, pick_rank)``; fewer than ``k`` if all is covered early."""
+    if isinstance(edges, Links):
+        return edges.cover(k, node_order(nodes) if order is None else order).picks()
     return run_cover(edges, nodes, k, order).picks(edges)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from thinset.functions import arrays, text
-from thinset.operators import cover, degree, metrics, prompts, sampling, similarity
+from thinset.operators import cover, degree, links, metrics, prompts, sampling, similarity
 from thinset.operators.coverage import coverage_search, sample_acs
 from thinset.plans import experiment, model
 from thinset.plans.downsample import downsample, register_sampler
@@ -252,14 +252,19 @@ def insertion_order(spark, folder):
 
 def _cover(spark, folder, theta, k, label_col):
     vectors = table(spark, folder, "embeddings")
-    pairs = similarity.similar_pairs(  # stored there, as both kinds are read
-        vectors, theta, label_col=label_col, with_first=True, **VECTORS
-    )
-    firsts = similarity.first_seen(pairs.filter(F.col("kind") == similarity.FIRST), theta)
     nodes = vector_ids(spark, folder)
     if label_col:
         nodes = vectors.select(F.col("vec_id").alias("id"), F.col(label_col).alias("grp"))
-    edges = pairs.filter(F.col("kind") == similarity.EDGE)
+    graph = links.linked(vectors, k, vec_col="embedding", label_col=label_col, **VECTORS)
+    if graph:  # pairs that are too many to store are computed where they are asked for
+        edges = graph.at(theta)
+        firsts = edges.first_seen()
+    else:
+        pairs = similarity.similar_pairs(  # stored there, as both kinds are read
+            vectors, theta, label_col=label_col, with_first=True, **VECTORS
+        )
+        firsts = similarity.first_seen(pairs.filter(F.col("kind") == similarity.FIRST), theta)
+        edges = pairs.filter(F.col("kind") == similarity.EDGE)
     return cover.max_cover(edges, nodes, k, save(cover.node_order(nodes, firsts)))
 
 
