@@ -192,9 +192,9 @@ def array_scores(spark, folder):
 VECTORS = {"id_col": "vec_id", "digits": 6}
 
 
-def label_edges_at(spark, folder, floor):
+def label_edges_at(spark, folder, floor, **options):
     return similarity.cosine_edges(
-        table(spark, folder, "embeddings"), floor, label_col="label", **VECTORS
+        table(spark, folder, "embeddings"), floor, label_col="label", **VECTORS, **options
     )
 
 
@@ -239,7 +239,8 @@ def mutual_cap(spark, folder):
 
 
 def sequential_cap(spark, folder):
-    return degree.cap_degree(save_packed(label_edges_at(spark, folder, 0.05)), 5)
+    # Pairs that the cap is sure to drop (see similarity.py) are not stored.
+    return degree.cap_degree(save_packed(label_edges_at(spark, folder, 0.05, max_degree=5)), 5)
 
 
 def insertion_order(spark, folder):
