@@ -267,3 +267,33 @@ def test_a_cover_stores_no_pairs(spark, tmp_path, monkeypatch, label_col):
     apart = [-1 - i if x is None else x for i, x in enumerate(label)]
     near, order = sequential.graph(sequential.similarities(flat), 0.6, apart if label_col else None)
     assert [(r.id // 2, r.gain) for r in found] == [(int(v), gain) for v, gain in sequential.cover(near, order, 60)]
+
+
+def test_sure_losses_of_a_cap_are_not_stored(spark, tmp_path, monkeypatch):
+    stored, real = [], queries.save_packed
+    monkeypatch.setattr(queries, "save_packed", lambda df, *a: stored.append(real(df, *a)) or stored[-1])
+    flat = np.random.default_rng(8).normal(size=(60, 3)).astype(np.float32)
+    spark.createDataFrame([(i, x.tolist(), i % 2) for i, x in enumerate(flat)],
+                          "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = {(r.a, r.b, r.sim) for r in queries.sequential_cap(spark, str(tmp_path)).collect()}
+    assert stored[0].groupBy("a").count().agg(F.max("count")).first()[0] <= 5
+    near, _ = sequential.graph(sequential.similarities(flat), 0.05, [i % 2 for i in range(60)])
+    left = sequential.cap(near, 5)
+    assert found == {(a, b, s) for a in left for b, s in left[a].items() if a < b}
+
+
+def test_pairs_leave_in_order_of_similarity(monkeypatch):
+    """Equal similarities lie side by side, as far as a bounded run goes."""
+    monkeypatch.setattr(similarity, "RUN_PAIRS", 500)
+    monkeypatch.setattr(similarity, "SLICE_CELLS", 300)
+    flat = np.random.default_rng(2).normal(size=(60, 4))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([0] * 120), pa.array([0] * 120), pa.array([0] * 60 + [1] * 60), pa.array([*range(60)] * 2),
+         pa.array(flat.tolist() * 2)], ["task", "chunk", "role", "id", "vec"])
+    found = list(similarity._panel_task(-1.0, None, 6, False, np.arange(4))([batch]))
+    assert 60 * 59 / 2 / 800 < len(found) < 6
+    assert all((np.diff(out["sim"].to_numpy()) >= 0).all() for out in found)
+    unit = flat / np.linalg.norm(flat, axis=1)[:, None]
+    sim = np.round(unit @ unit.T, 6)
+    got = {(r["a"], r["b"], round(r["sim"], 6)) for out in found for r in out.to_pylist()}
+    assert got == {(a, b, round(float(sim[a, b]), 6)) for b in range(60) for a in range(b)}
